@@ -55,7 +55,11 @@ def big(c: Column | str) -> Column:
 
 # --- SQL building blocks ---
 
-WS = fv.WS
+# White space spelled out: DuckDB's own class is ASCII.
+WS = (
+    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 
 
 def sql_strip(x: str) -> str:
@@ -178,7 +182,7 @@ def canonical_works(spark, sf):
 
 @query("retry_rounds", f"WITH {fx.ATTEMPTS_SQL} SELECT attempt, pending, new_works FROM rounds")
 def retry_rounds(spark, sf):
-    return corpus.retry_rounds(fx.attempt_log(spark, sf))
+    return corpus.retry_rounds(fx.attempt_log(spark, sf)).withColumn("attempt", big("attempt"))
 
 
 @query("fallback_pass", f"WITH {fx.ATTEMPTS_SQL} SELECT url, canonical_url, work_id FROM late")
@@ -818,8 +822,9 @@ def density_curves(spark, sf):
 
 def stream_of(spark, sf, name):
     """A given table as a file stream."""
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return rows.repartition(spark.sparkContext.defaultParallelism, fx.WIDE[name]) if name in fx.WIDE else rows
 
 
 def streamed_pages(spark, sf):

@@ -4,10 +4,13 @@ Everything here is a default of some parameter; none is baked into an operator.
 """
 
 # --- white space, as Python's str.strip / str.split / re '\s' see it ---
-# One character class that Java, RE2 and Python read alike.
-WS = (
-    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# The Unicode property and the four separators Python adds to it.
+WS = r"(?U:[\s\x1c-\x1f])"
+NOT_WS = r"(?U:[^\s\x1c-\x1f])"
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 
 # --- keyword search ---

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marginalia import fixed_values as fv
-from marginalia.functions.text import _col, collapse_ws, let, strip_tags
+from marginalia.functions.text import _col, collapse_ws, let, split_on, strip_tags
 from marginalia.functions.urls import _group
 
 _VALUE = r"""\s*=\s*["']"""
@@ -56,7 +56,7 @@ def _balanced_prefix(rest: Column, tag: str) -> Column:
     """``rest`` up to the close tag that matches an already open ``tag``."""
     def cut(chunks: Column) -> Column:
         def step(state: Column, chunk: Column) -> Column:
-            opened = F.size(F.split(chunk, rf"(?i)<{tag}\b")) - 1
+            opened = F.regexp_count(chunk, F.lit(rf"(?i)<{tag}\b"))
             depth = state["depth"] + opened - 1
             return F.when(state["depth"] == 0, state).otherwise(
                 F.struct(depth.alias("depth"), (state["taken"] + 1).alias("taken"))
@@ -66,13 +66,13 @@ def _balanced_prefix(rest: Column, tag: str) -> Column:
         taken = F.aggregate(chunks, start, step, lambda s: s["taken"])
         return F.array_join(F.slice(chunks, 1, taken), f"</{tag}>")
 
-    return let(F.split(rest, rf"(?i)</{tag}\s*>"), cut)
+    return let(split_on(rest, rf"(?i)</{tag}\s*>"), cut)
 
 
 def element_inners(html: Column | str, tag: str, condition: str) -> Column:
     """Inner HTML of every ``tag`` element that meets the condition."""
     return let(
-        F.split(_col(html), _open_tag(tag, condition)),
+        split_on(html, _open_tag(tag, condition)),
         lambda pieces: F.transform(
             F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
             lambda rest: _balanced_prefix(rest, tag),

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from marginalia import fixed_values as fv
 
 _BREAK = r"(?i)<br" + fv.WS + r"*/?>"
-# Stands for a paragraph break while tags are stripped; HTML text cannot hold it.
-_BREAK_MARK = "\u0000"
+# Stands for a cut while a text is taken apart; HTML cannot hold it.
+_MARK = "\u0000"
 _TAG = r"<[^>\n]*>"
 
 
@@ -30,7 +30,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Both ends, all Unicode white space (``trim`` knows the blank only)."""
-    return F.regexp_replace(_col(c), f"^{fv.WS}+|{fv.WS}+$", "")
+    return F.btrim(_col(c), F.lit(fv.WS_CHARS))
 
 
 def collapse_ws(c: Column | str) -> Column:
@@ -40,12 +40,21 @@ def collapse_ws(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """White-space split without empty ends; a blank text has no words."""
-    return F.filter(F.split(_col(c), f"{fv.WS}+"), lambda w: w != "")
+    return drop_empty(F.split(F.regexp_replace(_col(c), f"{fv.WS}+", " "), " "))
+
+
+def split_on(c: Column | str, pattern: str) -> Column:
+    """Split on a pattern.
+
+    ``F.split`` compiles its pattern for every row, ``regexp_replace`` once; a
+    split on a plain character needs none.
+    """
+    return F.split(F.regexp_replace(_col(c), pattern, _MARK), _MARK)
 
 
 def split_br(html: Column | str) -> Column:
     """Pieces between ``<br>`` tags, markup kept."""
-    return F.split(_col(html), _BREAK)
+    return split_on(html, _BREAK)
 
 
 def strip_tags(c: Column | str) -> Column:
@@ -63,8 +72,8 @@ def paragraphs(html: Column | str) -> Column:
     Breaks are marked first and tags go second, so a break inside a tag or
     between a bare ``<`` and ``>`` goes with them.
     """
-    marked = F.regexp_replace(_col(html), _BREAK, _BREAK_MARK)
-    return drop_empty(F.transform(F.split(strip_tags(marked), _BREAK_MARK), strip))
+    marked = F.regexp_replace(_col(html), _BREAK, _MARK)
+    return drop_empty(F.transform(F.split(strip_tags(marked), _MARK), strip))
 
 
 def has_keyword(c: Column | str, keyword: str) -> Column:

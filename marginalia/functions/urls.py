@@ -58,8 +58,7 @@ def is_bad_name(name: Column | str) -> Column:
 def repair_name(name: Column | str) -> Column:
     """Name in the embedded URL, else ``Book_ID_<id>``, else the input."""
     n = _col(name)
-    ws = fv.WS[1:-1]
-    url = F.coalesce(_group(n, f"(https?://[^{ws}]+)"), n)
+    url = F.coalesce(_group(n, f"(https?://{fv.NOT_WS}+)"), n)
     return F.coalesce(
         _spaced(_group(url, fv.NAME_ANY_PATTERN)),
         F.concat(F.lit(fv.BOOK_ID_PREFIX), _group(url, fv.SHOW_ID_PATTERN)),

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia import fixed_values as fv
@@ -112,10 +112,6 @@ def pca_positions(emb: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return xy.select("id", (F.col("x") * scale).alias("x"), (F.col("y") * scale).alias("y"))
 
 
-def _clip(c: Column) -> Column:
-    return F.greatest(F.least(c, F.lit(4.0)), F.lit(-4.0))
-
-
 def map_2d(
     edges: DataFrame,
     emb: DataFrame,
@@ -136,7 +132,7 @@ def map_2d(
         pca_positions(emb, id_col, vec_col)
         .join(degree, F.col("id") == F.col("src"), "left")
         # A point with very many edges is joined in several pieces.
-        .select("id", "x", "y", F.ceil(F.coalesce("n", F.lit(1)) / _HUB_EDGES).cast("int").alias("cuts"))
+        .select("id", "x", "y", F.ceil(F.coalesce("n", F.lit(1)) / _HUB_EDGES).cast("int").alias("cuts"), F.lit(0).alias("epoch"))
     )
     nodes = materialise(start, "map-start")
     cuts = nodes.select("id", "cuts")
@@ -154,66 +150,71 @@ def map_2d(
     links = materialise(spread, "map-edges")
     folders = [scratch_path(emb.sparkSession, f"map-epoch-{i}") for i in (0, 1)]
     for epoch in range(epochs):
-        alpha = 1.0 - epoch / epochs
-        moved = _epoch(nodes, links, a, b, alpha, seed + epoch)
+        moved = _epoch(nodes, links, a, b, epochs, seed)
         moved.write.mode("overwrite").parquet(folders[epoch % 2])
         nodes = emb.sparkSession.read.schema(nodes.schema).parquet(folders[epoch % 2])
     return nodes.select("id", "x", "y")
 
 
-def _epoch(nodes: DataFrame, links: DataFrame, a: float, b: float, alpha: float, salt: int) -> DataFrame:
-    pieces = nodes.select(
-        "id", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "x", "y"
-    )
+def _epoch(nodes: DataFrame, links: DataFrame, a: float, b: float, epochs: int, seed: int) -> DataFrame:
+    """All points moved once.
+
+    The epoch number is a column, not a constant, so every epoch compiles to
+    the same code.
+    """
+    pieces = nodes.selectExpr("id", "explode(sequence(0, cuts - 1)) AS cut", "x", "y")
     ends = links.join(pieces.toDF("dst", "dst_cut", "dst_x", "dst_y"), ["dst", "dst_cut"]).join(
         pieces.toDF("src", "src_cut", "x", "y"), ["src", "src_cut"]
     )
-    dx, dy = F.col("x") - F.col("dst_x"), F.col("y") - F.col("dst_y")
-    d2 = dx * dx + dy * dy
-    pull = F.when(d2 > 0, -2.0 * a * b * F.pow(d2, F.lit(b - 1.0)) / (1.0 + a * F.pow(d2, F.lit(b))))
-    pull = F.coalesce(pull, F.lit(0.0))
-    forces = ends.groupBy("src").agg(
+    pulls = ends.selectExpr("src", "weight", "x - dst_x AS dx", "y - dst_y AS dy").selectExpr(
+        "src", "weight", "dx", "dy",
+        f"""if(dx = 0 AND dy = 0, 0D,
+            {-2.0 * a * b}D * pow(dx * dx + dy * dy, {b - 1.0}D) / (1D + {a}D * pow(dx * dx + dy * dy, {b}D))) AS k""",
+    )
+    forces = pulls.groupBy("src").agg(
         F.sum("weight").alias("weight"),
-        F.sum(F.col("weight") * _clip(pull * dx)).alias("fx"),
-        F.sum(F.col("weight") * _clip(pull * dy)).alias("fy"),
+        F.expr("sum(weight * greatest(least(k * dx, 4D), -4D))").alias("fx"),
+        F.expr("sum(weight * greatest(least(k * dy, 4D), -4D))").alias("fy"),
     )
-
     # Random partners: a fixed number of points drawn by hash, one value for all.
     anchors = (
-        nodes.orderBy(F.xxhash64("id", F.lit(salt)), "id")
+        nodes.orderBy(F.expr(f"xxhash64(id, epoch, {seed})"), "id")
         .limit(_ANCHORS)
         .agg(F.sort_array(F.collect_list(F.struct("id", "x", "y"))))
         .scalar()
     )
-
-    def push(j: int) -> tuple[Column, Column]:
-        at = F.pmod(F.xxhash64("id", F.lit(salt), F.lit(j)), F.size("anchors")) + 1
-        other = F.element_at("anchors", at.cast("int"))
-        ox, oy = F.col("x") - other["x"], F.col("y") - other["y"]
-        o2 = ox * ox + oy * oy
-        k = F.when(
-            other["id"] != F.col("id"), 2.0 * b / ((0.001 + o2) * (1.0 + a * F.pow(o2, F.lit(b))))
-        ).otherwise(F.lit(0.0))
-        return _clip(k * ox), _clip(k * oy)
-
-    pushes = [push(j) for j in range(_PARTNERS)]
-    repelled = nodes.withColumn("anchors", anchors).select(
-        "id", "x", "y", "cuts",
-        sum((p[0] for p in pushes[1:]), pushes[0][0]).alias("rx"),
-        sum((p[1] for p in pushes[1:]), pushes[0][1]).alias("ry"),
+    pushed = (
+        nodes.withColumn("anchors", anchors)
+        .selectExpr(
+            "id", "x", "y", "cuts", "epoch",
+            f"""transform(sequence(1, {_PARTNERS}),
+                j -> element_at(anchors, cast(pmod(xxhash64(id, epoch, j), size(anchors)) AS int) + 1)) AS partners""",
+        )
+        .selectExpr(
+            "id", "x", "y", "cuts", "epoch",
+            """transform(partners, p -> named_struct('dx', x - p.x, 'dy', y - p.y,
+                'd2', if(p.id = id, NULL, pow(x - p.x, 2) + pow(y - p.y, 2)))) AS gaps""",
+        )
+        .selectExpr(
+            "id", "x", "y", "cuts", "epoch",
+            f"""transform(gaps, g -> named_struct('dx', g.dx, 'dy', g.dy,
+                'k', coalesce({2.0 * b}D / ((0.001D + g.d2) * (1D + {a}D * pow(g.d2, {b}D))), 0D))) AS pushes""",
+        )
+        .selectExpr(
+            "id", "x", "y", "cuts", "epoch",
+            "aggregate(pushes, 0D, (s, p) -> s + greatest(least(p.k * p.dx, 4D), -4D)) AS rx",
+            "aggregate(pushes, 0D, (s, p) -> s + greatest(least(p.k * p.dy, 4D), -4D)) AS ry",
+        )
     )
     # Mean pull against half the summed push (every edge pulls from both ends);
     # the largest slope of the pull scales the step, so it cannot overshoot.
-    step = alpha / (2.0 * a * b)
-    pull_x, pull_y = (F.coalesce(F.col(f) / F.col("weight"), F.lit(0.0)) for f in ("fx", "fy"))
-    return (
-        repelled.join(forces, F.col("id") == F.col("src"), "left")
-        .select(
-            "id",
-            (F.col("x") + step * (pull_x + 0.5 * F.col("rx"))).alias("x"),
-            (F.col("y") + step * (pull_y + 0.5 * F.col("ry"))).alias("y"),
-            "cuts",
-        )
+    step = f"(1D - epoch / {epochs}D) / {2.0 * a * b}D"
+    return pushed.join(forces, F.col("id") == F.col("src"), "left").selectExpr(
+        "id",
+        f"x + {step} * (coalesce(fx / weight, 0D) + 0.5D * rx) AS x",
+        f"y + {step} * (coalesce(fy / weight, 0D) + 0.5D * ry) AS y",
+        "cuts",
+        "epoch + 1 AS epoch",
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia import fixed_values as fv
@@ -43,27 +43,30 @@ def review_cards(pages: DataFrame) -> DataFrame:
     ``url, page_id, pos, review_id, date, stars, body``. Wide HTML stays on
     this side of every shuffle.
     """
-    cards = pages.select("url", "page_id", F.posexplode(markup.card_htmls("html")).alias("pos", "card"))
-    return cards.select(
-        "url",
-        "page_id",
-        "pos",
-        markup.review_id("card").alias("review_id"),
-        markup.review_date("card").alias("date"),
-        markup.stars("card").alias("stars"),
-        markup.review_body("card").alias("body"),
-    ).filter(F.col("review_id").isNotNull() & F.col("body").isNotNull())
+    def fields(card: Column, pos: Column) -> Column:
+        return F.struct(
+            pos.alias("pos"),
+            markup.review_id(card).alias("review_id"),
+            markup.review_date(card).alias("date"),
+            markup.stars(card).alias("stars"),
+            markup.review_body(card).alias("body"),
+        )
+
+    # Dropped inside the array: a filter on the rows would be pushed below the
+    # projection and extract every field twice.
+    whole = F.filter(
+        F.transform(markup.card_htmls("html"), fields),
+        lambda c: c["review_id"].isNotNull() & c["body"].isNotNull(),
+    )
+    return pages.select("url", "page_id", F.inline(whole))
 
 
 def with_context(
     cards: DataFrame, keyword: str = fv.KEYWORD, max_words: int = fv.MAX_WORDS
 ) -> DataFrame:
     """The body replaced by its keyword context; cards without one are dropped."""
-    return (
-        cards.withColumn("context", keyword_context("body", keyword, max_words))
-        .drop("body")
-        .filter(F.col("context").isNotNull())
-    )
+    context = F.array_compact(F.array(keyword_context("body", keyword, max_words)))
+    return cards.select("*", F.explode(context).alias("context")).drop("body")
 
 
 def keep_first_review(accepted: DataFrame) -> DataFrame:
