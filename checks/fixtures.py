@@ -153,7 +153,7 @@ list_pages AS (
 def book_pages(spark: SparkSession, sf: str) -> DataFrame:
     supplier = table(spark, sf, "supplier")
     count = supplier.agg(F.count(F.lit(1))).scalar()
-    parts = table(spark, sf, "part").withColumn("supp", F.col("p_partkey") % count)
+    parts = spread(table(spark, sf, "part"), "p_partkey").withColumn("supp", F.col("p_partkey") % count)
     rows = parts.join(supplier, F.col("supp") == F.col("s_suppkey"))
     slug = F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))
     work = F.concat(F.lit("/book/show/"), text_of(F.col("p_partkey") % 500), F.lit("."), slug)

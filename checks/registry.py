@@ -23,7 +23,7 @@ from marginalia.operators import (
     relational,
     reviews,
 )
-from marginalia.session import scratch_path
+from marginalia.session import materialise, scratch_path
 from marginalia.sources import readers, writers
 from marginalia.streaming import jobs
 
@@ -180,20 +180,24 @@ def canonical_works(spark, sf):
     return corpus.canonical_works(found)
 
 
+def settled_log(spark, sf):
+    return materialise(corpus.settled_urls(fx.attempt_log(spark, sf)), "settled")
+
+
 @query("retry_rounds", f"WITH {fx.ATTEMPTS_SQL} SELECT attempt, pending, new_works FROM rounds")
 def retry_rounds(spark, sf):
-    return corpus.retry_rounds(fx.attempt_log(spark, sf)).withColumn("attempt", big("attempt"))
+    return corpus.retry_rounds(settled_log(spark, sf)).withColumn("attempt", big("attempt"))
 
 
 @query("fallback_pass", f"WITH {fx.ATTEMPTS_SQL} SELECT url, canonical_url, work_id FROM late")
 def fallback_pass(spark, sf):
-    pending = corpus.pending_after_rounds(fx.attempt_log(spark, sf))
+    pending = corpus.pending_after_rounds(settled_log(spark, sf))
     return corpus.fallback_pass(pending, fx.fallback_log(spark, sf))
 
 
 @query("unique_works", f"WITH {fx.ATTEMPTS_SQL} SELECT work_id, canonical_url FROM works")
 def unique_works(spark, sf):
-    return corpus.unique_works(fx.attempt_log(spark, sf), fx.fallback_log(spark, sf))
+    return corpus.unique_works(settled_log(spark, sf), fx.fallback_log(spark, sf))
 
 
 @query(
@@ -201,7 +205,7 @@ def unique_works(spark, sf):
     f"WITH {fx.ATTEMPTS_SQL} SELECT url FROM pending WHERE url NOT IN (SELECT url FROM late)",
 )
 def still_pending(spark, sf):
-    pending = corpus.pending_after_rounds(fx.attempt_log(spark, sf))
+    pending = corpus.pending_after_rounds(settled_log(spark, sf))
     return corpus.still_pending(pending, fx.fallback_log(spark, sf))
 
 
@@ -212,8 +216,8 @@ def still_pending(spark, sf):
            (SELECT count(*) FROM pending) - (SELECT count(*) FROM late) AS unprocessed""",
 )
 def funnel_counts(spark, sf):
-    attempts = fx.attempt_log(spark, sf)
-    return corpus.funnel(attempts.select("url"), attempts, fx.fallback_log(spark, sf))
+    settled = settled_log(spark, sf)
+    return corpus.funnel(settled.select("url"), settled, fx.fallback_log(spark, sf))
 
 
 ORDER_URL = f"'{fx.SITE}/o/' || o_orderkey"

@@ -170,11 +170,9 @@ def total_reviews(html: Column | str) -> Column:
 def release_date(html: Column | str) -> Column:
     test_id = _has_attribute("data-testid", fv.PUBLICATION_TEST_ID)
     pattern = rf"(?is)<([a-z][\w-]*)\b{test_id}[^>]*>(.*?)</\1\s*>"
-    h = _col(html)
-    text = F.replace(
-        inner_text(F.regexp_extract(h, pattern, 2)), F.lit(fv.FIRST_PUBLISHED), F.lit("")
-    )
-    return F.when(h.rlike(pattern), text).otherwise(F.lit(fv.NOT_FOUND))
+    found = _first(F.regexp_extract_all(_col(html), F.lit(pattern), 2))
+    text = F.replace(inner_text(found), F.lit(fv.FIRST_PUBLISHED), F.lit(""))
+    return F.coalesce(text, F.lit(fv.NOT_FOUND))
 
 
 def genres(html: Column | str) -> Column:

@@ -32,19 +32,27 @@ def first_seen(links: DataFrame) -> DataFrame:
 
 
 def settled_urls(attempts: DataFrame, max_passes: int = fv.MAX_PASSES) -> DataFrame:
-    """Per URL its first attempt that led to a work: ``url, attempt, work_id``.
+    """Per URL its first attempt that led to a work: ``url, attempt, work_id, canonical_url``.
 
-    Attempt and work are null for a URL that never got there.
+    All but the URL is null if it never got there. The jobs below take the log
+    or this table. Several of them over one log, or one that needs it often, are
+    best given ``materialise(settled_urls(log))``: the log is then read once.
     """
-    wid = work_id("canonical_url")
+    if "work_id" in attempts.columns:
+        return attempts
     hit = F.when(
-        wid.isNotNull() & (F.col("attempt") <= max_passes),
-        F.struct(F.col("attempt"), wid.alias("work_id")),
+        work_id("canonical_url").isNotNull() & (F.col("attempt") <= max_passes),
+        F.struct("attempt", "canonical_url"),
     )
     return (
         attempts.groupBy("url")
         .agg(F.min(hit).alias("hit"))
-        .select("url", "hit.attempt", "hit.work_id")
+        .select(
+            "url",
+            "hit.attempt",
+            work_id("hit.canonical_url").alias("work_id"),
+            "hit.canonical_url",
+        )
     )
 
 
@@ -125,16 +133,10 @@ def unique_works(
     The earliest pass wins, the fallback comes last; inside a pass the smallest
     URL is taken. A URL counts only at the attempt it settled with.
     """
-    wid = work_id("canonical_url")
-    hit = F.when(
-        wid.isNotNull() & (F.col("attempt") <= max_passes),
-        F.struct("attempt", "canonical_url"),
-    )
     found = (
-        attempts.groupBy("url")
-        .agg(F.min(hit).alias("hit"))
-        .select("hit.attempt", "hit.canonical_url")
+        settled_urls(attempts, max_passes)
         .filter(F.col("attempt") <= _last_pass(attempts, max_passes))
+        .select("attempt", "canonical_url")
     )
     if fallback is not None:
         late = fallback_pass(pending_after_rounds(attempts, max_passes), fallback)

@@ -22,6 +22,7 @@ from marginalia.operators.relational import first_n
 from marginalia.session import materialise
 
 MAX_PIVOTS = 1024
+MAX_VISIT_TASKS = 20_000
 _SLACK = 1e-6  # rounding allowance of the pruning bounds
 
 
@@ -257,7 +258,9 @@ def _visit_pass(points: DataFrame, visits: DataFrame, k: int, chunks: int, tasks
 
 
 def _nearest_k(candidates: DataFrame, k: int) -> DataFrame:
-    return first_n(candidates, ["src"], ["dist", "dst"], k)
+    """The ``k`` nearest per source, ranked; cut per task before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
+    return candidates.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def _distinct_vectors(emb: DataFrame, id_col: str, vec_col: str, k: int) -> tuple[DataFrame, DataFrame]:
@@ -268,8 +271,10 @@ def _distinct_vectors(emb: DataFrame, id_col: str, vec_col: str, k: int) -> tupl
     """
     vec = F.col(vec_col).cast("array<float>")
     rows = emb.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec"))
-    few = first_n(rows, [F.xxhash64("vec"), "vec"], ["id"], k + 1)
-    merged = few.groupBy("vec").agg(
+    # The hash goes first in every key, so vectors are seldom compared.
+    rows = rows.withColumn("hash", F.xxhash64("vec"))
+    few = first_n(rows, ["hash", "vec"], ["id"], k + 1)
+    merged = few.groupBy("hash", "vec").agg(
         F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("members")
     )
     return rows, merged
@@ -316,16 +321,18 @@ def knn_graph(
     if sum(cell_blocks) > 1:
         near = materialise(near, "knn-local")
         # The bound holds only for a full list; a shorter one leaves it open.
-        bound = near.groupBy("src").agg(
-            F.when(F.count(F.lit(1)) == k, F.max("dist")).alias("bound")
-        )
+        bound = near.filter(F.col("rank") == k).select("src", F.col("dist").alias("bound"))
         bounded = points.join(bound, points["rep"] == bound["src"], "left").withColumn(
             "bound", F.coalesce("bound", F.lit(float("inf")))
         )
         visits = _route(bounded, pivots, cell_blocks, radius, inner, probes)
         chunks = -(-n // (16 * block_rows))
-        far = _visit_pass(points, visits, k, chunks, tasks)
-        near = _nearest_k(near.unionByName(far), k)
+        visit_tasks = max(tasks, min(sum(cell_blocks) * chunks, MAX_VISIT_TASKS))
+        far = _visit_pass(points, visits, k, chunks, visit_tasks)
+        near = _nearest_k(near.drop("rank").unionByName(far), k)
+    near = near.select("src", "dst", "rank", "dist")
+    if merged.filter(F.size("members") > 1).isEmpty():
+        return near
     return _expand_copies(rows, merged, near, k)
 
 
@@ -344,6 +351,7 @@ def _expand_copies(rows: DataFrame, merged: DataFrame, near: DataFrame, k: int)
         .agg(F.flatten(F.collect_list("pairs")).alias("pairs"))
     )
     lists = merged.join(others, merged["rep"] == others["src"], "left").select(
+        "hash",
         "vec",
         F.slice(
             F.sort_array(
@@ -358,7 +366,7 @@ def _expand_copies(rows: DataFrame, merged: DataFrame, near: DataFrame, k: int)
     )
     # A vector with very many copies makes one large key on the left only; the
     # adaptive skew join splits it.
-    own = rows.join(lists, "vec")
+    own = rows.join(lists, ["hash", "vec"])
     picked = own.select(
         F.col("id").alias("src"),
         F.posexplode(F.slice(F.filter("pairs", lambda p: p["dst"] != F.col("id")), 1, k)).alias(

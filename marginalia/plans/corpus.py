@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia import fixed_values as fv
 from marginalia.functions.urls import reviews_url
-from marginalia.operators.corpus import backlog, backlog_counts, next_batch, unique_works
+from marginalia.operators.corpus import backlog, backlog_counts, next_batch, settled_urls, unique_works
 from marginalia.operators.reviews import harvest_links, match_status
 from marginalia.session import materialise
 from marginalia.sources.readers import read_ledger, read_url_list
@@ -22,7 +22,8 @@ def discover(list_pages: DataFrame, out: str, css_class: str = fv.BOOK_LINK_CLAS
 
 def deduplicate(attempts: DataFrame, fallback: DataFrame | None, out: str) -> None:
     """Attempt log to a sorted list of one URL per work."""
-    write_sorted_lines(unique_works(attempts, fallback), "canonical_url", out)
+    settled = materialise(settled_urls(attempts), "settled")
+    write_sorted_lines(unique_works(settled, fallback), "canonical_url", out)
 
 
 def verify_batch(
