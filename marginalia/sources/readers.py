@@ -81,8 +81,8 @@ def read_reviews_csv(spark: SparkSession, path: str, pandas_nulls: bool = True)
     """Reviews with quoted, multi-line text.
 
     Multi-line CSV cannot be split, so parallelism is one task per file: keep
-    large tables as folders of files. ``pandas_nulls`` also reads ``NA``,
-    ``None`` and the like as null.
+    large tables as folders of files. An empty field is null; ``pandas_nulls``
+    also reads ``NA``, ``None`` and the like as null.
     """
     return _or_empty(
         lambda: _read_csv(spark, path, REVIEWS_SCHEMA, pandas_nulls), spark, REVIEWS_SCHEMA
