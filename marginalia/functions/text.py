@@ -98,22 +98,26 @@ def kwic(paragraph: Column | str, keyword: str = fv.KEYWORD, max_words: int = fv
     para = _col(paragraph)
     half = max_words // 2
 
-    def window(ws: Column) -> Column:
+    def around(ws: Column, hit: Column) -> Column:
         n = F.size(ws)
-        hit = F.array_position(F.transform(ws, lambda w: has_keyword(w, keyword)), True).cast("int")
         first = F.greatest(F.lit(0), hit - 1 - half)
         # A window that touches the end is pulled back to full width.
         start = F.when(first + max_words >= n, F.greatest(F.lit(0), n - max_words)).otherwise(first)
-        end = F.least(n, start + max_words)
-        around = F.concat(
+        window = F.concat(
             F.when(start > 0, F.lit("... ")).otherwise(F.lit("")),
             F.array_join(F.slice(ws, start + 1, max_words), " "),
-            F.when(end < n, F.lit(" ...")).otherwise(F.lit("")),
+            F.when(start + max_words < n, F.lit(" ...")).otherwise(F.lit("")),
         )
         head = F.concat(F.array_join(F.slice(ws, 1, max_words), " "), F.lit("..."))
-        return F.when(n <= max_words, para).when(hit == 0, head).otherwise(around)
+        return F.when(hit == 0, head).otherwise(window)
 
-    return F.when(para.isNotNull(), let(words(para), window))
+    def cut(ws: Column) -> Column:
+        hit = F.array_position(F.transform(ws, lambda w: has_keyword(w, keyword)), True)
+        return F.when(F.size(ws) <= max_words, para).otherwise(
+            let(hit.cast("int"), lambda at: around(ws, at))
+        )
+
+    return F.when(para.isNotNull(), let(words(para), cut))
 
 
 def keyword_context(

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia import fixed_values as fv
+from marginalia.operators.relational import join_keys
+from marginalia.session import materialise
 
 # Beyond nine bandwidths a kernel is below double precision of its peak.
 _REACH = 9.0
@@ -20,7 +22,8 @@ def density(df: DataFrame, x: str, cls: str, grid: int = fv.DENSITY_GRID) -> Dat
     to three above the largest value. A class of one row or without spread has
     no curve. A row only meets the grid points within reach of its kernel, and
     these are summed per task before the shuffle, which therefore carries at
-    most ``grid`` rows per class and task.
+    most ``grid`` rows per class and task. The rows themselves are not shuffled:
+    the class table goes to them, unless there are very many classes.
     """
     rows = df.select(F.col(cls).alias("cls"), F.col(x).cast("double").alias("v")).dropna()
     stats = (
@@ -37,11 +40,12 @@ def density(df: DataFrame, x: str, cls: str, grid: int = fv.DENSITY_GRID) -> Dat
         .withColumn("step", (F.col("high") + 3 * F.col("h") - F.col("start")) / (grid - 1))
         .select("cls", "n", "h", "start", "step")
     )
+    stats = materialise(stats, "density-classes")
     offset = F.col("v") - F.col("start")
     first = F.greatest(F.ceil((offset - _REACH * F.col("h")) / F.col("step")), F.lit(0))
     last = F.least(F.floor((offset + _REACH * F.col("h")) / F.col("step")), F.lit(grid - 1))
     # An outlier between two grid points may reach neither.
-    met = rows.join(stats, "cls").filter(first <= last).select(
+    met = join_keys(rows, stats, "cls").filter(first <= last).select(
         "cls", "v", "h", "start", "step", F.explode(F.sequence(first, last)).alias("point")
     )
     z = (F.col("start") + F.col("point") * F.col("step") - F.col("v")) / F.col("h")

@@ -8,13 +8,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Keys that may be sent to every task: a few hundred bytes each at most.
+BROADCAST_ROWS = 500_000
+
+
+def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether ``df`` has few enough rows to be sent to every task.
+
+    Counts, and stops counting beyond the limit; for key tables that are cheap
+    to compute or already written.
+    """
+    limit = BROADCAST_ROWS if limit is None else limit
+    return df.limit(limit + 1).count() <= limit
+
+
+def join_keys(df: DataFrame, keys: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join a large table with a key table, by broadcast only if that is small.
+
+    The planner knows no size for an aggregated key table and would shuffle both
+    sides; adaptive execution corrects that when the large side has moved already.
+    """
+    return df.join(F.broadcast(keys) if fits_broadcast(keys) else keys, on, how)
+
+
 def distinct_rows(df: DataFrame) -> DataFrame:
     return df.distinct()
 
 
 def drop_incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Drop rows with a null in any of the columns; sentinels are values."""
-    return df.dropna(subset=list(columns))
+    """Drop rows with a null in any of the columns; sentinels are values.
+
+    Plain predicates reach the scan and turn outer joins into inner ones, which
+    ``dropna`` does not.
+    """
+    kept = F.lit(True)
+    for name in columns:
+        kept = kept & F.col(name).isNotNull()
+        if df.schema[name].dataType.typeName() in ("float", "double"):
+            kept = kept & ~F.isnan(name)
+    return df.filter(kept)
 
 
 def drop_cols(df: DataFrame, columns: Sequence[str]) -> DataFrame:

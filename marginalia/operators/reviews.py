@@ -9,7 +9,7 @@ from marginalia import fixed_values as fv
 from marginalia.functions import markup
 from marginalia.functions.text import keyword_context, keyword_paragraph
 from marginalia.functions.urls import absolute_url, book_name_any, book_url
-from marginalia.operators.relational import keep_first
+from marginalia.operators.relational import fits_broadcast, keep_first
 
 
 def harvest_links(pages: DataFrame, css_class: str | None = None, absolute: bool = True) -> DataFrame:
@@ -122,9 +122,16 @@ def relevant_books(reviews: DataFrame, metadata: DataFrame) -> tuple[DataFrame,
 
 
 def relevant_metadata(pages: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Metadata read only from pages of books with accepted reviews."""
+    """Metadata of the pages of books with accepted reviews.
+
+    HTML is never shuffled. Few books are looked up at the scan, so only their
+    pages are parsed; for very many, all pages are parsed and the short results
+    are joined.
+    """
     urls = reviews.select("url").distinct()
-    return book_metadata(pages.join(urls, "url", "left_semi"))
+    if fits_broadcast(urls):
+        return book_metadata(pages.join(F.broadcast(urls), "url", "left_semi"))
+    return book_metadata(pages).join(urls, "url", "left_semi")
 
 
 def review_columns(reviews: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from marginalia import fixed_values as fv
 from marginalia.functions.urls import book_url, reviews_url
 from marginalia.operators.names import fix_names, repair_counts
+from marginalia.operators.relational import fits_broadcast
 from marginalia.operators.reviews import (
     accepted_reviews,
+    book_metadata,
     relevant_books,
     relevant_metadata,
     review_columns,
@@ -31,17 +33,31 @@ def extract(
     ``pages`` holds review and book pages under their own URLs. Metadata is read
     only for books with accepted reviews.
     """
-    wanted = urls.select("url", reviews_url("url").alias("reviews"), book_url("url").alias("book"))
-    snapshot = pages.select("page_id", F.col("url").alias("page_url"), "html")
+    wanted = urls.select(
+        F.col("url").alias("book"), reviews_url("url").alias("reviews"), book_url("url").alias("main")
+    ).distinct()
+    few = fits_broadcast(wanted)
 
-    def pages_of(column: str) -> DataFrame:
-        return snapshot.join(
-            wanted.select("url", F.col(column).alias("page_url")), "page_url"
-        ).select("page_id", "url", "html")
+    def of_books(rows: DataFrame, column: str) -> DataFrame:
+        """Rows of the wanted pages, under the URL of the book."""
+        keys = wanted.select("book", F.col(column).alias("url"))
+        keyed = rows.join(F.broadcast(keys) if few else keys, "url")
+        return keyed.withColumn("url", F.col("book")).drop("book")
 
-    reviews = materialise(accepted_reviews(pages_of("reviews"), keyword, max_words), "reviews")
-    metadata = materialise(relevant_metadata(pages_of("book"), reviews), "metadata")
-    return relevant_books(reviews, metadata)
+    # HTML is never shuffled: few URLs are looked up at the scan; for very many,
+    # all pages are parsed and the short results are joined.
+    if few:
+        reviews = accepted_reviews(of_books(pages, "reviews"), keyword, max_words)
+    else:
+        reviews = of_books(accepted_reviews(pages, keyword, max_words), "reviews")
+    reviews = materialise(reviews, "reviews")
+    if few:
+        metadata = relevant_metadata(of_books(pages, "main"), reviews)
+    else:
+        metadata = of_books(book_metadata(pages), "main").join(
+            reviews.select("url").distinct(), "url", "left_semi"
+        )
+    return relevant_books(reviews, materialise(metadata, "metadata"))
 
 
 def extract_to_csv(

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marginalia import fixed_values as fv
 from marginalia.operators.corpus import processed_urls, status_counts
+from marginalia.operators.relational import join_keys
 from marginalia.operators.reviews import match_status, review_cards, with_context
 from marginalia.sources.readers import PAGES_SCHEMA
 from marginalia.sources.writers import append_by_status
@@ -69,9 +70,10 @@ def resume_stream(stream: DataFrame, ledger: DataFrame) -> DataFrame:
     """Arriving rows whose URL has no status yet.
 
     Files already read are skipped by the query's checkpoint; the join skips
-    URLs settled by other runs before this query started.
+    URLs settled by other runs before this query started. A short ledger is sent
+    to the pages; a long one is joined by shuffle.
     """
-    return stream.join(processed_urls(ledger), "url", "left_anti")
+    return join_keys(stream, processed_urls(ledger), "url", "left_anti")
 
 
 def running_counts(stream: DataFrame) -> DataFrame:

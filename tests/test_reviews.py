@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import relational, reviews
@@ -51,7 +52,9 @@ def test_match_status(spark):
     }
 
 
-def test_extract_keeps_books_with_both(spark):
+@pytest.mark.parametrize("limit", [500_000, 1])
+def test_extract_keeps_books_with_both(spark, monkeypatch, limit):
+    monkeypatch.setattr(relational, "BROADCAST_ROWS", limit)  # 1: the way for very many books
     urls = spark.createDataFrame([(SHOW + "1.Some_Name?x=1",), (SHOW + "2-b",), (SHOW + "3.C",), (SHOW + "4",)], "url string")
     df = pages(spark, [
         (SHOW + "1.Some_Name/reviews", card(1, "key") + card(2, "key key")), (SHOW + "1.Some_Name", book("Kafka, F.")),

@@ -112,7 +112,7 @@ def test_map_keeps_neighbourhoods(spark):
     start = np.array([r[1:] for r in sorted(tuple(r) for r in layout.pca_positions(emb, "vec_id", "embedding").collect())])
     assert y.shape == (320, 2) and np.isfinite(y).all()
     assert trustworthiness(x, y, 7) > max(trustworthiness(x, start, 7) + 0.05, 0.95)
-    assert np.allclose(run(epochs=3), run(epochs=3), atol=1e-6)
+    assert np.allclose(run(epochs=2), run(epochs=2), atol=1e-6)
 
 
 def test_hub_edges_are_cut(spark, monkeypatch):
