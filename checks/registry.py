@@ -432,7 +432,7 @@ def reviews_by_book(spark, sf):
 
 
 def relevant(spark, sf):
-    found = reviews_by_book(spark, sf)
+    found = materialise(reviews_by_book(spark, sf), "found")
     return reviews.relevant_books(found, reviews.relevant_metadata(fx.book_pages(spark, sf), found))
 
 

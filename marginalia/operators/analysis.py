@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marginalia import fixed_values as fv
 from marginalia.functions.classes import author_class, parse_date, period_class
 from marginalia.functions.text import join_key, remove_entities, snippet, text_hash
-from marginalia.operators.relational import drop_incomplete, keep_first
+from marginalia.operators.relational import drop_incomplete, join_keys, keep_first
 
 
 @dataclass(frozen=True)
@@ -36,13 +36,11 @@ def first_metadata(summary: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 def with_metadata(reviews: DataFrame, summary: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """Reviews with the author of their book, incomplete rows dropped.
 
-    The metadata side has one row per key. It is broadcast if it turns out small
-    enough; otherwise both sides are shuffled and a book with very many reviews
-    is split by the adaptive skew join.
+    The metadata side has one row per key; see ``join_keys`` for a book with
+    very many reviews.
     """
-    joined = reviews.withColumn("join_key", join_key("book_name")).join(
-        first_metadata(summary, ordinal), "join_key", "left"
-    )
+    keyed = reviews.withColumn("join_key", join_key("book_name"))
+    joined = join_keys(keyed, first_metadata(summary, ordinal), "join_key", "left")
     return drop_incomplete(joined, fv.REQUIRED_REVIEW_COLUMNS).drop("join_key")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia import fixed_values as fv
-from marginalia.operators.relational import join_keys
+from marginalia.operators.relational import fits_broadcast
 from marginalia.session import materialise
 
 # Beyond nine bandwidths a kernel is below double precision of its peak.
@@ -44,8 +44,9 @@ def density(df: DataFrame, x: str, cls: str, grid: int = fv.DENSITY_GRID) -> Dat
     offset = F.col("v") - F.col("start")
     first = F.greatest(F.ceil((offset - _REACH * F.col("h")) / F.col("step")), F.lit(0))
     last = F.least(F.floor((offset + _REACH * F.col("h")) / F.col("step")), F.lit(grid - 1))
+    small = F.broadcast(stats) if fits_broadcast(stats) else stats
     # An outlier between two grid points may reach neither.
-    met = join_keys(rows, stats, "cls").filter(first <= last).select(
+    met = rows.join(small, "cls").filter(first <= last).select(
         "cls", "v", "h", "start", "step", F.explode(F.sequence(first, last)).alias("point")
     )
     z = (F.col("start") + F.col("point") * F.col("step") - F.col("v")) / F.col("h")

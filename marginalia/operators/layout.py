@@ -171,11 +171,6 @@ def _epoch(nodes: DataFrame, links: DataFrame, a: float, b: float, epochs: int,
         f"""if(dx = 0 AND dy = 0, 0D,
             {-2.0 * a * b}D * pow(dx * dx + dy * dy, {b - 1.0}D) / (1D + {a}D * pow(dx * dx + dy * dy, {b}D))) AS k""",
     )
-    forces = pulls.groupBy("src").agg(
-        F.sum("weight").alias("weight"),
-        F.expr("sum(weight * greatest(least(k * dx, 4D), -4D))").alias("fx"),
-        F.expr("sum(weight * greatest(least(k * dy, 4D), -4D))").alias("fy"),
-    )
     # Random partners: a fixed number of points drawn by hash, one value for all.
     anchors = (
         nodes.orderBy(F.expr(f"xxhash64(id, epoch, {seed})"), "id")
@@ -206,13 +201,23 @@ def _epoch(nodes: DataFrame, links: DataFrame, a: float, b: float, epochs: int,
             "aggregate(pushes, 0D, (s, p) -> s + greatest(least(p.k * p.dy, 4D), -4D)) AS ry",
         )
     )
+    # Points and pulls meet in one aggregation, combined per task before the
+    # shuffle, instead of a shuffle for the sums and another for their join.
+    still = pushed.selectExpr("id", "x", "y", "cuts", "epoch", "rx", "ry", "0D AS weight", "0D AS fx", "0D AS fy")
+    moving = pulls.selectExpr(
+        "src AS id", "NULL AS x", "NULL AS y", "NULL AS cuts", "NULL AS epoch", "NULL AS rx", "NULL AS ry", "weight",
+        "weight * greatest(least(k * dx, 4D), -4D) AS fx",
+        "weight * greatest(least(k * dy, 4D), -4D) AS fy",
+    )
+    kept = [F.max(c).alias(c) for c in ("x", "y", "cuts", "epoch", "rx", "ry")]
+    sums = [F.sum(c).alias(c) for c in ("weight", "fx", "fy")]
     # Mean pull against half the summed push (every edge pulls from both ends);
     # the largest slope of the pull scales the step, so it cannot overshoot.
     step = f"(1D - epoch / {epochs}D) / {2.0 * a * b}D"
-    return pushed.join(forces, F.col("id") == F.col("src"), "left").selectExpr(
+    return still.unionByName(moving).groupBy("id").agg(*kept, *sums).selectExpr(
         "id",
-        f"x + {step} * (coalesce(fx / weight, 0D) + 0.5D * rx) AS x",
-        f"y + {step} * (coalesce(fy / weight, 0D) + 0.5D * ry) AS y",
+        f"x + {step} * (if(weight > 0, fx / weight, 0D) + 0.5D * rx) AS x",
+        f"y + {step} * (if(weight > 0, fy / weight, 0D) + 0.5D * ry) AS y",
         "cuts",
         "epoch + 1 AS epoch",
     )

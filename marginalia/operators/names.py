@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.urls import is_bad_name, repair_name
+from marginalia.operators.relational import join_keys
 
 
 def bad_names(df: DataFrame, column: str = "book_name") -> DataFrame:
@@ -20,10 +21,10 @@ def name_map(df: DataFrame, column: str = "book_name") -> DataFrame:
 def apply_name_map(df: DataFrame, names: DataFrame, column: str = "book_name") -> DataFrame:
     """Replace whole values found in the map; other values stay.
 
-    No join hint: the map grows with the data, so its size at run time decides.
+    The map grows with the data, so its size is checked before it is broadcast.
     """
     return (
-        df.join(names, column, "left")
+        join_keys(df, names, column, "left")
         .withColumn(column, F.coalesce("fixed", column))
         .select(*df.columns)
     )

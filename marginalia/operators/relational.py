@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.session import materialise
+
 
 # Keys that may be sent to every task: a few hundred bytes each at most.
 BROADCAST_ROWS = 500_000
@@ -23,11 +25,14 @@ def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
 
 
 def join_keys(df: DataFrame, keys: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join a large table with a key table, by broadcast only if that is small.
+    """Join a large table with a table of distinct keys.
 
-    The planner knows no size for an aggregated key table and would shuffle both
-    sides; adaptive execution corrects that when the large side has moved already.
+    The key table is written once. Then its size is known: a small one is sent
+    to every task. A large one is joined by shuffle, as a plain scan, because the
+    adaptive skew join can split a hot key only where no aggregation stands
+    between shuffle and join.
     """
+    keys = materialise(keys, "keys")
     return df.join(F.broadcast(keys) if fits_broadcast(keys) else keys, on, how)
 
 
