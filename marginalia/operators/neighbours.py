@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators.embedding import as_lists, as_matrix
+from marginalia.operators.embedding import as_matrix
 from marginalia.operators.relational import first_n
 from marginalia.session import materialise
 

@@ -29,3 +29,12 @@ def test_query(spark, oracle, name):
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns == ["author_class", "period", "n"] and df.count() == 4
+
+
+@pytest.mark.parametrize("name", ["review_keep_first", "unique_works", "link_first_seen", "knn_graph"])
+def test_one_shuffle_partition_gives_the_same(spark, oracle, name):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert spark_bag(contract.queries()[name](spark, SF)) == oracle_bag(oracle, contract.oracle_sql()[name])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")

@@ -2,12 +2,10 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from marginalia.functions.text import text_hash
 from marginalia.operators import density, discriminant, embedding, layout, neighbours
 from marginalia.session import scratch_path
-from marginalia.sources import readers
 
 
 def vectors(spark, x, ids=None, **columns):
