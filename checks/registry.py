@@ -298,7 +298,7 @@ def status_counts(spark, sf):
 @query("ledger_round_trip", f"WITH {fx.CARDS_SQL}, {MATCH_SQL} SELECT url, status, error_type FROM match")
 def ledger_round_trip(spark, sf):
     path = scratch_path(spark, "ledger")
-    results = match_status(spark, sf)
+    results = materialise(match_status(spark, sf), "results")
     writers.append_by_status(results.filter(F.col("status") != fv.FAILURE), path, "first")
     writers.append_by_status(results.filter(F.col("status") == fv.FAILURE), path, "second")
     writers.append_by_status(results.filter(F.col("status") == fv.FAILURE), path, "second")
