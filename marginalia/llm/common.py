@@ -19,9 +19,10 @@ LOWER = UPPER.lower()
 NO_ID = -(2**63)
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """Only ``doc_id`` and ``text``, without nulls."""
+def documents(docs: DataFrame, *columns: str) -> DataFrame:
+    """``doc_id`` and ``text`` without nulls, and the named columns as they are."""
     return docs.select(
+        *columns,
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
