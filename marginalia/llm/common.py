@@ -49,3 +49,8 @@ def digest(c: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def large(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: shuffled at every size, never broadcast."""
+    return df.hint("merge")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import digest, documents, lower_ascii, real_id
+from marginalia.llm.common import digest, documents, large, lower_ascii, real_id
 from marginalia.session import materialise
 
 # Members of one group that are compared in one piece.
@@ -50,7 +50,7 @@ def exact_duplicates(
     )
     members = materialise(
         rows.withColumn("key", key(F.col("text")))
-        .join(groups, "key")
+        .join(large(groups), "key")
         .withColumn("piece", F.pmod(F.xxhash64("doc_id", "text"), F.col("pieces")).cast("int")),
         "members",
     )
@@ -61,7 +61,7 @@ def exact_duplicates(
         .select("key", "first_text", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
     )
     odd = materialise(
-        members.join(first, ["key", "piece"]).filter("text != first_text").select("key", "doc_id", "text"), "odd"
+        members.join(large(first), ["key", "piece"]).filter("text != first_text").select("key", "doc_id", "text"), "odd"
     )
     by_text = odd.groupBy("key", "text").agg(best("doc_id").alias("odd_keep"), F.count(F.lit(1)).alias("odd_n"))
     apart = materialise(
@@ -79,7 +79,7 @@ def exact_duplicates(
     )
     keep_id = F.coalesce("odd_keep", "keep_id", "doc_id")
     return (
-        marks.join(alike, "key", "left")
+        marks.join(large(alike), "key", "left")
         .join(apart, ["doc_id", "sha", "key"], "left")
         .select(
             real_id("doc_id").alias("doc_id"),
