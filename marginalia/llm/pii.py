@@ -122,9 +122,8 @@ def _by_char(canon: Column, body) -> Column:
 
 def _surrogate(kind: Column, canon: Column, attempt: int, key: str) -> Column:
     """Keyed surrogate; later attempts give other ones, and longer ones where the type allows."""
-    h = F.hmac(F.lit(key), F.concat_ws("\x1f", kind, F.lit(str(attempt)), canon)) if hasattr(F, "hmac") else F.sha2(
-        F.concat_ws("\x1f", F.lit(key), kind, F.lit(str(attempt)), canon), 256
-    )
+    secret_key, entity = F.lit(key), F.concat_ws("\x1f", kind, F.lit(str(attempt)), canon)
+    h = F.sha2(F.concat(secret_key, F.sha2(F.concat(secret_key, entity), 256)), 256)
     longer = max(0, attempt - 2)
 
     def build(h: Column) -> Column:
@@ -290,16 +289,14 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
             )
         )
     )
-    placed = shown.groupBy("doc_id", "version").agg(
-        F.sort_array(F.collect_list(F.struct("at", "part", "shown"))).alias("shown"),
-        F.sum("one").alias("n_entities"),
-    )
-    # Matches in order; pieces of one match follow each other.
-    joined = F.transform(
-        F.sequence(F.lit(0), F.element_at("shown", -1)["at"]),
-        lambda k: F.array_join(
-            F.transform(F.filter("shown", lambda s: s["at"] == k), lambda s: s["shown"]), ""
-        ),
+    # Pieces make a match, matches in order what stands between the other parts of the text.
+    in_order = lambda at: F.sort_array(F.collect_list(F.struct(at, "shown")))["shown"]
+    placed = (
+        shown.repartition("doc_id", "version")
+        .groupBy("doc_id", "version", "at")
+        .agg(F.array_join(in_order("part"), "").alias("shown"), F.sum("one").alias("one"))
+        .groupBy("doc_id", "version")
+        .agg(in_order("at").alias("replaced"), F.sum("one").alias("n_entities"))
     )
     text = F.col("text")
     changed = F.array_join(
@@ -310,7 +307,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
         "",
     )
     return (
-        rows.join(large(placed.select("doc_id", "version", "n_entities", joined.alias("replaced"))), ["doc_id", "version"], "left")
+        rows.join(large(placed), ["doc_id", "version"], "left")
         .select(
             real_id("doc_id").alias("doc_id"),
             F.when(F.col("replaced").isNull(), text).otherwise(changed).alias("text"),

@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.exact_dedup import exact_duplicates
+from marginalia.llm.licence_texts import TEXTS, notices
+from marginalia.llm.licences import COPYRIGHT, RESERVED, SPELLINGS, licence_scan
 from marginalia.llm.line_dedup import deduplicated_lines
+from marginalia.llm.pii import pseudonymise
+from marginalia.llm.quality import quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +67,56 @@ FROM d JOIN g USING (t)
 @query("op7_exact_dedup", EXACT_SQL)
 def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_duplicates(documents_table(spark, sf))
+
+
+# In production the key comes from the operator's own secret store.
+PII_KEY = "surrogates of the registered query"
+
+
+@query("op3_pii_surrogates")
+def op3_pii_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    return pseudonymise(documents_table(spark, sf), PII_KEY)
+
+
+@query("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality(documents_table(spark, sf))
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"regexp_replace({LOWER_SQL.format(text)}, '{COPYRIGHT}', chr(10), 'g')"
+    out = f"regexp_replace({out}, '{RESERVED}', chr(10), 'g')"
+    out = f"regexp_replace({out}, '[^a-z0-9\\n]+', ' ', 'g')"
+    for a, b in SPELLINGS:
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+def _whole_sql(lines: str) -> str:
+    return f"md5(trim(regexp_replace({lines}, '[ \\n]+', ' ', 'g'), ' '))"
+
+
+def _licences_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in TEXTS + notices())
+    return f"""
+WITH known AS (
+  SELECT {_whole_sql(_canonical_sql("t"))} AS h, any_value(licence) AS licence
+  FROM (VALUES {known}) v(licence, t) GROUP BY h),
+d AS (SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS lines FROM documents),
+l AS (SELECT doc_id, unnest(string_split(lines, chr(10))) AS line,
+             unnest(range(len(string_split(lines, chr(10))))) AS pos FROM d),
+m AS (SELECT doc_id, string_agg(pos || ':' || licence, ',' ORDER BY pos) AS line_licences, count(*) AS n
+      FROM l JOIN known ON known.h = md5(trim(line, ' ')) GROUP BY doc_id)
+SELECT d.doc_id, known.licence AS text_licence, coalesce(m.line_licences, '') AS line_licences,
+       coalesce(m.n, 0) AS n_lines_matched
+FROM d LEFT JOIN known ON known.h = {_whole_sql("d.lines")} LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+
+
+@query("op10_licence_scan", _licences_sql())
+def op10_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
+    shown = F.transform("line_licences", lambda x: F.concat_ws(":", x["pos"].cast("string"), x["licence"]))
+    return licence_scan(documents_table(spark, sf)).select(
+        "doc_id", "text_licence", F.coalesce(F.array_join(shown, ","), F.lit("")).alias("line_licences"), "n_lines_matched"
+    )
