@@ -11,6 +11,7 @@ from marginalia.llm.exact_dedup import exact_duplicates
 from marginalia.llm.licence_texts import TEXTS, notices
 from marginalia.llm.licences import COPYRIGHT, RESERVED, SPELLINGS, licence_scan
 from marginalia.llm.line_dedup import deduplicated_lines
+from marginalia.llm.near_dedup import near_duplicates
 from marginalia.llm.pii import pseudonymise
 from marginalia.llm.quality import quality
 
@@ -120,3 +121,8 @@ def op10_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licence_scan(documents_table(spark, sf)).select(
         "doc_id", "text_licence", F.coalesce(F.array_join(shown, ","), F.lit("")).alias("line_licences"), "n_lines_matched"
     )
+
+
+@query("op6_minhash_near_dedup")
+def op6_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(documents_table(spark, sf))
