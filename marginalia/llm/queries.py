@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.bpe import encoded_digests
 from marginalia.llm.exact_dedup import exact_duplicates
 from marginalia.llm.licence_texts import TEXTS, notices
 from marginalia.llm.licences import COPYRIGHT, RESERVED, SPELLINGS, licence_scan
 from marginalia.llm.line_dedup import deduplicated_lines
 from marginalia.llm.near_dedup import near_duplicates
+from marginalia.llm.packing import packed
 from marginalia.llm.pii import pseudonymise
 from marginalia.llm.quality import quality
 
@@ -126,3 +129,20 @@ def op10_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_minhash_near_dedup")
 def op6_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(documents_table(spark, sf))
+
+
+@query("op9_bpe_prefix")
+def op9_bpe_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    return encoded_digests(documents_table(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """With the production vocabulary."""
+    return packed(
+        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("<|endoftext|>", 50256)
+    )
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(documents_table(spark, sf))
