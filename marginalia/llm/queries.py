@@ -17,6 +17,7 @@ from marginalia.llm.near_dedup import near_duplicates
 from marginalia.llm.packing import packed
 from marginalia.llm.pii import pseudonymise
 from marginalia.llm.quality import quality
+from marginalia.llm.suffix_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +147,8 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(documents_table(spark, sf))
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(documents_table(spark, sf)).drop("kept")
