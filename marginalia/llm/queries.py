@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.bpe import encoded_digests
 from marginalia.llm.exact_dedup import exact_duplicates
+from marginalia.llm.katz import katz_scores
 from marginalia.llm.licence_texts import TEXTS, notices
 from marginalia.llm.licences import COPYRIGHT, RESERVED, SPELLINGS, licence_scan
 from marginalia.llm.line_dedup import deduplicated_lines
@@ -152,3 +153,8 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_suffix_dedup")
 def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeats(documents_table(spark, sf)).drop("kept")
+
+
+@query("op2_katz_backoff")
+def op2_katz_backoff(spark: SparkSession, sf: str) -> DataFrame:
+    return katz_scores(documents_table(spark, sf))
