@@ -19,7 +19,7 @@ LOWER = UPPER.lower()
 NO_ID = -(2**63)
 
 
-def documents(docs: DataFrame, *columns: str) -> DataFrame:
+def documents(docs: DataFrame, *columns: str | Column) -> DataFrame:
     """``doc_id`` and ``text`` without nulls, and the named columns as they are."""
     return docs.select(
         *columns,
@@ -28,6 +28,18 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
     )
 
 
+def rest_of_row(docs: DataFrame) -> Column:
+    """All other columns as one, so that their names cannot clash with an operator's own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return (F.struct(*others) if others else F.struct(F.lit(None).alias("none"))).alias("rest")
+
+
+def as_before(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` in their order, from ``doc_id``, ``text`` and ``rest``."""
+    own = {"doc_id": real_id("doc_id"), "text": F.col("text")}
+    return df.select(*[own.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
+
+
 def real_id(c: Column | str) -> Column:
     """The id as it came in: null where there was none."""
     return F.nullif(F.col(c) if isinstance(c, str) else c, F.lit(NO_ID))

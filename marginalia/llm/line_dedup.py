@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import BLANKS, digest, documents, lower_ascii, real_id
+from marginalia.llm.common import BLANKS, as_before, digest, documents, large, lower_ascii, real_id, rest_of_row
 from marginalia.session import materialise
 
 WORD = 64  # bits of a word of the bitmap
 
 
-def _with_version(docs: DataFrame) -> DataFrame:
+def _with_version(docs: DataFrame, *columns: Column) -> DataFrame:
     """Rows that share an id but not a text keep bitmaps of their own."""
-    return documents(docs).withColumn("version", F.xxhash64("text"))
+    return documents(docs, *columns).withColumn("version", F.xxhash64("text"))
 
 
 def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -54,7 +54,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
         .select("hash", "last_doc"),
         "line-keys",
     )
-    dropped = found.join(keys, "hash").filter("doc_id != last_doc")
+    dropped = found.join(large(keys), "hash").filter("doc_id != last_doc")
     bit = F.expr(f"shiftleft(1L, cast(pos % {WORD} as int))")
     return (
         dropped.repartition("doc_id", "version")
@@ -85,6 +85,13 @@ def kept_text(text: Column, words: Column) -> Column:
     return F.when(words.isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
 
 
+def _without_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    bitmaps = line_bitmaps(docs, min_chars, min_docs)
+    return _with_version(docs, rest_of_row(docs)).join(large(bitmaps), ["doc_id", "version"], "left").withColumns(
+        {"n_lines": F.size(F.split("text", "\n")), "text": kept_text(F.col("text"), F.col("words"))}
+    )
+
+
 def deduplicated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``doc_id, text, n_lines, n_dropped`` of every row, the text without repeated lines.
 
@@ -92,11 +99,14 @@ def deduplicated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
     lose all lines. Repeated rows lose the same lines each. An empty table gives
     an empty table; other columns are not read.
     """
-    rows = _with_version(docs)
-    bitmaps = line_bitmaps(docs, min_chars, min_docs)
-    return rows.join(bitmaps, ["doc_id", "version"], "left").select(
+    return _without_lines(docs, min_chars, min_docs).select(
         real_id("doc_id").alias("doc_id"),
-        kept_text(F.col("text"), F.col("words")).alias("text"),
-        F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"),
+        "text",
+        F.col("n_lines").cast("bigint"),
         F.coalesce("n_dropped", F.lit(0)).cast("bigint").alias("n_dropped"),
     )
+
+
+def without_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """The rows of ``docs`` with all their columns, the text as ``deduplicated_lines`` leaves it."""
+    return as_before(_without_lines(docs, min_chars, min_docs), docs)

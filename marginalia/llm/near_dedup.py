@@ -255,3 +255,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         real_id(component).alias("component_id"),
         (component == F.col("doc_id")).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
+    kept = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(large(kept), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")

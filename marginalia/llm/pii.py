@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import documents, large, let, real_id
+from marginalia.llm.common import as_before, documents, large, let, real_id, rest_of_row
 from marginalia.session import materialise
 
 # Titles before a name, with the gender they tell (fixed values).
@@ -255,6 +255,11 @@ def _in_format(raw: Column, surrogate: Column, kind: Column) -> Column:
     return F.when(kind.isin("phone", "card"), numbered).when(kind.isin("address", "secret"), surrogate).otherwise(cased)
 
 
+def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` with all their columns, the text as ``pseudonymise`` leaves it."""
+    return as_before(_replaced(docs, key), docs)
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``doc_id, text, n_entities`` of every row, entities replaced by surrogates.
 
@@ -269,7 +274,11 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     is one row of the distinct entities; its mentions are joined by shuffle, which
     splits them, and each document gets its own pieces back.
     """
-    rows = documents(docs).withColumn("version", F.xxhash64("text"))
+    return _replaced(docs, key).select(real_id("doc_id").alias("doc_id"), "text", "n_entities")
+
+
+def _replaced(docs: DataFrame, key: str) -> DataFrame:
+    rows = documents(docs, rest_of_row(docs)).withColumn("version", F.xxhash64("text"))
     pieces = materialise(
         rows.select("doc_id", "version", F.posexplode(_matches(F.col("text"))).alias("at", "match"))
         .select("doc_id", "version", "at", F.posexplode(_pieces(F.col("match"))).alias("part", "piece"))
@@ -306,11 +315,9 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
         ),
         "",
     )
-    return (
-        rows.join(large(placed), ["doc_id", "version"], "left")
-        .select(
-            real_id("doc_id").alias("doc_id"),
-            F.when(F.col("replaced").isNull(), text).otherwise(changed).alias("text"),
-            F.coalesce("n_entities", F.lit(0)).cast("bigint").alias("n_entities"),
-        )
+    return rows.join(large(placed), ["doc_id", "version"], "left").withColumns(
+        {
+            "text": F.when(F.col("replaced").isNull(), text).otherwise(changed),
+            "n_entities": F.coalesce("n_entities", F.lit(0)).cast("bigint"),
+        }
     )

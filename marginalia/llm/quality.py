@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import BLANKS, documents, let, real_id
+from marginalia.llm.common import BLANKS, as_before, documents, let, real_id, rest_of_row
 from marginalia.session import materialise
 
 SYMBOLS = "#*$%&|<>"
@@ -25,6 +25,7 @@ SCALE = 10_000  # statistics are whole numbers of 1/SCALE, so sums do not depend
 SHARE = 0.75  # of a group that the estimate rests on
 # Chi-square with four degrees of freedom: SHARE quantile, and 0.975 for the reweighting.
 CHI_SHARE, CHI_REWEIGHT = 5.3853, 11.1433
+LIMIT = 50.0  # of the squared distance
 BINS = 50  # of the distance, per factor e
 
 
@@ -67,24 +68,24 @@ def _covered(words: Column) -> Column:
     )
 
 
-def text_statistics(docs: DataFrame, *columns: str) -> DataFrame:
-    """``doc_id``, the named columns and the counts of the text, in one pass without a shuffle.
+def text_statistics(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``doc_id``, the given columns and the counts of the text, in one pass without a shuffle.
 
     ``n_words, word_chars, n_symbols, n_lines`` (with a word), ``n_dup_lines``,
     ``n_repeat_words``.
     """
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
-    return documents(docs, *columns).select(
-        "doc_id",
-        *columns,
+    base = documents(docs, *columns)
+    given = [c for c in base.columns if c != "text"]
+    return base.select(
+        *given,
         let(_words(text), lambda w: F.struct(F.size(w).alias("n"), _covered(w).alias("r"))).alias("w"),
         let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))).alias("l"),
         F.length(F.translate(text, BLANKS, "")).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
     ).select(
-        "doc_id",
-        *columns,
+        *given,
         F.col("w.n").cast("bigint").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -214,7 +215,28 @@ def mcd_estimate(rows: DataFrame, steps: int = 10) -> DataFrame:
     return materialise(_estimate(inliers, F.lit(1.0)), "estimate")
 
 
-def quality(docs: DataFrame, min_words: int = 50, repeat_percent: int = 50, limit: float = 50.0) -> DataFrame:
+def _stats(docs: DataFrame, min_words: int, repeat_percent: int, *columns: Column) -> DataFrame:
+    group = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in docs.columns else F.lit("").alias(c) for c in GROUP]
+    return text_statistics(docs, *group, *columns).withColumn(
+        "base_failed",
+        (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")),
+    ).withColumns(_features())
+
+
+def of_quality(docs: DataFrame, min_words: int = 50, repeat_percent: int = 50, limit: float = LIMIT) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns.
+
+    Statistics are taken once for the estimates and once more beside the texts, so
+    that no text is shuffled; the estimates are one row per group.
+    """
+    stats = materialise(_stats(docs, min_words, repeat_percent).filter("NOT base_failed"), "statistics")
+    whole = F.struct(F.col("text"), rest_of_row(docs)).alias("whole")
+    passed = _stats(docs, min_words, repeat_percent, whole).filter("NOT base_failed")
+    kept = _distance(mcd_estimate(stats), passed).filter(F.col("d2") <= limit)
+    return as_before(kept.select("doc_id", "whole.*"), docs)
+
+
+def quality(docs: DataFrame, min_words: int = 50, repeat_percent: int = 50, limit: float = LIMIT) -> DataFrame:
     """Statistics and verdict of every row.
 
     ``base_failed``: fewer than ``min_words`` words, or more than
@@ -230,17 +252,7 @@ def quality(docs: DataFrame, min_words: int = 50, repeat_percent: int = 50, limi
     centre and is kept. Repeated rows get equal verdicts. An empty table gives an
     empty table.
     """
-    lacking = {c: F.lit("") for c in GROUP if c not in docs.columns}
-    stats = materialise(
-        text_statistics(docs.withColumns(lacking) if lacking else docs, *GROUP)
-        .withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in GROUP})
-        .withColumn(
-            "base_failed",
-            (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")),
-        )
-        .withColumns(_features()),
-        "statistics",
-    )
+    stats = materialise(_stats(docs, min_words, repeat_percent), "statistics")
     passed = stats.filter("NOT base_failed")
     judged = _distance(mcd_estimate(passed), passed).withColumn("kept", F.col("d2") <= limit)
     failed = stats.filter("base_failed").withColumns({"d2": F.lit(None).cast("double"), "kept": F.lit(False)})

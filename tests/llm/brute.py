@@ -45,15 +45,21 @@ def katz(docs: dict[int, str], held: dict[int, bool]):
     for (a, b), c in pairs.items():
         after.setdefault(a, {})[b] = c
 
+    weights = {}
+
+    def weight(a):
+        if a not in weights:
+            seen = after[a]
+            total = sum(seen.values()) + all(c > DISCOUNTED for c in seen.values())
+            left = 1 - sum(d2(c) * c for c in seen.values()) / total
+            weights[a] = total, left / (1 - sum(uni(w) for w in seen))
+        return weights[a]
+
     def probability(a, b):
         if a not in after:
             return uni(b)
-        seen, total = after[a], sum(after[a].values())
-        total += all(c > DISCOUNTED for c in seen.values())
-        if b in seen:
-            return d2(seen[b]) * seen[b] / total
-        left = 1 - sum(d2(c) * c for c in seen.values()) / total
-        return left / (1 - sum(uni(w) for w in seen)) * uni(b)
+        total, rest = weight(a)
+        return d2(after[a][b]) * after[a][b] / total if b in after[a] else rest * uni(b)
 
     out = {
         i: (
