@@ -18,7 +18,7 @@ from marginalia.llm.common import documents, real_id
 
 WINDOW = 2048
 PIECE = 256  # rests are cut to this size: several pieces to a window can be balanced
-SPARE = 8  # tokens that a window is planned below its size
+SPARE = 16  # tokens that a window is planned below its size
 GROUP = 96  # windows that are balanced together
 
 
