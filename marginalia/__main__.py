@@ -1,5 +1,7 @@
-"""The steps as commands: ``spark-submit marginalia/__main__.py <step> ...`` or
-``python -m marginalia <step> ...``.
+"""The steps as commands: ``marginalia <step> ...`` or ``python -m marginalia <step> ...``.
+
+On a cluster, install the package where executors run, or send it with
+``--py-files``; see the README.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from marginalia.sources import readers, writers
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="marginalia", description=__doc__)
+    top.add_argument("--scratch", help="folder all executors share, for intermediate tables")
     steps = top.add_subparsers(dest="step", required=True)
 
     def step(name: str, text: str, *paths: str) -> argparse.ArgumentParser:
@@ -45,7 +48,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    spark = build_session(f"marginalia {args.step}")
+    scratch = {"spark__checkpoint__dir": args.scratch} if args.scratch else {}
+    spark = build_session(f"marginalia {args.step}", **scratch)
     if args.step == "discover":
         corpus.discover(readers.read_pages(spark, args.pages), args.out, args.css_class)
     elif args.step == "deduplicate":

@@ -6,45 +6,104 @@ and close tags, so nested markup inside a review or a list is kept whole.
 
 from __future__ import annotations
 
+import html.entities as html_tables
+import json
 import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marginalia import fixed_values as fv
-from marginalia.functions.text import _col, collapse_ws, let, split_on, strip_tags
+from marginalia.functions.text import _col, collapse_ws, let, split_on, strip_tags, without_marks
 from marginalia.functions.urls import _group
 
-_VALUE = r"""\s*=\s*["']"""
+# One attribute, or a character that is none; quoted values may hold anything but their quote.
+_ATTRIBUTE = r"""(?:[^\s=>/"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+|[\s/"'=])"""
+_REST = rf"{_ATTRIBUTE}*+>"
 
 
 def _has_class(name: str) -> str:
     """Lookahead: the open tag carries this class among others."""
-    return rf"""(?=[^>]*\sclass{_VALUE}(?:[^"']*\s)?{re.escape(name)}(?:\s[^"']*)?["'])"""
+    n = re.escape(name)
+    return (
+        rf"""(?={_ATTRIBUTE}*?(?<=[\s"'/])class\s*=\s*"""
+        rf"""(?:"(?:[^"]*\s)?{n}(?:\s[^"]*)?"|'(?:[^']*\s)?{n}(?:\s[^']*)?'|{n}(?=[\s>])))"""
+    )
 
 
 def _has_attribute(name: str, value: str) -> str:
-    return rf"""(?=[^>]*\s{name}{_VALUE}{re.escape(value)}["'])"""
+    v = re.escape(value)
+    return rf"""(?={_ATTRIBUTE}*?(?<=[\s"'/]){name}\s*=\s*(?:"{v}"|'{v}'|{v}(?=[\s>])))"""
 
 
 def _open_tag(tag: str, condition: str = "") -> str:
-    return rf"(?i)<{tag}\b{condition}[^>]*>"
+    return rf"(?i)<{tag}\b{condition}{_REST}"
 
 
 def _attribute(tag: str, name: str, condition: str = "", must_hold: str = "") -> str:
-    """Pattern whose first group is the attribute value."""
-    return rf"""(?i)<{tag}\b{condition}[^>]*?\s{name}{_VALUE}([^"']*{must_hold}[^"']*)["'][^>]*>"""
+    """Pattern of the whole open tag; its first group is the attribute value with its quotes."""
+    m = re.escape(must_hold)
+    double, single, bare = r'[^"]*', r"[^']*", r"[^\s>]*"
+    if must_hold:
+        double, single, bare = double + m + double, single + m + single, bare + m + bare
+    value = rf"""("{double}"|'{single}'|(?!["']){bare})"""
+    return rf"""(?i)<{tag}\b{condition}{_ATTRIBUTE}*?(?<=[\s"'/]){name}\s*=\s*{value}{_REST}"""
+
+
+def _unquoted(value: Column) -> Column:
+    """An attribute value as text; the empty match stays empty."""
+    return decode_entities(
+        F.when(value.rlike("^[\"']"), F.substring(value, 2, F.length(value) - 2)).otherwise(value)
+    )
+
+
+_REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+# Names by the public table of the HTML standard, as Python carries it.
+_NAMED = json.dumps({k: v for k, v in html_tables.html5.items() if k.endswith(";")})
+# Numbers that stand for characters of the Windows code page.
+_WINDOWS = json.dumps(
+    {str(n): bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
+)
+
+
+def _code_point(number: Column) -> Column:
+    """The character; what is none becomes the replacement character."""
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    windows = F.from_json(F.lit(_WINDOWS), "map<string,string>")
+    return F.coalesce(
+        F.try_element_at(windows, number.cast("string")), F.when(valid, plain), F.lit("�")
+    )
+
+
+def _referenced(code: Column) -> Column:
+    """The text of one reference; an unknown name stays as it is."""
+    named = F.try_element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), F.substring(code, 2, 40))
+    digits = F.regexp_extract(code, "([0-9a-fA-F]+);$", 1)
+    number = F.when(code.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+    return F.when(code.startswith("&#"), F.coalesce(_code_point(number), F.lit("�"))).otherwise(
+        F.coalesce(named, code)
+    )
 
 
 def decode_entities(c: Column) -> Column:
-    """The named and numeric references that page templates emit."""
-    for code, char in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'),
-        ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
-        ("&amp;", "&"),
-    ):
-        c = F.replace(c, F.lit(code), F.lit(char))
-    return c
+    """Text with all numeric references, and all named ones that end in a semicolon, decoded once."""
+    def decoded(text: Column) -> Column:
+        codes = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+        return let(
+            codes,
+            lambda found: F.array_join(
+                F.transform(
+                    split_on(text, _REFERENCE),
+                    lambda piece, i: F.concat(
+                        piece, F.coalesce(_referenced(F.get(found, i)), F.lit(""))
+                    ),
+                ),
+                "",
+            ),
+        )
+
+    return let(c, lambda text: F.when(text.rlike(_REFERENCE), decoded(without_marks(text))).otherwise(text))
 
 
 def inner_text(html: Column) -> Column:
@@ -91,7 +150,7 @@ def _joined(items: Column) -> Column:
 def canonical_url(html: Column | str) -> Column:
     """Content of the canonical meta tag, attributes in any order."""
     meta = _attribute("meta", "content", _has_attribute("property", fv.CANONICAL_PROPERTY))
-    return decode_entities(_group(_col(html), meta))
+    return F.nullif(_unquoted(_group(_col(html), meta)), F.lit(""))
 
 
 def link_hrefs(html: Column | str, css_class: str | None = None) -> Column:
@@ -99,7 +158,7 @@ def link_hrefs(html: Column | str, css_class: str | None = None) -> Column:
     condition = _has_class(css_class) if css_class else ""
     return F.transform(
         F.regexp_extract_all(_col(html), F.lit(_attribute("a", "href", condition)), 1),
-        decode_entities,
+        _unquoted,
     )
 
 
@@ -112,12 +171,12 @@ def card_htmls(html: Column | str) -> Column:
     return element_inners(html, "article", _has_class(fv.REVIEW_CARD_CLASS))
 
 
-_REVIEW_LINK = _attribute("a", "href", must_hold=re.escape(fv.REVIEW_LINK_MARK))
+_REVIEW_LINK = _attribute("a", "href", must_hold=fv.REVIEW_LINK_MARK)
 
 
 def review_id(card: Column | str) -> Column:
     """Target of the review link."""
-    return decode_entities(_group(_col(card), _REVIEW_LINK))
+    return F.nullif(_unquoted(_group(_col(card), _REVIEW_LINK)), F.lit(""))
 
 
 def review_date(card: Column | str) -> Column:
@@ -137,7 +196,7 @@ def stars_from_label(label: Column | str) -> Column:
 def stars(card: Column | str) -> Column:
     """First number of the rating label."""
     label = _attribute("span", "aria-label", _has_class(fv.STARS_CLASS))
-    return stars_from_label(F.regexp_extract(_col(card), label, 1))
+    return stars_from_label(_unquoted(F.regexp_extract(_col(card), label, 1)))
 
 
 def authors(html: Column | str) -> Column:
@@ -161,7 +220,7 @@ def avg_rating(html: Column | str) -> Column:
 
 def total_reviews(html: Column | str) -> Column:
     """Count in the link to the community reviews, thousands marks removed."""
-    link = _attribute("a", "href", must_hold=re.escape(fv.REVIEWS_LINK_MARK))
+    link = _attribute("a", "href", must_hold=fv.REVIEWS_LINK_MARK)
     text = inner_text(F.regexp_extract(_col(html), rf"(?s){link}(.*?)</a\s*>", 2))
     count = F.replace(_group(text, fv.REVIEW_COUNT_PATTERN), F.lit(","), F.lit(""))
     return F.coalesce(count, F.lit(fv.NOT_FOUND))
@@ -169,7 +228,7 @@ def total_reviews(html: Column | str) -> Column:
 
 def release_date(html: Column | str) -> Column:
     test_id = _has_attribute("data-testid", fv.PUBLICATION_TEST_ID)
-    pattern = rf"(?is)<([a-z][\w-]*)\b{test_id}[^>]*>(.*?)</\1\s*>"
+    pattern = rf"(?is)<([a-z][\w-]*)\b{test_id}{_REST}(.*?)</\1\s*>"
     found = _first(F.regexp_extract_all(_col(html), F.lit(pattern), 2))
     text = F.replace(inner_text(found), F.lit(fv.FIRST_PUBLISHED), F.lit(""))
     return F.coalesce(text, F.lit(fv.NOT_FOUND))

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from marginalia import fixed_values as fv
 
 _BREAK = r"(?i)<br" + fv.WS + r"*/?>"
-# Stands for a cut while a text is taken apart; HTML cannot hold it.
+# Stands for a cut while a text is taken apart. A NUL of the text itself becomes
+# the replacement character first, as in a browser.
 _MARK = "\u0000"
+_REPLACED = "\ufffd"
 _TAG = r"<[^>\n]*>"
 
 
@@ -43,13 +45,17 @@ def words(c: Column | str) -> Column:
     return drop_empty(F.split(F.regexp_replace(_col(c), f"{fv.WS}+", " "), " "))
 
 
+def without_marks(c: Column | str) -> Column:
+    return F.replace(_col(c), F.lit(_MARK), F.lit(_REPLACED))
+
+
 def split_on(c: Column | str, pattern: str) -> Column:
     """Split on a pattern.
 
     ``F.split`` compiles its pattern for every row, ``regexp_replace`` once; a
     split on a plain character needs none.
     """
-    return F.split(F.regexp_replace(_col(c), pattern, _MARK), _MARK)
+    return F.split(F.regexp_replace(without_marks(c), pattern, _MARK), _MARK)
 
 
 def split_br(html: Column | str) -> Column:
@@ -72,7 +78,7 @@ def paragraphs(html: Column | str) -> Column:
     Breaks are marked first and tags go second, so a break inside a tag or
     between a bare ``<`` and ``>`` goes with them.
     """
-    marked = F.regexp_replace(_col(html), _BREAK, _MARK)
+    marked = F.regexp_replace(without_marks(html), _BREAK, _MARK)
     return drop_empty(F.transform(F.split(strip_tags(marked), _MARK), strip))
 
 

@@ -11,18 +11,14 @@ from marginalia import fixed_values as fv
 from marginalia.operators.relational import fits_broadcast
 from marginalia.session import materialise
 
-# Beyond nine bandwidths a kernel is below double precision of its peak.
-_REACH = 9.0
-
 
 def density(df: DataFrame, x: str, cls: str, grid: int = fv.DENSITY_GRID) -> DataFrame:
     """``cls, x, density``: ``grid`` points per class, each class scaled alone.
 
     Bandwidth by Scott's rule, the grid from three bandwidths below the smallest
     to three above the largest value. A class of one row or without spread has
-    no curve. A row only meets the grid points within reach of its kernel, and
-    these are summed per task before the shuffle, which therefore carries at
-    most ``grid`` rows per class and task. The rows themselves are not shuffled:
+    no curve. Every row adds to every grid point; these are summed per task before
+    the shuffle, which therefore carries at most ``grid`` rows per class and task. The rows themselves are not shuffled:
     the class table goes to them, unless there are very many classes.
     """
     rows = df.select(F.col(cls).alias("cls"), F.col(x).cast("double").alias("v")).dropna()
@@ -41,21 +37,13 @@ def density(df: DataFrame, x: str, cls: str, grid: int = fv.DENSITY_GRID) -> Dat
         .select("cls", "n", "h", "start", "step")
     )
     stats = materialise(stats, "density-classes")
-    offset = F.col("v") - F.col("start")
-    first = F.greatest(F.ceil((offset - _REACH * F.col("h")) / F.col("step")), F.lit(0))
-    last = F.least(F.floor((offset + _REACH * F.col("h")) / F.col("step")), F.lit(grid - 1))
     small = F.broadcast(stats) if fits_broadcast(stats) else stats
-    # An outlier between two grid points may reach neither.
-    met = rows.join(small, "cls").filter(first <= last).select(
-        "cls", "v", "h", "start", "step", F.explode(F.sequence(first, last)).alias("point")
-    )
+    grid_points = F.sequence(F.lit(0), F.lit(grid - 1)).cast("array<bigint>")
+    met = rows.join(small, "cls").select("cls", "v", "h", "start", "step", F.explode(grid_points).alias("point"))
     z = (F.col("start") + F.col("point") * F.col("step") - F.col("v")) / F.col("h")
     sums = met.groupBy("cls", "point").agg(F.sum(F.exp(-0.5 * z * z)).alias("mass"))
-    points = stats.select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)).cast("array<bigint>")).alias("point")
-    )
-    return points.join(sums, ["cls", "point"], "left").select(
+    return stats.join(sums, "cls").select(
         F.col("cls").alias(cls),
         (F.col("start") + F.col("point") * F.col("step")).alias("x"),
-        (F.coalesce("mass", F.lit(0.0)) / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"),
+        (F.col("mass") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"),
     )

@@ -98,12 +98,9 @@ def as_matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
 def missing_texts(df: DataFrame, text_col: str, cache_path: str, encoder_name: str) -> DataFrame:
     """Rows whose text has no cached vector of this encoder."""
     cached = read_embeddings(df.sparkSession, cache_path, encoder_name).select("text_hash")
-    return (
-        df.select(F.col(text_col))
-        .withColumn("text_hash", text_hash(text_col))
-        .join(cached, "text_hash", "left_anti")
-        .drop("text_hash")
-    )
+    # Copies meet by hash, and only one text of each goes on to the lookup.
+    texts = df.select(F.col(text_col), text_hash(text_col).alias("text_hash")).dropDuplicates(["text_hash"])
+    return texts.join(cached, "text_hash", "left_anti").drop("text_hash")
 
 
 def embed_cached(

@@ -20,7 +20,6 @@ from marginalia import fixed_values as fv
 from marginalia.session import materialise, scratch_path
 
 _BISECTIONS = 64
-_ANCHORS = 256  # candidates for random partners per epoch
 _PARTNERS = 5  # random partners per point and epoch
 _HUB_EDGES = 20_000  # edges of one point that go to one task
 
@@ -102,14 +101,33 @@ def curve_parameters(min_dist: float = fv.MAP_MIN_DIST, spread: float = 1.0) ->
 
 
 def pca_positions(emb: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """First two principal components, scaled into a square of side 20."""
+    """First two principal components, scaled into a square of side 20.
+
+    The point furthest out on an axis is on its positive side.
+    """
     vectors = emb.select(F.col(id_col).cast("bigint").alias("id"), array_to_vector(F.col(vec_col)).alias("v"))
     model = PCA(k=2, inputCol="v", outputCol="p").fit(vectors)
     xy = model.transform(vectors).select("id", vector_to_array("p").alias("p"))
     xy = xy.select("id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
-    reach = xy.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))))
-    scale = F.lit(10.0) / F.greatest(reach.scalar(), F.lit(1e-12))
-    return xy.select("id", (F.col("x") * scale).alias("x"), (F.col("y") * scale).alias("y"))
+    far = {c: F.max_by(F.signum(c), F.struct(F.abs(c), "id")) for c in "xy"}
+    reach = xy.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("r"), *[far[c].alias(f"s{c}") for c in "xy"]).first()
+    scale = 10.0 / max(reach.r or 0.0, 1e-12)
+    return xy.select("id", (F.col("x") * (scale * (reach.sx or 1.0))).alias("x"), (F.col("y") * (scale * (reach.sy or 1.0))).alias("y"))
+
+
+def _numbered(df: DataFrame) -> tuple[DataFrame, int]:
+    """Rows with dense numbers ``no`` from 0, and how many there are.
+
+    The driver gets one count per partition of the written table.
+    """
+    df = materialise(df.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "numbered")
+    counts = df.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("low")).orderBy("part").collect()
+    starts, at = [], 0
+    for row in counts:
+        starts.append((row.part, at - row.low))
+        at += row.n
+    shift = df.sparkSession.createDataFrame(starts or [(0, 0)], "part int, shift bigint")
+    return df.join(F.broadcast(shift), "part").withColumn("no", F.col("place") + F.col("shift")).drop("part", "place", "shift"), at
 
 
 def map_2d(
@@ -134,7 +152,8 @@ def map_2d(
         # A point with very many edges is joined in several pieces.
         .select("id", "x", "y", F.ceil(F.coalesce("n", F.lit(1)) / _HUB_EDGES).cast("int").alias("cuts"), F.lit(0).alias("epoch"))
     )
-    nodes = materialise(start, "map-start")
+    numbered, count = _numbered(start)
+    nodes = materialise(numbered, "map-start")
     cuts = nodes.select("id", "cuts")
     spread = (
         edges.join(cuts.toDF("src", "src_cuts"), "src")
@@ -150,13 +169,15 @@ def map_2d(
     links = materialise(spread, "map-edges")
     folders = [scratch_path(emb.sparkSession, f"map-epoch-{i}") for i in (0, 1)]
     for epoch in range(epochs):
-        moved = _epoch(nodes, links, a, b, epochs, seed)
+        moved = _epoch(nodes, links, a, b, epochs, seed, count)
         moved.write.mode("overwrite").parquet(folders[epoch % 2])
         nodes = emb.sparkSession.read.schema(nodes.schema).parquet(folders[epoch % 2])
     return nodes.select("id", "x", "y")
 
 
-def _epoch(nodes: DataFrame, links: DataFrame, a: float, b: float, epochs: int, seed: int) -> DataFrame:
+def _epoch(
+    nodes: DataFrame, links: DataFrame, a: float, b: float, epochs: int, seed: int, count: int
+) -> DataFrame:
     """All points moved once.
 
     The epoch number is a column, not a constant, so every epoch compiles to
@@ -171,55 +192,42 @@ def _epoch(nodes: DataFrame, links: DataFrame, a: float, b: float, epochs: int,
         f"""if(dx = 0 AND dy = 0, 0D,
             {-2.0 * a * b}D * pow(dx * dx + dy * dy, {b - 1.0}D) / (1D + {a}D * pow(dx * dx + dy * dy, {b}D))) AS k""",
     )
-    # Random partners: a fixed number of points drawn by hash, one value for all.
-    anchors = (
-        nodes.orderBy(F.expr(f"xxhash64(id, epoch, {seed})"), "id")
-        .limit(_ANCHORS)
-        .agg(F.sort_array(F.collect_list(F.struct("id", "x", "y"))))
-        .scalar()
+    # Random partners, drawn from all points by their number.
+    drawn = nodes.selectExpr("id", "x", "y", "epoch", f"explode(sequence(1, {_PARTNERS})) AS j").selectExpr(
+        "id", "x", "y", f"pmod(xxhash64(id, epoch, j, {seed}), {max(count, 1)}L) AS no"
     )
-    pushed = (
-        nodes.withColumn("anchors", anchors)
-        .selectExpr(
-            "id", "x", "y", "cuts", "epoch",
-            f"""transform(sequence(1, {_PARTNERS}),
-                j -> element_at(anchors, cast(pmod(xxhash64(id, epoch, j), size(anchors)) AS int) + 1)) AS partners""",
-        )
-        .selectExpr(
-            "id", "x", "y", "cuts", "epoch",
-            """transform(partners, p -> named_struct('dx', x - p.x, 'dy', y - p.y,
-                'd2', if(p.id = id, NULL, pow(x - p.x, 2) + pow(y - p.y, 2)))) AS gaps""",
-        )
-        .selectExpr(
-            "id", "x", "y", "cuts", "epoch",
-            f"""transform(gaps, g -> named_struct('dx', g.dx, 'dy', g.dy,
-                'k', coalesce({2.0 * b}D / ((0.001D + g.d2) * (1D + {a}D * pow(g.d2, {b}D))), 0D))) AS pushes""",
-        )
-        .selectExpr(
-            "id", "x", "y", "cuts", "epoch",
-            "aggregate(pushes, 0D, (s, p) -> s + greatest(least(p.k * p.dx, 4D), -4D)) AS rx",
-            "aggregate(pushes, 0D, (s, p) -> s + greatest(least(p.k * p.dy, 4D), -4D)) AS ry",
-        )
+    others = nodes.selectExpr("no", "id AS other", "x AS other_x", "y AS other_y")
+    pushes = (
+        drawn.join(others, "no")
+        .filter("id != other")
+        .selectExpr("id", "x - other_x AS dx", "y - other_y AS dy", "pow(x - other_x, 2) + pow(y - other_y, 2) AS d2")
+        .selectExpr("id", "dx", "dy", f"{2.0 * b}D / ((0.001D + d2) * (1D + {a}D * pow(d2, {b}D))) AS k")
+    )
+    # Points, pulls and pushes meet in one aggregation, combined per task before
+    # the shuffle, instead of a shuffle for the sums and another for their join.
+    zero = ["0D AS weight", "0D AS fx", "0D AS fy"]
+    nothing = [f"NULL AS {c}" for c in ("x", "y", "cuts", "epoch", "no")]
+    still = nodes.selectExpr("id", "x", "y", "cuts", "epoch", "no", "0D AS rx", "0D AS ry", *zero)
+    pushed = pushes.selectExpr(
+        "id", *nothing, "greatest(least(k * dx, 4D), -4D) AS rx", "greatest(least(k * dy, 4D), -4D) AS ry", *zero
     )
-    # Points and pulls meet in one aggregation, combined per task before the
-    # shuffle, instead of a shuffle for the sums and another for their join.
-    still = pushed.selectExpr("id", "x", "y", "cuts", "epoch", "rx", "ry", "0D AS weight", "0D AS fx", "0D AS fy")
     moving = pulls.selectExpr(
-        "src AS id", "NULL AS x", "NULL AS y", "NULL AS cuts", "NULL AS epoch", "NULL AS rx", "NULL AS ry", "weight",
+        "src AS id", *nothing, "0D AS rx", "0D AS ry", "weight",
         "weight * greatest(least(k * dx, 4D), -4D) AS fx",
         "weight * greatest(least(k * dy, 4D), -4D) AS fy",
     )
-    kept = [F.max(c).alias(c) for c in ("x", "y", "cuts", "epoch", "rx", "ry")]
-    sums = [F.sum(c).alias(c) for c in ("weight", "fx", "fy")]
+    kept = [F.max(c).alias(c) for c in ("x", "y", "cuts", "epoch", "no")]
+    sums = [F.sum(c).alias(c) for c in ("rx", "ry", "weight", "fx", "fy")]
     # Mean pull against half the summed push (every edge pulls from both ends);
     # the largest slope of the pull scales the step, so it cannot overshoot.
     step = f"(1D - epoch / {epochs}D) / {2.0 * a * b}D"
-    return still.unionByName(moving).groupBy("id").agg(*kept, *sums).selectExpr(
+    return still.unionByName(pushed).unionByName(moving).groupBy("id").agg(*kept, *sums).selectExpr(
         "id",
         f"x + {step} * (if(weight > 0, fx / weight, 0D) + 0.5D * rx) AS x",
         f"y + {step} * (if(weight > 0, fy / weight, 0D) + 0.5D * ry) AS y",
         "cuts",
         "epoch + 1 AS epoch",
+        "no",
     )
 
 

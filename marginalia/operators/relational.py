@@ -74,8 +74,15 @@ def keep_first(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str
 
 
 def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
-    """Number rows in scan order, to be taken right after the source."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Number rows in source order, to be taken right after the source.
+
+    Tasks take files by size, so rows of files are ordered by path first; a table
+    that comes from no file, in scan order.
+    """
+    row = F.monotonically_increasing_id()
+    if not df.inputFiles():
+        return df.withColumn(name, row)
+    return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), row.alias("row")))
 
 
 def sort_urls(df: DataFrame, column: str = "url") -> DataFrame:

@@ -110,6 +110,11 @@ def book_metadata(pages: DataFrame) -> DataFrame:
     )
 
 
+def one_per_book(metadata: DataFrame) -> DataFrame:
+    """One row per URL: of several snapshots, the first by its columns in order."""
+    return keep_first(metadata, ["url"], [c for c in metadata.columns if c != "url"])
+
+
 def relevant_books(reviews: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reviews and summary of the books that have both.
 

@@ -48,13 +48,14 @@ def contrast(
 ) -> Contrast:
     """Everything the analysis yields, as tables.
 
-    Equal texts share one vector and one place on the map; every review counts
+    Ids of vectors are 60 bits of the text's hash, so the map does not depend on
+    partitions. Equal texts share one vector and one place on the map; every review counts
     by itself in the discriminants and curves.
     """
     frame = materialise(analysis_frame(reviews, summary, params), "frame")
     cached = embed_cached(frame, "context_cleaned", cache_path, encoder_name, encoder)
     used = cached.join(frame.select("text_hash").distinct(), "text_hash", "left_semi")
-    vectors = materialise(used.withColumn("vec_id", F.monotonically_increasing_id()), "vectors")
+    vectors = materialise(used.withColumn("vec_id", F.conv(F.substring("text_hash", 1, 15), 16, 10).cast("bigint")), "vectors")
 
     edges = materialise(fuzzy_edges(knn_graph(vectors, neighbours - 1, probes=probes), neighbours), "edges")
     places = map_2d(edges, vectors, epochs=epochs)

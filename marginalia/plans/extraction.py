@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia import fixed_values as fv
-from marginalia.functions.urls import book_url, reviews_url
+from marginalia.functions.urls import book_name_any, book_url, reviews_url
 from marginalia.operators.names import fix_names, repair_counts
 from marginalia.operators.relational import fits_broadcast
 from marginalia.operators.reviews import (
     accepted_reviews,
     book_metadata,
+    one_per_book,
     relevant_books,
     relevant_metadata,
     review_columns,
@@ -57,7 +58,9 @@ def extract(
         metadata = of_books(book_metadata(pages), "main").join(
             reviews.select("url").distinct(), "url", "left_semi"
         )
-    return relevant_books(reviews, materialise(metadata, "metadata"))
+    # The name goes by the listed URL on either path. Copies of a page give one row.
+    named = metadata.withColumn("book_name", book_name_any(book_url("url")))
+    return relevant_books(reviews, materialise(one_per_book(named), "metadata"))
 
 
 def extract_to_csv(

@@ -96,11 +96,14 @@ def read_summary_csv(spark: SparkSession, path: str, pandas_nulls: bool = True)
 
 
 def read_embeddings(spark: SparkSession, path: str, encoder: str | None = None) -> DataFrame:
-    """Cached vectors, of one encoder if named (a partition, so only it is read)."""
+    """Cached vectors, of one encoder if named (a partition, so only it is read).
+
+    One row per text and encoder, even if two runs added the same text at once.
+    """
     df = _or_empty(
         lambda: spark.read.schema(EMBEDDINGS_SCHEMA).parquet(path), spark, EMBEDDINGS_SCHEMA
     )
-    return df.filter(F.col("encoder") == encoder) if encoder else df
+    return (df.filter(F.col("encoder") == encoder) if encoder else df).dropDuplicates(["text_hash", "encoder"])
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
