@@ -156,9 +156,13 @@ def _prefix_postings(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _may_link(percent: int, a: str, b: str) -> Column:
-    """Sizes near enough, and enough values left after those that only one of them has."""
+    """Sizes near enough, and enough values left from the shared one on.
+
+    At the first value that two sets share, all their common values are still to
+    come; a linked pair passes there, and need not at later ones.
+    """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    most = F.least(n - F.col(f"{a}.own"), m - F.col(f"{b}.own"))
+    most = F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place"))
     return (
         (100 * F.least(n, m) >= percent * F.greatest(n, m))
         & (100 * most >= percent * (n + m - most))
@@ -213,9 +217,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     postings = materialise(_prefix_postings(sets, percent), "postings")
     typical = materialise(
-        postings.groupBy("v").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("rare"), "id", "n", "own")).alias("t"),
+        postings.groupBy("v").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("rare"), "id", "n", "place")).alias("t"),
                                   F.count(F.lit(1)).alias("size"))
-        .filter("size > 1").select("v", "t.id", "t.n", "t.own"),
+        .filter("size > 1").select("v", "t.id", "t.n", "t.place"),
         "typical",
     )
     ordered = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
