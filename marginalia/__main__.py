@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 
 from marginalia import fixed_values as fv
+from marginalia.operators.analysis import AnalysisParams
 from marginalia.operators.relational import with_ordinal
 from marginalia.plans import contrast as contrast_plan
 from marginalia.plans import corpus, extraction
@@ -42,7 +43,9 @@ def parser() -> argparse.ArgumentParser:
     )
     contrast = step("contrast", "map, discriminant scores and density curves", "reviews", "summary", "cache", "out")
     contrast.add_argument("--epochs", type=int, default=20)
-    contrast.add_argument("--probes", type=int, help="cells to search per vector; all that matter if left out")
+    contrast.add_argument("--probes", type=int, default=16, help="cells to search per text; 0 for all that matter")
+    contrast.add_argument("--needle", default=fv.AUTHOR_NEEDLE, help="part of the name of the author to contrast")
+    contrast.add_argument("--split-date", default=fv.SPLIT_DATE)
     return top
 
 
@@ -70,7 +73,8 @@ def main(argv: list[str] | None = None) -> None:
             with_ordinal(readers.read_summary_csv(spark, args.summary)),
             args.cache,
             epochs=args.epochs,
-            probes=args.probes,
+            params=AnalysisParams(author_needle=args.needle, split_date=args.split_date),
+            probes=args.probes or None,
         )
         writers.write_map_points(result.points, f"{args.out}/map_points")
         for name in ("author_scores", "author_density", "period_scores", "period_density"):

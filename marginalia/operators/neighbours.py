@@ -21,7 +21,8 @@ from marginalia.operators.embedding import as_matrix
 from marginalia.operators.relational import first_n
 from marginalia.session import materialise
 
-MAX_PIVOTS = 1024
+# Pivots grow with the square root of the vectors beyond this many.
+FEW_PIVOTS = 1024
 MAX_VISIT_TASKS = 20_000
 _SLACK = 1e-6  # rounding allowance of the pruning bounds
 
@@ -50,7 +51,7 @@ def _nearest(queries: np.ndarray, base: np.ndarray, base_ids: np.ndarray, k: int
 
 
 def _pivots(vectors: DataFrame, count: int) -> np.ndarray:
-    """``count`` distinct vectors drawn by hash; at most MAX_PIVOTS rows reach the driver."""
+    """``count`` distinct vectors drawn by hash, which reach the driver."""
     rows = vectors.orderBy(F.xxhash64("rep"), "rep").limit(count).select("vec").collect()
     return np.array([r.vec for r in rows], dtype=np.float64)
 
@@ -197,24 +198,31 @@ def _route(
     )
 
 
-def _visit_pass(points: DataFrame, visits: DataFrame, k: int, chunks: int, tasks: int) -> DataFrame:
+def _visit_pass(points: DataFrame, visits: DataFrame, k: int, chunk_rows: int, tasks: int) -> DataFrame:
     """Neighbours in the visited blocks: ``src, dst, dist``.
 
     Each block's vectors come first, then the visitors stream past them, so a
-    task holds one block and one batch. Visitors of a block are cut into
-    ``chunks`` and the block is sent to each, so no task gets them all.
+    task holds one block and one batch. The visitors of a block are cut into
+    chunks of about ``chunk_rows``, and the block is sent to each; a block that
+    nobody visits is not sent at all.
     """
-    base = points.select(
+    visits = materialise(visits, "knn-visits")
+    chunked = materialise(
+        visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks")), "knn-chunks"
+    )
+    total = chunked.agg(F.sum("chunks")).first()[0] or 0
+    tasks = max(tasks, min(total, MAX_VISIT_TASKS))
+    base = points.join(chunked, "block").select(
         "block",
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
+        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
         F.lit(0).alias("visitor"),
         "rep",
         "vec",
         F.lit(None).cast("double").alias("bound"),
     )
-    guests = visits.select(
+    guests = visits.join(chunked, "block").select(
         "block",
-        F.pmod(F.xxhash64("rep"), F.lit(chunks)).cast("int").alias("chunk"),
+        F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"),
         F.lit(1).alias("visitor"),
         "rep",
         "vec",
@@ -292,19 +300,21 @@ def knn_graph(
     """``src, dst, rank, dist``: the ``k`` nearest other rows by Euclidean distance.
 
     Ties go to the smaller id. A row of a vector with many copies gets copies
-    first, at distance zero. ``probes=None`` is exact.
+    first, at distance zero. ``probes=None`` is exact. With ``probes``, a vector
+    whose nearest cells hold fewer than ``k`` others searches all cells, so every
+    list is full.
     """
     rows, merged = _distinct_vectors(emb, id_col, vec_col, k)
     merged = materialise(merged, "knn-vectors")
     n = merged.count()
     spark = emb.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // block_rows))
-    pivots = _pivots(merged, int(min(MAX_PIVOTS, max(1, n // cell_rows))))
+    pivots = _pivots(merged, int(min(max(FEW_PIVOTS, n**0.5), max(1, n // cell_rows))))
     if n == 0:
         return spark.createDataFrame([], "src bigint, dst bigint, rank int, dist double")
 
     assigned = _assign(merged.select("rep", "vec"), pivots)
-    # One row per pivot, so at most MAX_PIVOTS rows.
+    # One row per pivot.
     stats = {
         r.cell: r
         for r in assigned.groupBy("cell")
@@ -315,7 +325,7 @@ def knn_graph(
     cell_blocks = [-(-stats[c].n // block_rows) if c in stats else 0 for c in cells]
     radius = np.array([stats[c].hi if c in stats else 0.0 for c in cells])
     inner = np.array([stats[c].lo if c in stats else 0.0 for c in cells])
-    points = assigned.withColumn("block", _block_of(cell_blocks))
+    points = materialise(assigned.withColumn("block", _block_of(cell_blocks)), "knn-points")
 
     near = _nearest_k(_local_pass(points, k, tasks), k)
     if sum(cell_blocks) > 1:
@@ -326,10 +336,15 @@ def knn_graph(
             "bound", F.coalesce("bound", F.lit(float("inf")))
         )
         visits = _route(bounded, pivots, cell_blocks, radius, inner, probes)
-        chunks = -(-n // (16 * block_rows))
-        visit_tasks = max(tasks, min(sum(cell_blocks) * chunks, MAX_VISIT_TASKS))
-        far = _visit_pass(points, visits, k, chunks, visit_tasks)
+        far = _visit_pass(points, visits, k, 16 * block_rows, tasks)
         near = _nearest_k(near.drop("rank").unionByName(far), k)
+        if probes is not None:
+            near = materialise(near, "knn-probed")
+            full = near.filter(F.col("rank") == min(k, n - 1)).select(F.col("src").alias("rep"))
+            short = bounded.join(full, "rep", "left_anti")
+            visits = _route(short, pivots, cell_blocks, radius, inner, None)
+            far = _visit_pass(points, visits, k, 16 * block_rows, tasks)
+            near = _nearest_k(near.drop("rank").unionByName(far).distinct(), k)
     near = near.select("src", "dst", "rank", "dist")
     if merged.filter(F.size("members") > 1).isEmpty():
         return near
