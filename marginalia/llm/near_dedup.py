@@ -15,9 +15,6 @@ from marginalia.llm.components import components
 from marginalia.session import materialise
 
 K = 32  # values of a sketch
-# A pair at the limit shares 27 of 32 values on average, with a deviation of 2;
-# fewer than SHARED happen once in 10^8 pairs.
-SHARED = 15
 _MULTIPLIER, _FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -43,6 +40,12 @@ def shingle_hashes(text: str, width: int = 5) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
+def shared_values(percent: int) -> int:
+    """Sketch values that linked sets share: six deviations below the mean, missed once in about 10^8 pairs."""
+    p = percent / 100
+    return max(1, int(K * p - 6 * (K * p * (1 - p)) ** 0.5))
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     yield from zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True)
 
@@ -74,6 +77,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(percent: int):
+    least = shared_values(percent)
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
@@ -84,7 +89,7 @@ def _linked(percent: int):
                 sx, sy = x[:K], y[:K]
                 union = np.union1d(sx, sy)[:K]
                 both = np.isin(union, sx, assume_unique=True) & np.isin(union, sy, assume_unique=True)
-                if len(x) > K and len(y) > K and both.sum() < SHARED:
+                if len(x) > K and len(y) > K and both.sum() < least:
                     continue
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= percent * (len(x) + len(y) - common):
@@ -110,7 +115,7 @@ def _common_in_lists(percent: int) -> tuple[str, str]:
 def _listed(reps: DataFrame, percent: int) -> DataFrame:
     """Ids of the sets whose sketch shares one of its rarest values with another's.
 
-    Sketches of linked sets share ``SHARED`` values or, where a sketch is the whole
+    Sketches of linked sets share ``shared_values`` values or, where a sketch is the whole
     set, ``percent`` of them; so one of the other values but one is shared. The
     rarest come first: a passage in a third of the documents does not list them.
     """
@@ -120,7 +125,7 @@ def _listed(reps: DataFrame, percent: int) -> DataFrame:
         postings.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared-values"
     )
     spare = F.expr(
-        f"CASE WHEN k <= {whole} THEN k - cast(ceil({percent} * k / 100.0) AS int) + 1 ELSE k - {SHARED} + 1 END"
+        f"CASE WHEN k <= {whole} THEN k - cast(ceil({percent} * k / 100.0) AS int) + 1 ELSE k - {shared_values(percent)} + 1 END"
     )
     values = postings.join(large(shared), "v").groupBy("id", "k").agg(
         F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values")

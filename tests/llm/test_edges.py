@@ -9,7 +9,7 @@ import corpus_pipeline
 from marginalia.llm import bpe, exact_dedup, katz, licences, line_dedup, near_dedup, pii, quality, suffix_dedup
 from marginalia.llm.queries import pack_documents
 
-LONG = " ".join(f"word{i} of a very long text, number {i * i};" for i in range(6000))
+LONG = " ".join(f"word{i} n{i * i} x{i * 7} y{i * 11};" for i in range(12000))
 LINE = "this line is longer than forty code points, and repeated"
 TEXTS = {1: "", 2: None, 3: LONG, 4: LINE, 5: LINE, 6: f"  {LINE.upper()}\t", 7: f"first\n{LINE}\nlast", 8: LINE, 9: " \n\t "}
 ROWS = [(i, t, None if i == 3 else "en", None if i == 4 else "s") for i, t in TEXTS.items()]
