@@ -29,8 +29,8 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates."""
-    return one_of_each(docs)
+    """The document of least id of each group of near duplicates, of similarity 0.8 or more."""
+    return one_of_each(docs, percent=80)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
