@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import ahocorasick
@@ -28,7 +28,7 @@ _NEVER = 1 << 60
 # White space as the vocabulary's own pattern has it; Python's class has four control characters more.
 _BLANK = r"\t-\r \x85\p{Z}"
 _ODD = regex.compile(r"[\x1c-\x1f]")
-CACHE = 300_000  # chunks a task remembers; it starts anew beyond
+CACHE = 200_000  # parts and words a task remembers, and as many from before these
 
 
 def byte_symbols() -> list[str]:
@@ -43,10 +43,7 @@ class PrefixBpe:
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = _END):
         self._end = end
-        inner = {t: self._symbols(t) for t in vocab}
-        self._ids = {s: vocab[t] for t, s in inner.items()}
-        self._names = {vocab[t]: t for t in vocab}
-        self._length = {vocab[t]: len(s) for t, s in inner.items()}
+        self._names = {i: t for t, i in vocab.items()}
         self._rank: dict[tuple[int, int], int] = {}
         # What a token was made of, and when; a single symbol was there from the start.
         self._made: dict[int, tuple[int, int, int]] = {}
@@ -59,8 +56,9 @@ class PrefixBpe:
         self._edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self._compatible: dict[tuple[int, int], bool] = {}
         self._automaton = ahocorasick.Automaton()
-        for s, i in self._ids.items():
-            self._automaton.add_word(s, i)
+        for token, i in vocab.items():
+            s = self._symbols(token)
+            self._automaton.add_word(s, (i, len(s)))
         self._automaton.make_automaton()
 
     def _symbols(self, token: str) -> str:
@@ -106,26 +104,62 @@ class PrefixBpe:
             return []
         if self._end:
             word = word[:-1] + chr(ord(word[-1]) + _SHIFT)
-        last: list[int | None] = [None] * (len(word) + 1)
-        for end, token in self._automaton.iter(word):
-            start = end + 1 - self._length[token]
-            if last[end + 1] is None and (
-                start == 0 or (last[start] is not None and self.compatible(last[start], token))
-            ):
-                last[end + 1] = token
+        # By end: the last token, and where it starts.
+        last: list[int | None] = [None] * len(word)
+        starts = [0] * len(word)
+        known = self._compatible.get
+        for end, (token, size) in self._automaton.iter(word):
+            if last[end] is None:
+                start = end + 1 - size
+                if start:
+                    before = last[start - 1]
+                    if before is None:
+                        continue
+                    fits = known((before, token))
+                    if not (self.compatible(before, token) if fits is None else fits):
+                        continue
+                last[end], starts[end] = token, start
         out, at = [], len(word)
         while at:
-            token = last[at]
+            token = last[at - 1]
             if token is None:
                 raise ValueError("the vocabulary does not cover the word")
             out.append(token)
-            at -= self._length[token]
+            at = starts[at - 1]
         return out[::-1]
 
     def name(self, token: int) -> str:
         return self._names[token]
 
 
+Coded = tuple[str, str, int]  # ids as text, tokens as text, and their number
+
+
+def _joined(coded: list[Coded]) -> Coded:
+    kept = [x for x in coded if x[2]]
+    if len(kept) == 1:
+        return kept[0]
+    return " ".join([x[0] for x in kept]), " ".join([x[1] for x in kept]), sum([x[2] for x in kept])
+
+
+class _Memory(dict):
+    """Results of a function; the older half of them goes when there are too many."""
+
+    def __init__(self, function: Callable[[str], Coded]):
+        super().__init__()
+        self._function, self._older = function, {}
+
+    def __missing__(self, text: str) -> Coded:
+        found = self._older.get(text)
+        if found is None:
+            found = self._function(text)
+        if len(self) >= CACHE:
+            self._older = dict(self)
+            self.clear()
+        self[text] = found
+        return found
+
+
 class WordTokenizer:
     """A whole text with the normal form, pattern, special tokens and vocabulary of a tokenizer file.
 
@@ -148,33 +182,29 @@ class WordTokenizer:
         self._blanks = regex.compile(f"[{_BLANK}]+")
         self._special_pattern = regex.compile("(" + "|".join(map(regex.escape, self._special)) + ")")
         self._symbols = byte_symbols()
-        self._parts: dict[str, tuple[str, str, int]] = {}
+        self._parts, self._words = _Memory(self._part), _Memory(self._word)
+
+    def _word(self, word: str) -> Coded:
+        ascii_only = word.isascii() and word.isprintable()  # such bytes stand for themselves
+        ids = self._bpe.encode(word if ascii_only else "".join([self._symbols[b] for b in word.encode()]))
+        return " ".join(map(str, ids)), " ".join(map(self._bpe.name, ids)), len(ids)
 
-    def _part(self, part: str) -> tuple[str, str, int]:
-        """Ids as text, tokens as text, and their number."""
+    def _part(self, part: str) -> Coded:
+        """What stands between blanks, word by word of the file's pattern."""
         # Character by character: a final sigma is no special case.
-        lower = "".join(map(str.lower, unicodedata.normalize("NFC", part)))
-        ids: list[int] = []
-        for word in self._pattern.findall(lower):
-            ids += self._bpe.encode("".join([self._symbols[b] for b in word.encode()]))
-        found = " ".join(map(str, ids)), " ".join(map(self._bpe.name, ids)), len(ids)
-        if len(self._parts) > CACHE:
-            self._parts.clear()
-        self._parts[part] = found
-        return found
+        lower = part.lower() if part.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", part)))
+        return _joined([self._words[w] for w in ([lower] if lower.isalpha() else self._pattern.findall(lower))])
 
-    def encode(self, text: str) -> tuple[str, str, int]:
+    def encode(self, text: str) -> Coded:
         """Ids parted by blanks, their decoded text, and their number."""
-        found: list[tuple[str, str, int]] = []
+        found: list[Coded] = []
         for k, piece in enumerate(self._special_pattern.split(text) if "<|" in text else (text,)):
             if k % 2:
                 found.append((str(self._special[piece]), piece, 1))
             else:
-                get, make = self._parts.get, self._part
                 parts = self._blanks.split(piece) if _ODD.search(piece) else piece.split()
-                found += [get(p) or make(p) for p in parts]
-        kept = [x for x in found if x[2]]
-        return " ".join([x[0] for x in kept]), " ".join([x[1] for x in kept]), sum([x[2] for x in kept])
+                found += map(self._parts.__getitem__, parts)
+        return _joined(found)
 
 
 @cache
