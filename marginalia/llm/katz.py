@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import documents, real_id
-from marginalia.session import materialise, scratch_path
+from marginalia.session import materialise
 
 SHARD = 2_000_000  # tokens of a shard
 DISCOUNTED = 5  # counts up to this are discounted
@@ -72,8 +73,23 @@ class Shard:
         self.first = np.cumsum(self.lengths) - self.lengths
         before[self.first] = 1
         self.in_training = np.repeat(self.held == 0, self.lengths)
-        pairs, self.pair_of = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
-        self.left, self.right = pairs // len(self.words), pairs % len(self.words)
+        self._codes = before * len(self.words) + self.tokens
+
+    @cached_property
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self._codes, return_inverse=True)
+
+    @property
+    def left(self) -> np.ndarray:
+        return self._pairs[0] // len(self.words)
+
+    @property
+    def right(self) -> np.ndarray:
+        return self._pairs[0] % len(self.words)
+
+    @property
+    def pair_of(self) -> np.ndarray:
+        return self._pairs[1]
 
     def word_request(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys in order, where each came from, and training counts."""
@@ -88,29 +104,30 @@ class Shard:
         return keys[order], order, counts[order][None]
 
     def row(self, number: int) -> dict:
-        return {"kind": "shard", "shard": number, "part": 0, "a": self.words.tobytes(), "b": _pack(self.tokens),
-                "c": _pack(np.concatenate([self.ids, self.lengths, self.held])), "n": len(self.ids)}
+        documents_ = np.concatenate([self.ids, self.lengths, self.held])
+        return {"shard": number, "a": self.words.tobytes(), "b": _pack(self.tokens), "c": _pack(documents_)}
 
     @classmethod
-    def of(cls, row) -> Shard:
-        ids, lengths, held = _unpack(row.c).reshape(3, -1)
-        return cls(np.frombuffer(row.a, np.uint64), _unpack(row.b), ids, lengths, held)
+    def of(cls, a: bytes, b: bytes, c: bytes) -> Shard:
+        ids, lengths, held = _unpack(c).reshape(3, -1)
+        return cls(np.frombuffer(a, np.uint64), _unpack(b), ids, lengths, held)
 
 
-def _requests(kind: str, number: int, keys: np.ndarray, values: np.ndarray, parts: int) -> Iterator[dict]:
+def _requests(number: int, keys: np.ndarray, values: np.ndarray, parts: int) -> Iterator[dict]:
     part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
     for p in np.flatnonzero(np.diff(cuts)):
         s = slice(cuts[p], cuts[p + 1])
-        yield {"kind": kind, "shard": number, "part": int(p), "a": _pack_keys(keys[s]),
-               "b": _pack(values[:, s].reshape(-1)), "c": None, "n": int(cuts[p + 1] - cuts[p])}
+        yield {"shard": number, "part": int(p), "a": _pack_keys(keys[s]), "b": _pack(values[:, s].reshape(-1)),
+               "n": int(cuts[p + 1] - cuts[p])}
 
 
-_SCHEMA = "kind string, shard bigint, part int, a binary, b binary, c binary, n bigint"
-_ARROW = pa.schema(
-    [("kind", pa.string()), ("shard", pa.int64()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()),
-     ("c", pa.binary()), ("n", pa.int64())]
-)
+_SHARD = "shard bigint, a binary, b binary, c binary"
+_SHARD_ARROW = pa.schema([("shard", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_ASK = "shard bigint, part int, a binary, b binary, n bigint"
+_ASK_ARROW = pa.schema(
+    [("shard", pa.int64()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())]
+)
 
 
 class _Numbers(dict):
@@ -121,7 +138,7 @@ class _Numbers(dict):
         return n
 
 
-def _read(parts: int, shard_tokens: int):
+def _read(shard_tokens: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         words, tokens, ids, held, lengths = _Numbers(), [], [], [], []
@@ -133,9 +150,7 @@ def _read(parts: int, shard_tokens: int):
                 np.concatenate([np.array([END, START], np.uint64), hashes]), np.concatenate(tokens),
                 np.array(ids, np.int64), np.array(lengths, np.int64), np.array(held, np.int64),
             )
-            yield pa.RecordBatch.from_pylist([shard.row(number)], _ARROW)
-            for kind, (keys, _, counts) in (("word", shard.word_request()), ("pair", shard.pair_request())):
-                yield pa.RecordBatch.from_pylist(list(_requests(kind, number, keys, counts, parts)), _ARROW)
+            yield pa.RecordBatch.from_pylist([shard.row(number)], _SHARD_ARROW)
             number, words = number + 1, _Numbers()
             for x in (tokens, ids, held, lengths):
                 x.clear()
@@ -158,6 +173,17 @@ def _read(parts: int, shard_tokens: int):
     return read
 
 
+def _ask(kind: str, parts: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                shard = Shard.of(row["a"], row["b"], row["c"])
+                keys, _, counts = shard.word_request() if kind == "word" else shard.pair_request()
+                yield pa.RecordBatch.from_pylist(list(_requests(row["shard"], keys, counts, parts)), _ASK_ARROW)
+
+    return ask
+
+
 def sum_over(lengths: list[int], limit: int) -> bool:
     """Whether the lengths reach the limit; a shard has few enough documents to add them up now and then."""
     return (len(lengths) % 64 == 0 or lengths[-1] > limit // 8) and sum(lengths) >= limit
@@ -194,8 +220,7 @@ _ANSWER = "shard bigint, part int, totals binary, stats array<bigint>"
 
 
 def _answers(requests: DataFrame, values: int, name: str) -> DataFrame:
-    asked = requests.select("shard", "part", "a", "b", "n")
-    return materialise(asked.groupBy("part").applyInPandas(_add_up(values), _ANSWER), name)
+    return materialise(requests.groupBy("part").applyInPandas(_add_up(values), _ANSWER), name)
 
 
 def _statistics(answers: DataFrame) -> list[int]:
@@ -268,7 +293,7 @@ class Model:
 
     def contexts(self, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Requests of one shard: per context, how many bigrams have each small count, and their unigram mass."""
-        shard = Shard.of(next(left.itertuples()))
+        shard = Shard.of(left["a"].iloc[0], left["b"].iloc[0], left["c"].iloc[0])
         counts, _ = _in_order(right[right["kind"] == "word"], shard.word_request()[1], 1)
         totals, own = _in_order(right[right["kind"] == "pair"], shard.pair_request()[1], 1)
         p = self.words.probabilities(counts[0], self.unknown)
@@ -279,12 +304,12 @@ class Model:
             sums[k - 1] = np.bincount(left_of[r == k], minlength=len(shard.words))
         np.add.at(sums[DISCOUNTED], left_of, np.round(p[shard.right[mine]] * FIXED).astype(np.int64))
         keys, order, _ = shard.word_request()
-        rows = list(_requests("context", int(left["shard"].iloc[0]), keys, sums[:, order], self.parts))
-        return pd.DataFrame(rows, columns=["kind", "shard", "part", "a", "b", "c", "n"])
+        rows = list(_requests(int(left["shard"].iloc[0]), keys, sums[:, order], self.parts))
+        return pd.DataFrame(rows, columns=["shard", "part", "a", "b", "n"])
 
     def scores(self, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Scores of the documents of one shard."""
-        shard = Shard.of(next(left.itertuples()))
+        shard = Shard.of(left["a"].iloc[0], left["b"].iloc[0], left["c"].iloc[0])
         by_word = shard.word_request()[1]
         counts = _in_order(right[right["kind"] == "word"], by_word, 1)[0][0]
         pairs = _in_order(right[right["kind"] == "pair"], shard.pair_request()[1], 1)[0][0]
@@ -334,14 +359,11 @@ def katz_scores(docs: DataFrame, held_out: Callable[[Column], Column] = by_crc,
     entry per shard, wherever it occurs. The driver gets counts of counts.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spark = docs.sparkSession
     rows = documents(docs).select("doc_id", "text", held_out(real_id("doc_id")).alias("held"))
-    path = scratch_path(spark, "katz")
-    rows.mapInArrow(_read(parts, shard_tokens), _SCHEMA).write.partitionBy("kind").parquet(path)
-    read = spark.read.schema(_SCHEMA).parquet(path)
-    shards = read.filter("kind = 'shard'").select("shard", "a", "b", "c")
-    words = _answers(read.filter("kind = 'word'"), 1, "word-totals")
-    pairs = _answers(read.filter("kind = 'pair'"), 1, "pair-totals")
+    # Written once: every later step reads the same shards.
+    shards = materialise(rows.mapInArrow(_read(shard_tokens), _SHARD), "shards")
+    words = _answers(shards.mapInArrow(_ask("word", parts), _ASK), 1, "word-totals")
+    pairs = _answers(shards.mapInArrow(_ask("pair", parts), _ASK), 1, "pair-totals")
     stats, pair_stats = _statistics(words), _statistics(pairs)
     unigrams = Unigrams.of(stats)
     model = Model(unigrams, unigrams.unknown(stats[2:]), discounts(pair_stats[2:]), parts)
@@ -356,7 +378,7 @@ def katz_scores(docs: DataFrame, held_out: Callable[[Column], Column] = by_crc,
     def together(answers: DataFrame):
         return shards.groupBy("shard").cogroup(answers.groupBy("shard"))
 
-    asked = materialise(together(known(("word", words), ("pair", pairs))).applyInPandas(lambda a, b: model.contexts(a, b), _SCHEMA), "asked")
+    asked = together(known(("word", words), ("pair", pairs))).applyInPandas(lambda a, b: model.contexts(a, b), _ASK)
     contexts = _answers(asked, DISCOUNTED + 1, "contexts")
     schema = (
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
