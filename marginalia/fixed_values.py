@@ -38,6 +38,7 @@ ENTITIES = (
 # --- sentinels and joined lists ---
 NOT_FOUND = "Not Found"
 NOT_RATED = "Not rated"
+MISSING_PAGE = "MissingPage"  # error of a URL without a page
 LIST_SEPARATOR = " | "
 FIRST_PUBLISHED = "First published "
 

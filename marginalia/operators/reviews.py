@@ -163,5 +163,5 @@ def match_status(pages: DataFrame, keyword: str = fv.KEYWORD) -> DataFrame:
         .when(F.coalesce(found, F.lit(False)), fv.VALID_MATCH)
         .otherwise(fv.NO_MATCH)
         .alias("status"),
-        F.when(failed, F.coalesce(error, F.lit("MissingPage"))).alias("error_type"),
+        F.when(failed, F.coalesce(error, F.lit(fv.MISSING_PAGE))).alias("error_type"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia import fixed_values as fv
 from marginalia.functions.urls import reviews_url
 from marginalia.operators.corpus import backlog, backlog_counts, next_batch, settled_urls, unique_works
+from marginalia.operators.relational import fits_broadcast
 from marginalia.operators.reviews import harvest_links, match_status
 from marginalia.session import materialise
 from marginalia.sources.readers import read_ledger, read_url_list
@@ -43,11 +44,16 @@ def verify_batch(
     counts = materialise(backlog_counts(urls, ledger, n), "backlog-counts")
     batch = next_batch(backlog(urls, ledger), n, seed)
     batch = materialise(batch.withColumn("page_url", reviews_url("url")), "batch")
-    # The batch has n rows by construction, so it can be sent to every scan task.
-    wanted = pages.select(F.col("url").alias("page_url"), "html").join(
-        F.broadcast(batch.select("page_url").distinct()), "page_url", "left_semi"
-    )
-    results = match_status(batch.join(wanted, "page_url", "left"), keyword)
+    keys = batch.select(F.col("page_url").alias("url")).distinct()
+    found = pages.select("url", "html")
+    # Pages are matched where they are read; only their status meets the batch.
+    if fits_broadcast(keys):
+        checked = match_status(found.join(F.broadcast(keys), "url", "left_semi"), keyword)
+    else:
+        checked = match_status(found, keyword).join(keys, "url", "left_semi")
+    checked = checked.withColumnRenamed("url", "page_url")
+    missing = {"status": F.coalesce("status", F.lit(fv.FAILURE)), "error_type": F.when(F.col("status").isNull(), fv.MISSING_PAGE).otherwise(F.col("error_type"))}
+    results = batch.join(checked, "page_url", "left").withColumns(missing)
     # Several snapshots of a page: a match in any of them counts.
     best = F.min(
         F.struct(
