@@ -78,20 +78,21 @@ def text_statistics(docs: DataFrame, *columns: Column) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
     base = documents(docs, *columns)
     given = [c for c in base.columns if c != "text"]
-    return base.select(
-        *given,
+    # Built inside an array: a filter on a count then stays above, and each is computed once.
+    counts = F.struct(
         let(_words(text), lambda w: F.struct(F.size(w).alias("n"), _covered(w).alias("r"))).alias("w"),
         let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))).alias("l"),
         F.length(F.translate(text, BLANKS, "")).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-    ).select(
+    )
+    return base.select(*given, F.explode(F.array(counts)).alias("counts")).select(
         *given,
-        F.col("w.n").cast("bigint").alias("n_words"),
-        "word_chars",
-        "n_symbols",
-        F.col("l.n").cast("bigint").alias("n_lines"),
-        F.col("l.d").cast("bigint").alias("n_dup_lines"),
-        F.col("w.r").alias("n_repeat_words"),
+        F.col("counts.w.n").cast("bigint").alias("n_words"),
+        "counts.word_chars",
+        "counts.n_symbols",
+        F.col("counts.l.n").cast("bigint").alias("n_lines"),
+        F.col("counts.l.d").cast("bigint").alias("n_dup_lines"),
+        F.col("counts.w.r").alias("n_repeat_words"),
     )
 
 
