@@ -108,7 +108,7 @@ def _pieces(m: Column) -> Column:
 def _matches(text: Column) -> Column:
     """All matches; texts that cannot hold one are not searched."""
     hints = [text.contains(t) for t in ("Mr", "M", "Sir", "Herr", "Señor", "Sr", "госп", "Frau", "Dr", "Prof")[1:]]
-    may = text.rlike(r"[0-9@]") | text.rlike(rf"(?i)(?:{SECRET_WORDS})\s") | reduce(lambda a, b: a | b, hints)
+    may = text.rlike(r"[0-9@]") | text.rlike(rf"(?i)(?:{SECRET_WORDS})\s{{0,3}}[:=]") | reduce(lambda a, b: a | b, hints)
     return F.when(may, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(
         F.array().cast("array<string>")
     )

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from marginalia.llm import packing, pii, quality
@@ -211,3 +212,21 @@ def test_licences(spark):
     assert [got[i].text_licence for i in range(8)] == ["MIT"] * 3 + [None] * 5
     assert [(x.pos, x.licence) for x in got[4].line_licences] == [(1, "MIT")] and got[4].n_lines_matched == 1
     assert got[7].n_lines_matched == 0
+
+
+@pytest.mark.parametrize(
+    "text, gone",
+    [
+        ('config has password="correcthorse" here', "correcthorse"),
+        ("config has api_key:'correcthorse' here", "correcthorse"),
+        ('config has Secret  =  "correcthorse" here', "correcthorse"),
+        ("write to ab@cd.ef now", "ab@cd.ef"),
+        ("card 4111 1111 1111 1111 here", "4111 1111 1111 1111"),
+        ("call 212-555-0100 now", "212-555-0100"),
+        ("host 8.8.4.4 is up", "8.8.4.4"),
+        *[(f"with {t} Zubov here", "Zubov") for group in pii.TITLES.values() for t in group],
+    ],
+)
+def test_each_kind_is_found_in_a_text_without_other_hints(spark, text, gone):
+    row = frame(spark, [text]).select(pii._matches(F.col("text")).alias("found")).first()
+    assert len(row.found) == 1 and gone in row.found[0]
