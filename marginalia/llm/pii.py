@@ -27,10 +27,13 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 ADDRESS = rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+# Digits among which cards are looked for, and a card that no digit stands next to.
+RUN = r"(?<![0-9])[0-9](?:[ .-]?[0-9]){12,}+"
+LONE_CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])"
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
 _PART = r"\p{Lu}[\p{L}'’-]+"
 NAME = rf"(?<!\p{{L}})(?:{_TITLE})\.?[ ]{_PART}(?:[ ]{_PART})?"
-PATTERN = "|".join((EMAIL, SECRET, CARD, PHONE, ADDRESS, NAME))
+BEFORE_CARDS, AFTER_CARDS = f"{EMAIL}|{SECRET}", f"{PHONE}|{ADDRESS}|{NAME}"
 
 # Syllables of invented names by script (fixed values), and the endings that tell a gender.
 SYLLABLES = {
@@ -92,24 +95,53 @@ def _pieces(m: Column) -> Column:
         ),
     )
     digits = _digits(m)
-    card = (F.length(digits) >= 13) & (_luhn_sum(digits, 0) % 10 == 0)
     one = lambda kind, canon: F.array(_piece(F.lit(kind), canon, m))
     return (
         F.when(m.rlike(rf"^(?i:{SECRET_WORDS})\s*[:=]"),
                F.array(_piece(none, none, secret), _piece(F.lit("secret"), F.substr(m, F.length(secret) + 1), F.substr(m, F.length(secret) + 1))))
         .when(m.contains("@"), one("email", F.lower(m)))
         .when(m.rlike(rf"^(?:{_TITLE})[. ]"), name)
-        .when(m.rlike(rf"^{CARD}$"), F.when(card, one("card", digits)).otherwise(F.array(_piece(none, none, m))))
+        .when(m.rlike(rf"^{CARD}$"), one("card", digits))
         .when(m.rlike(rf"^{ADDRESS}$"), one("address", m))
         .otherwise(one("phone", digits))
     )
 
 
+def _cards(text: Column) -> Column:
+    """All card numbers of a text with a right check digit, the longest first.
+
+    A number among other digits may start or end at any of their groups, but holds
+    no start of a phone or an address, unless it is the whole row of digits.
+    """
+    digit = rf"(?!{PHONE}|{ADDRESS})[0-9]"
+    forms = [LONE_CARD, *(rf"(?<![0-9]){digit}(?:[ -]?{digit}){{{n - 1}}}(?![0-9])" for n in range(13, 20))]
+    found = F.flatten(
+        F.transform(
+            F.regexp_extract_all(text, F.lit(RUN), F.lit(0)),
+            lambda run: F.flatten(F.array(*[F.regexp_extract_all(run, F.lit(f"(?=({form}))"), F.lit(1)) for form in forms])),
+        )
+    )
+    right = F.filter(F.array_distinct(found), lambda c: _luhn_sum(_digits(c), 0) % 10 == 0)
+    by_length = F.reverse(F.array_sort(F.transform(right, lambda c: F.struct(F.length(c).alias("n"), c.alias("card")))))
+    return F.transform(by_length, lambda x: x["card"])
+
+
+def _pattern(text: Column) -> Column:
+    """The pattern of all entities of a text; of card-like numbers it has only those that are right."""
+    return let(
+        _cards(text),
+        lambda cards: F.when(
+            F.size(cards) > 0,
+            F.concat(F.lit(rf"{BEFORE_CARDS}|(?<![0-9])(?:"), F.array_join(cards, "|"), F.lit(rf")(?![0-9])|{AFTER_CARDS}")),
+        ).otherwise(f"{BEFORE_CARDS}|{AFTER_CARDS}"),
+    )
+
+
 def _matches(text: Column) -> Column:
     """All matches; texts that cannot hold one are not searched."""
     hints = [text.contains(t) for t in ("Mr", "M", "Sir", "Herr", "Señor", "Sr", "госп", "Frau", "Dr", "Prof")[1:]]
     may = text.rlike(r"[0-9@]") | text.rlike(rf"(?i)(?:{SECRET_WORDS})\s{{0,3}}[:=]") | reduce(lambda a, b: a | b, hints)
-    return F.when(may, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(
+    return F.when(may, F.regexp_extract_all(text, _pattern(text), F.lit(0))).otherwise(
         F.array().cast("array<string>")
     )
 
@@ -310,7 +342,7 @@ def _replaced(docs: DataFrame, key: str) -> DataFrame:
     text = F.col("text")
     changed = F.array_join(
         F.transform(
-            F.split(text, PATTERN, -1),
+            F.split(text, _pattern(text), -1),
             lambda p, i: F.concat(p, F.coalesce(F.get("replaced", i), F.lit(""))),
         ),
         "",

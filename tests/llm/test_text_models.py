@@ -230,3 +230,23 @@ def test_licences(spark):
 def test_each_kind_is_found_in_a_text_without_other_hints(spark, text, gone):
     row = frame(spark, [text]).select(pii._matches(F.col("text")).alias("found")).first()
     assert len(row.found) == 1 and gone in row.found[0]
+
+
+def test_phones_and_cards_next_to_digits(spark):
+    card, phones = "4111 1111 1111 1111", ["212-555-0100", "212-555-0101"]
+    texts = [
+        " ".join(phones), "-".join(phones), f"{phones[0]} 2024", f"2024 {phones[0]}", f"{phones[0]}, 2024", f"+1 {phones[0]} 2024 17",
+        f"{card} 123", f"{card} {phones[0]}", f"2023 {card}", f"{card}-{phones[0]} {phones[1]} 7", f"12 10.1.2.3 {card} 10.1.2.3",
+        "order 4111 1111 1111 1112 of 2024", " ".join(phones * 3000),
+    ]
+    rows = {r.doc_id: r for r in pii.pseudonymise(frame(spark, texts), "k").collect()}
+    assert [rows[i].n_entities for i in range(13)] == [2, 2, 1, 1, 1, 1, 1, 2, 1, 3, 3, 0, 6000]
+    for i in range(11):
+        assert not any(gone in rows[i].text for gone in (card, *phones, "10.1.2.3"))
+    # One surrogate each, wherever it stands; other digits stay.
+    one, two = rows[0].text.split()
+    number = rows[6].text.removesuffix(" 123")
+    assert [rows[i].text for i in range(1, 6)] == [f"{one}-{two}", f"{one} 2024", f"2024 {one}", f"{one}, 2024", rows[5].text]
+    assert rows[5].text.endswith(" 2024 17") and int(pii_luhn(number.replace(" ", ""))) == 0
+    assert [rows[i].text for i in (7, 8, 9)] == [f"{number} {one}", f"2023 {number}", f"{number}-{one} {two} 7"]
+    assert rows[11].text == texts[11] and rows[12].text == " ".join([one, two] * 3000)
