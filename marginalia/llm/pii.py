@@ -7,6 +7,7 @@ surrogates, and no surrogate is an entity of the corpus.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +42,8 @@ SYLLABLES = {
     "cyrillic": "ба ве ги до зу ла ме ни по ра се ти во за ке лу мо на ри со".split(),
 }
 ENDINGS = {"latin": {"m": "n", "f": "a", "n": "l"}, "cyrillic": {"m": "н", "f": "а", "n": "ль"}}
-MAX_ROUNDS = 50
+# Lower and upper letters that stand for Cyrillic ones in secrets.
+CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 
 
 def _digits(c: Column) -> Column:
@@ -153,10 +155,16 @@ def _by_char(canon: Column, body) -> Column:
 
 
 def _surrogate(kind: Column, canon: Column, attempt: int, key: str) -> Column:
-    """Keyed surrogate; later attempts give other ones, and longer ones where the type allows."""
+    """Keyed surrogate; later attempts give other ones out of ever larger ranges, so that some are free.
+
+    E-mail addresses, names and secrets get longer from the fourth attempt on, phones
+    and cards (of which there are many in their own format) from the ninth. Addresses
+    leave 192.168 for 10 at the fourth, 10 and 127 for all others at the seventh, and
+    version 4 for local ones of version 6 at the eleventh.
+    """
     secret_key, entity = F.lit(key), F.concat_ws("\x1f", kind, F.lit(str(attempt)), canon)
     h = F.sha2(F.concat(secret_key, F.sha2(F.concat(secret_key, entity), 256)), 256)
-    longer = max(0, attempt - 2)
+    longer, far_longer = max(0, attempt - 2), max(0, attempt - 7)
 
     def build(h: Column) -> Column:
         pick = lambda i, n: F.pmod(F.xxhash64(h, i), F.lit(n)).cast("int")
@@ -176,16 +184,19 @@ def _surrogate(kind: Column, canon: Column, attempt: int, key: str) -> Column:
                 top,
             ),
         )
-        phone = _by_char(
-            canon,
-            lambda c, i: F.when(i < length - 10, c)
-            .when((i == length - 10) | (i == length - 7), (pick(i, 8) + 2).cast("string"))
-            .otherwise(digit(i)),
+        phone = F.concat(
+            _by_char(
+                canon,
+                lambda c, i: F.when(i < length - 10, c)
+                .when((i == length - 10) | (i == length - 7), (pick(i, 8) + 2).cast("string"))
+                .otherwise(digit(i)),
+            ),
+            *[digit(F.lit(-1 - k)) for k in range(far_longer)],
         )
         card = let(
             F.concat(
                 F.substr(canon, F.lit(1), F.lit(1)),
-                F.array_join(F.transform(F.sequence(F.lit(1), length - 2), lambda i: digit(i)), ""),
+                F.array_join(F.transform(F.sequence(F.lit(1), length - 2 + far_longer), lambda i: digit(i)), ""),
             ),
             lambda body: F.concat(body, F.pmod(-_luhn_sum(body, 1), F.lit(10)).cast("string")),
         )
@@ -193,23 +204,37 @@ def _surrogate(kind: Column, canon: Column, attempt: int, key: str) -> Column:
         first = F.get(octets, F.lit(0))
         inner = (first.isin("10", "127")) | (canon.startswith("192.168."))
         outer = let(pick(F.lit(0), 223) + 1, lambda a: F.when(a.isin(10, 127, 172, 192), a + 1).otherwise(a))
+        narrow = canon.startswith("192.168.") & F.lit(longer == 0)
+        octet = lambda i: pick(F.lit(i), 256).cast("string")
         address = F.concat_ws(
             ".",
-            F.when(inner, first).otherwise(outer.cast("string")),
-            F.when(canon.startswith("192.168."), F.lit("168")).otherwise(pick(F.lit(1), 256).cast("string")),
-            pick(F.lit(2), 256).cast("string"),
-            pick(F.lit(3), 256).cast("string"),
+            F.when(narrow, first).when(inner & F.lit(attempt < 6), F.when(first == "192", "10").otherwise(first)).otherwise(outer.cast("string")),
+            F.when(narrow, F.lit("168")).otherwise(octet(1)),
+            octet(2),
+            octet(3),
         )
+        if attempt >= 10:
+            address = F.concat(F.lit("fd"), *[F.concat(hexes(F.lit(k)), F.lit(":" if k % 4 == 1 else "")) for k in range(29)], hexes(F.lit(29)))
+        cyrillic = lambda i: F.substr(F.lit(CYRILLIC), pick(i, len(CYRILLIC)) + 1, F.lit(1))
+        nothing_else = ~canon.rlike(r"[A-Za-z0-9]|[^\x00-\x7F]")
         secret = (
-            F.when(canon.rlike("^[0-9a-f]+$"), _by_char(canon, lambda c, i: hexes(i)))
-            .when(canon.rlike("^[0-9A-F]+$"), F.upper(_by_char(canon, lambda c, i: hexes(i))))
+            F.when(canon.rlike("^[0-9a-f]+$"), F.concat(_by_char(canon, lambda c, i: hexes(i)), *[hexes(F.lit(-1 - k)) for k in range(4 * longer)]))
+            .when(canon.rlike("^[0-9A-F]+$"), F.upper(F.concat(_by_char(canon, lambda c, i: hexes(i)), *[hexes(F.lit(-1 - k)) for k in range(4 * longer)])))
             .otherwise(
-                _by_char(
-                    canon,
-                    lambda c, i: F.when(c.rlike("[a-z]"), letter(i))
-                    .when(c.rlike("[A-Z]"), F.upper(letter(i)))
-                    .when(c.rlike("[0-9]"), digit(i))
-                    .otherwise(c),
+                F.concat(
+                    _by_char(
+                        canon,
+                        lambda c, i: F.when(c.rlike("[a-z]"), letter(i))
+                        .when(c.rlike("[A-Z]"), F.upper(letter(i)))
+                        .when(c.rlike("[0-9]"), digit(i))
+                        .when(c.rlike(r"(?=\p{Lu})\p{IsCyrillic}"), F.upper(cyrillic(i)))
+                        .when(c.rlike(r"\p{IsCyrillic}"), cyrillic(i))
+                        .when(c.rlike(r"\p{Lu}"), F.upper(letter(i)))
+                        .when(c.rlike(r"\p{Nd}"), digit(i))
+                        .when(c.rlike(r"[^\x00-\x7F]") | nothing_else, letter(i))  # signs stay only among others
+                        .otherwise(c),
+                    ),
+                    *[letter(F.lit(-1 - k)) for k in range(4 * longer)],
                 )
             )
         )
@@ -240,11 +265,12 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
     Every entity gets a keyed surrogate; if that is an entity itself, or others
     have it too, all but the first of them (by canonical form) try again. Rounds
-    end when none is left; they follow the collisions, not the corpus.
+    end when none is left; they follow the collisions, not the corpus, and later
+    ones have more to choose from.
     """
     entities = materialise(entities.select("kind", "canon").distinct(), "entities")
     taken, todo = None, entities
-    for attempt in range(MAX_ROUNDS):
+    for attempt in count():
         tried = todo.withColumn("surrogate", _surrogate(F.col("kind"), F.col("canon"), attempt, key))
         real = entities.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("is_real"))
         rank = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("canon"))
@@ -261,7 +287,6 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         todo = tried.filter("NOT free").select("kind", "canon")
         if todo.isEmpty():
             return taken
-    raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds")
 
 
 def _in_format(raw: Column, surrogate: Column, kind: Column) -> Column:
@@ -284,6 +309,8 @@ def _in_format(raw: Column, surrogate: Column, kind: Column) -> Column:
         .when(kind.rlike("^(given|surname)"), F.concat(F.upper(F.substr(surrogate, F.lit(1), F.lit(1))), F.substr(surrogate, F.lit(2))))
         .otherwise(surrogate)
     )
+    # What a late attempt has more than the text goes to the end.
+    numbered = F.concat(numbered, F.substr(surrogate, F.length(_digits(raw)) + 1))
     return F.when(kind.isin("phone", "card"), numbered).when(kind.isin("address", "secret"), surrogate).otherwise(cased)
 
 

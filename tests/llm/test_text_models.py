@@ -1,6 +1,7 @@
 """Scores, tokens, packing, quality, surrogates and licences against plain versions."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -250,3 +251,36 @@ def test_phones_and_cards_next_to_digits(spark):
     assert rows[5].text.endswith(" 2024 17") and int(pii_luhn(number.replace(" ", ""))) == 0
     assert [rows[i].text for i in (7, 8, 9)] == [f"{number} {one}", f"2023 {number}", f"{number}-{one} {two} 7"]
     assert rows[11].text == texts[11] and rows[12].text == " ".join([one, two] * 3000)
+
+
+def test_surrogates_that_cannot_change_in_their_own_format(spark):
+    secrets = ["********", "пароль-Секрет", "пароль-секрет", "密码密码密码密码", "--------", "_-" * 5, "İßçñéüöä", "😀" * 9, "0" * 8, "Ab-12-Cd"]
+    texts = [f'password = "{s}"' for s in secrets]
+    rows = {r.doc_id: r for r in pii.pseudonymise(frame(spark, [*texts, texts[0]]), "k").collect()}
+    values = [rows[i].text.removeprefix('password = "').removesuffix('"') for i in range(len(texts))]
+    assert not set(values) & set(secrets) and len(set(values)) == len(secrets)
+    assert rows[len(texts)].text == rows[0].text and all(r.n_entities == 1 for r in rows.values())
+    for old, new in zip(secrets, values, strict=True):
+        assert not {c for c in old if not c.isascii()} - set(pii.CYRILLIC + pii.CYRILLIC.upper()) & set(new)
+    assert [c for c in values[-1] if c == "-"] == ["-", "-"] and "-" not in values[4]
+
+
+def test_surrogates_where_all_of_a_range_are_real(spark):
+    rows = spark.range(65536).select(
+        F.lit("address").alias("kind"), F.concat(F.lit("192.168."), F.expr("id div 256"), F.lit("."), F.expr("id % 256")).alias("canon")
+    )
+    got = pii.surrogates(rows, "k")
+    assert got.select("surrogate").distinct().count() == 65536
+    assert got.filter(F.col("surrogate").rlike(rf"^{pii.ADDRESS}$") & ~F.col("surrogate").startswith("192.168.")).count() == 65536
+
+
+@pytest.mark.parametrize("kind, canon, shape", [
+    ("phone", "12125550100", "[0-9]{15}"), ("card", "4111111111111", "4[0-9]{16}"), ("address", "10.1.2.3", "fd[0-9a-f]{2}(:[0-9a-f]{4}){7}"),
+    ("secret", "0123456789", "[0-9a-f]{46}"), ("email", "a@b.org", "[a-z]{37}@[a-z][.]org"),
+])
+def test_late_attempts_have_room(spark, kind, canon, shape):
+    one = spark.createDataFrame([(kind, canon)], "kind string, canon string")
+    late = pii._surrogate(F.col("kind"), F.col("canon"), 11, "k")
+    row = one.select(late.alias("s"), pii._in_format(F.col("canon"), late, F.col("kind")).alias("shown")).first()
+    assert row.s == row.shown and re.fullmatch(shape, row.s)
+    assert kind != "card" or int(pii_luhn(row.s)) == 0
