@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 _AS_IS = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
     "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
@@ -132,3 +134,21 @@ def notices() -> list[tuple[str, str]]:
         for opening in OPENINGS
         for article in ("", "the ")
     ]
+
+
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Licences in full, one file each (``licence.txt`` or ``licence--edition.txt``).
+
+    Where a note on how to apply the licence follows its end, also without that, and
+    without the line that says where the end is.
+    """
+    out = []
+    for file in sorted(files("marginalia.llm").joinpath("texts").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            licence, text = file.name.removesuffix(".txt").split("--")[0], file.read_text("utf-8")
+            terms, end, _ = text.partition(END_OF_TERMS)
+            out += [(licence, t) for t in ([text, terms + end, terms] if end else [text])]
+    return out

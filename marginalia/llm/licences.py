@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import digest, documents, large, lower_ascii, real_id
-from marginalia.llm.licence_texts import TEXTS, notices
+from marginalia.llm.licence_texts import TEXTS, full_texts, notices
 from marginalia.session import materialise
 
 # Spellings that licences use for the same word, after lower-casing (fixed values).
@@ -42,17 +42,29 @@ def canonical(lines: Column) -> Column:
     return F.btrim(F.regexp_replace(lines, r"[ \n]+", " "), F.lit(" "))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """``hash, licence, notice`` of the known texts and one-line notices; as many rows at any size of input."""
-    rows = [(a, b, False) for a, b in TEXTS] + [(a, b, True) for a, b in notices()]
-    known = spark.createDataFrame(rows, "licence string, text string, notice boolean")
-    return known.select(
-        digest(canonical(canonical_lines(F.col("text")))).alias("hash"), "licence", "notice"
-    ).dropDuplicates(["hash"])
+def known_digests(spark: SparkSession, further: DataFrame | None = None) -> DataFrame:
+    """``hash, licence, notice`` of the known texts and one-line notices, and of ``further`` texts.
+
+    A text that is known as several licences counts as the first of them, the shipped ones before ``further``.
+    """
+    rows = [(a, b, False) for a, b in TEXTS + full_texts()] + [(a, b, True) for a, b in notices()]
+    known = spark.createDataFrame(rows, "licence string, text string, notice boolean").withColumn("is_further", F.lit(False))
+    if further is not None:
+        known = known.unionByName(
+            further.select("licence", "text", F.lit(False).alias("notice"), F.lit(True).alias("is_further"))
+            .filter("licence IS NOT NULL AND text RLIKE '[A-Za-z0-9]'")
+        )
+    first = F.min(F.struct("is_further", "licence", "notice")).alias("first")
+    return (
+        known.withColumn("hash", digest(canonical(canonical_lines(F.col("text")))))
+        .groupBy("hash")
+        .agg(first)
+        .select("hash", "first.licence", "first.notice")
+    )
 
 
-def licence_scan(docs: DataFrame) -> DataFrame:
-    """Known licences in every row.
+def licence_scan(docs: DataFrame, further: DataFrame | None = None) -> DataFrame:
+    """Known licences in every row; ``further`` (``licence, text``) has texts that are not shipped.
 
     ``doc_id, text_licence`` (of the text as a whole, or null), ``line_licences``
     (array of ``(pos, licence)`` of the lines that are a notice or text by
@@ -64,10 +76,11 @@ def licence_scan(docs: DataFrame) -> DataFrame:
     results, and so do rows that share an id but not a text get their own. An
     empty table gives an empty table; other columns are not read.
 
-    The known digests are a fixed list of a few hundred rows and are broadcast.
+    The known digests are a fixed list of a few hundred rows, and those of ``further``
+    texts, which grow with the licences and not with the input; they are broadcast.
     Texts are not shuffled; only ids, and the lines that matched, are.
     """
-    known = F.broadcast(known_digests(docs.sparkSession))
+    known = F.broadcast(known_digests(docs.sparkSession, further))
     rows = documents(docs).select(
         "doc_id", F.xxhash64("text").alias("version"), canonical_lines(F.col("text")).alias("lines")
     )

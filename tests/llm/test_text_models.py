@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from marginalia.llm import packing, pii, quality
 from marginalia.llm.bpe import encode_words, word_tokenizer
 from marginalia.llm.katz import discounts, katz_scores
-from marginalia.llm.licence_texts import TEXTS
+from marginalia.llm.licence_texts import END_OF_TERMS, TEXTS, full_texts
 from marginalia.llm.licences import licence_scan
 from marginalia.llm.queries import PII_KEY, documents_table, pack_documents
 from tests.llm.brute import katz
@@ -284,3 +284,17 @@ def test_late_attempts_have_room(spark, kind, canon, shape):
     row = one.select(late.alias("s"), pii._in_format(F.col("canon"), late, F.col("kind")).alias("shown")).first()
     assert row.s == row.shown and re.fullmatch(shape, row.s)
     assert kind != "card" or int(pii_luhn(row.s)) == 0
+
+
+def test_licences_in_full_and_further_ones(spark):
+    whole = {name: text for name, text in full_texts() if END_OF_TERMS not in text or text.count("\n") > 150}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"} <= set(whole)
+    names = [name for name, _ in full_texts()]
+    texts = [text.upper().replace("\n", "\r\n") for _, text in full_texts()]
+    apache = dict(full_texts())["Apache-2.0"].split(END_OF_TERMS)[0]
+    docs = frame(spark, [*texts, apache, "My own licence, version 9.", "Another text.", apache + " and more"])
+    further = spark.createDataFrame([("Own-9", "my own license version 9"), ("Mine", texts[0]), (None, "another text"), ("None", "...")], "licence string, text string")
+    got = {r.doc_id: r.text_licence for r in licence_scan(docs, further).collect()}
+    n = len(texts)
+    assert [got[i] for i in range(n)] == names and [got[i] for i in range(n, n + 4)] == ["Apache-2.0", "Own-9", None, None]
+    assert {r.text_licence for r in licence_scan(docs).filter(f"doc_id > {n}").collect()} == {None}
