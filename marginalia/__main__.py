@@ -43,7 +43,7 @@ def parser() -> argparse.ArgumentParser:
     )
     contrast = step("contrast", "map, discriminant scores and density curves", "reviews", "summary", "cache", "out")
     contrast.add_argument("--epochs", type=int, default=20)
-    contrast.add_argument("--probes", type=int, default=16, help="cells to search per text; 0 for all that matter")
+    contrast.add_argument("--probes", type=int, default=0, help="cells to search per text; 0 for all that matter (exact)")
     contrast.add_argument("--needle", default=fv.AUTHOR_NEEDLE, help="part of the name of the author to contrast")
     contrast.add_argument("--split-date", default=fv.SPLIT_DATE)
     return top

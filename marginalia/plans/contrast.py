@@ -44,14 +44,14 @@ def contrast(
     encoder: EncoderFactory = HashingEncoder,
     neighbours: int = fv.MAP_NEIGHBOURS,
     epochs: int = 20,
-    probes: int | None = 16,
+    probes: int | None = None,
 ) -> Contrast:
     """Everything the analysis yields, as tables.
 
     Ids of vectors are 60 bits of the text's hash, so the map does not depend on
     partitions. Equal texts share one vector and one place on the map; every review counts
-    by itself in the discriminants and curves. ``probes`` bounds the neighbour
-    search to so many cells per text; None searches all that matter, which on
+    by itself in the discriminants and curves. The graph is exact; ``probes`` bounds the neighbour
+    search to so many cells per text and loses neighbours. None searches all that matter, which on
     vectors without structure is every pair.
     """
     frame = materialise(analysis_frame(reviews, summary, params), "frame")

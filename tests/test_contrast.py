@@ -1,7 +1,9 @@
 """The whole analysis on a small table."""
 
+import inspect
 import random
 
+from marginalia.__main__ import parser
 from marginalia.plans.contrast import contrast
 from marginalia.session import scratch_path
 from marginalia.sources import writers
@@ -37,3 +39,9 @@ def test_contrast(spark):
     path = scratch_path(spark, "points")
     writers.write_map_points(out.points, path)
     assert spark.read.parquet(path).columns == ["x", "y", "author_class", "book_name", "author", "stars", "period", "context_short"]
+
+
+def test_the_graph_is_exact_unless_asked_otherwise():
+    args = parser().parse_args("contrast --reviews r --summary s --cache c --out o".split())
+    assert (args.probes or None) is None
+    assert inspect.signature(contrast).parameters["probes"].default is None
