@@ -14,6 +14,7 @@ from marginalia.llm.katz import katz_scores
 from marginalia.llm.licence_texts import TEXTS, notices
 from marginalia.llm.licences import COPYRIGHT, RESERVED, SPELLINGS, licence_scan
 from marginalia.llm.line_dedup import deduplicated_lines
+from marginalia.llm.mixing import BITS, NEAR, WEIGHTS, mix_counts
 from marginalia.llm.near_dedup import near_duplicates
 from marginalia.llm.packing import packed
 from marginalia.llm.pii import pseudonymise
@@ -158,3 +159,46 @@ def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_katz_backoff")
 def op2_katz_backoff(spark: SparkSession, sf: str) -> DataFrame:
     return katz_scores(documents_table(spark, sf))
+
+
+def _filled_sql(amount: str, cap: str, weight: str, per: str, over: str, order: str) -> str:
+    """How far all rise together if this row and those that meet their cap later share what is left."""
+    by = f"{over} ORDER BY {cap} / {weight}, {order} ROWS BETWEEN"
+    return (
+        f"({amount} - coalesce(sum({per} * {cap}) OVER ({by} UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))"
+        f" / nullif(sum({per} * {weight}) OVER ({by} CURRENT ROW AND UNBOUNDED FOLLOWING), 0)"
+    )
+
+
+MIX_SQL = rf"""
+WITH RECURSIVE
+d AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  ('0x' || md5('mix:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))))[1:{BITS // 4}])::BIGINT AS draw FROM documents),
+k AS (SELECT source, length(size::VARCHAR) AS weight, sum(size)::BIGINT AS class_size FROM d GROUP BY ALL),
+s AS (SELECT source, sum(class_size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM k GROUP BY source),
+w AS (SELECT *, ([{", ".join(f"{x}::DOUBLE" for x in WEIGHTS)}])[(no - 1) % {len(WEIGHTS)} + 1] AS w, 3.0::DOUBLE * source_size AS cap,
+  (sum(source_size) OVER ())::DOUBLE AS everything FROM s),
+f AS (SELECT *, {_filled_sql("everything", "cap", "w", "1.0::DOUBLE", "", "no")} AS level FROM w),
+t AS (SELECT *, coalesce(least(cap, max(level) FILTER (level <= cap / w) OVER () * w), cap) AS target FROM f),
+c AS (SELECT t.source, t.no, t.source_size, t.target, k.weight, k.class_size, 3.0::DOUBLE AS cap, k.weight::DOUBLE AS w,
+  k.class_size::DOUBLE AS per FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT *, {_filled_sql("target", "cap", "w", "per", "PARTITION BY no", "weight")} AS level FROM c),
+h AS (SELECT *, coalesce(least(cap, max(level) FILTER (level <= cap / w) OVER (PARTITION BY no) * w), cap) AS wanted FROM g),
+p AS (SELECT *, floor(wanted)::BIGINT AS certain, wanted - floor(wanted) AS chance,
+  greatest(floor(target - sum(floor(wanted)::BIGINT * class_size) OVER (PARTITION BY no)), 0)::BIGINT AS to_draw FROM h),
+r AS MATERIALIZED (SELECT d.doc_id, d.size, d.draw, p.no, p.source_size, p.target, p.certain, p.chance, p.to_draw,
+  (d.draw + 0.5::DOUBLE) / {2**BITS}.0::DOUBLE AS u FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND length(d.size::VARCHAR) = p.weight),
+o AS MATERIALIZED (SELECT *, u / (1 - u) AS odds, chance / (1 - chance) AS hoped FROM r WHERE size > 0 AND chance > 0),
+q AS MATERIALIZED (SELECT doc_id, no, size, to_draw, floor(target / {NEAR})::BIGINT AS tolerance,
+  row_number() OVER (PARTITION BY no ORDER BY floor(odds / (odds + hoped) * {2**BITS}.0::DOUBLE)::BIGINT, size, doc_id) AS pos FROM o),
+walk AS (SELECT no, 0::BIGINT AS pos, to_draw AS gap, tolerance, NULL::BIGINT AS doc_id, false AS taken FROM q GROUP BY no, to_draw, tolerance
+  UNION ALL SELECT q.no, q.pos, CASE WHEN q.size <= w.gap AND w.gap > w.tolerance THEN w.gap - q.size ELSE w.gap END, w.tolerance, q.doc_id,
+    q.size <= w.gap AND w.gap > w.tolerance FROM walk w JOIN q ON q.no = w.no AND q.pos = w.pos + 1)
+SELECT r.doc_id, r.size, r.source_size, r.target, r.size * (r.certain + coalesce(walk.taken, false)::BIGINT) AS taken
+FROM r LEFT JOIN walk ON walk.doc_id = r.doc_id
+"""
+
+
+@query("op12_pareto_mix", MIX_SQL)
+def op12_pareto_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_counts(documents_table(spark, sf)).drop("copies")
