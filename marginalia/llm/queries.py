@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.bpe import encoded_digests
+from marginalia.llm.clustering import clusters
 from marginalia.llm.exact_dedup import exact_duplicates
 from marginalia.llm.katz import katz_scores
 from marginalia.llm.licence_texts import TEXTS, notices
@@ -16,6 +17,7 @@ from marginalia.llm.licences import COPYRIGHT, RESERVED, SPELLINGS, licence_scan
 from marginalia.llm.line_dedup import deduplicated_lines
 from marginalia.llm.mixing import BITS, NEAR, WEIGHTS, mix_counts
 from marginalia.llm.near_dedup import near_duplicates
+from marginalia.llm.negatives import mine
 from marginalia.llm.packing import packed
 from marginalia.llm.pii import pseudonymise
 from marginalia.llm.quality import quality
@@ -202,3 +204,59 @@ FROM r LEFT JOIN walk ON walk.doc_id = r.doc_id
 @query("op12_pareto_mix", MIX_SQL)
 def op12_pareto_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mix_counts(documents_table(spark, sf)).drop("copies")
+
+
+def embeddings_table(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/embeddings.parquet")
+
+
+def _whole_sql(scale: int) -> str:
+    return f"list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT)"
+
+
+FINITE_SQL = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)"
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    nearest = """n{0} AS (SELECT vec_id, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+  SELECT e.vec_id, e.v, c.c, list_sum([(e.v[i] - c.v[i]) * (e.v[i] - c.v[i]) for i in range(1, 65)])::BIGINT AS d
+  FROM e CROSS JOIN c{0} c) GROUP BY vec_id)"""
+    moved = """s{0} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (
+  SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM n{0}) GROUP BY c, i),
+m{0} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{0} GROUP BY c),
+c{1} AS (SELECT c{0}.c, coalesce(m{0}.v, c{0}.v) AS v FROM c{0} LEFT JOIN m{0} ON m{0}.c = c{0}.c)"""
+    steps = [x for r in range(rounds) for x in (nearest.format(r), moved.format(r, r + 1))] + [nearest.format(rounds)]
+    return f"""
+WITH e AS MATERIALIZED (SELECT vec_id, {_whole_sql(64)} AS v FROM embeddings WHERE {FINITE_SQL} AND len(embedding) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM e QUALIFY c < {k}),
+{", ".join(steps)}
+SELECT vec_id, n{rounds}.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY n{rounds}.c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM n{rounds} JOIN c{rounds} USING (c)
+"""
+
+
+@query("op13_sharded_lloyd", _clusters_sql())
+def op13_sharded_lloyd(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters(embeddings_table(spark, sf))
+
+
+NEGATIVES_SQL = f"""
+WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_whole_sql(256)}::DOUBLE[] AS v
+  FROM embeddings WHERE label IS NOT NULL AND {FINITE_SQL}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, list_dot_product(a.v, e.v)::BIGINT AS score
+  FROM e a JOIN e ON a.vec_id % 100 = 0 AND a.vec_id <> e.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@query("op11_segment_negatives", NEGATIVES_SQL)
+def op11_segment_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = embeddings_table(spark, sf).withColumn("label", label)
+    return mine(rows, rows.filter("vec_id % 100 = 0"))
