@@ -155,7 +155,7 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op8_suffix_dedup")
 def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return remove_repeats(documents_table(spark, sf)).drop("kept")
+    return remove_repeats(documents_table(spark, sf))
 
 
 @query("op2_katz_backoff")

@@ -300,10 +300,10 @@ def _remove(length: int):
                 out[0].append(int(gone.sum()))
                 out[1].append(len(_runs(gone)) // 2)
                 out[2].append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
+                kept.append(rest.decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-                 pa.array(out[2]), pa.array(kept, pa.binary())],
+                 pa.array(out[2]), pa.array(kept, pa.string())],
                 ["doc_id", "version", "n_removed", "n_spans", "kept_sha", "kept"],
             )
 
@@ -313,12 +313,13 @@ def _remove(length: int):
 def remove_repeats(
     docs: DataFrame, length: int = 400, q: int = Q, shard_bytes: int = SHARD, cut: int = CUT
 ) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` of every row.
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, text`` of every row.
 
     Every byte (of the text in UTF-8) in a string of ``length`` bytes that also
     starts anywhere else, in the same text too, is removed; strings are judged on
-    the input. ``kept`` holds the remaining bytes joined, or null where nothing was
-    removed; ``n_spans`` counts the runs of removed bytes.
+    the input. ``text`` holds what is left, without the rest of a character of which
+    some bytes are removed; ``kept_sha256`` is of all remaining bytes. ``n_spans`` counts the runs of
+    removed bytes.
 
     Null and empty texts, and those shorter than ``length``, lose nothing. Rows
     repeated in full are copies of each other and lose all they can. An empty table
@@ -395,14 +396,16 @@ def remove_repeats(
         .join(large(hits), ["doc_id", "version"])
         .mapInArrow(
             _remove(length),
-            "doc_id bigint, version bigint, n_removed bigint, n_spans bigint, kept_sha string, kept binary",
+            "doc_id bigint, version bigint, n_removed bigint, n_spans bigint, kept_sha string, kept string",
         )
     )
-    return marks.join(large(removed), ["doc_id", "version"], "left").select(
+    verdicts = marks.select("doc_id", "version", "n_bytes", "sha").dropDuplicates(["doc_id", "version"])
+    verdicts = materialise(verdicts.join(large(removed), ["doc_id", "version"], "left"), "verdicts")
+    return rows.join(large(verdicts), ["doc_id", "version"]).select(
         real_id("doc_id").alias("doc_id"),
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"),
         F.coalesce("kept_sha", "sha").alias("kept_sha256"),
-        "kept",
+        F.coalesce("kept", "text").alias("text"),
     )
