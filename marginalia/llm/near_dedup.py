@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import documents, large, real_id
+from marginalia.llm.common import NO_ID, documents, large, real_id
 from marginalia.llm.components import components
 from marginalia.session import materialise
 
@@ -50,28 +50,32 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     yield from zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True)
 
 
+def _set_key(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, sizes, keys, sketches = [], [], [], []
-        for doc_id, text in _rows(batch):
+        for doc_id, text, _ in _rows(batch):
             s = shingle_hashes(text)
             ids.append(doc_id)
             sizes.append(len(s))
-            keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+            keys.append(_set_key(s))
             sketches.append(s[:K])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+            [pa.array(ids, pa.int64()), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
              pa.array(sketches, pa.list_(pa.int64()))],
-            ["doc_id", "n", "set_key", "sketch"],
+            ["doc_id", "version", "n", "set_key", "sketch"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for doc_id, text in _rows(batch):
+        for (text,) in _rows(batch):
             s = shingle_hashes(text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([doc_id], pa.int64()), pa.array([len(s)], pa.int64()), pa.array([s], pa.list_(pa.int64()))],
+                [pa.array([_set_key(s)], pa.binary()), pa.array([len(s)], pa.int64()), pa.array([s], pa.list_(pa.int64()))],
                 ["id", "n", "shingles"],
             )
 
@@ -95,7 +99,7 @@ def _linked(percent: int):
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     left.append(a)
                     right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
     return verify
 
@@ -180,44 +184,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     full = lambda name: large(sets.select(F.col("id").alias(name), F.col("shingles").alias(f"{name}_set")))
     return materialise(
         pairs.join(full("a"), "a").join(full("b"), "b").select("a", "b", "a_set", "b_set")
-        .mapInArrow(_linked(percent), "a bigint, b bigint"),
+        .mapInArrow(_linked(percent), "a binary, b binary"),
         "verified",
     )
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row.
-
-    Rows are linked if their sets of 5-word shingles have a Jaccard similarity of
-    at least ``percent`` hundredths, confirmed on the full sets; ``component_id``
-    is the least id that links lead to, and ``kept`` tells whether it is the row's
-    own. A text without words is linked with nothing. A row without an id counts
-    as the least id. Repeated rows share a verdict. An empty table gives an empty
-    table; other columns are not read.
+def _groups(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, version, n, set_key`` of every row; ``set_key, first`` of every set with words.
 
-    Copies (equal sets) are one entry from the start. Inverted lists of the sketch
-    values find the entries that can have a partner; only for these, full sets are
-    written. Their rarest shingles are matched, first with the most typical entry
-    of each list, so a group of near copies links to a few; then the members of
-    different components. Groups that a hot value would make are not expanded, and
-    nothing is cut off.
+    ``first`` has the least ``doc_id, version`` of all rows whose sets links lead to. A set
+    is a node by its own 128-bit key, whatever ids its rows have.
     """
-    rows = documents(docs)
+    rows = documents(docs).withColumn("version", F.xxhash64("text"))
     marks = materialise(
-        rows.mapInArrow(_sketch, "doc_id bigint, n bigint, set_key binary, sketch array<bigint>"), "sketches"
+        rows.mapInArrow(_sketch, "doc_id bigint, version bigint, n bigint, set_key binary, sketch array<bigint>"), "sketches"
     )
-    worded = marks.filter("n > 0")
     reps = materialise(
-        worded.groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("r"))
-        .select("set_key", F.col("r.doc_id").alias("id"), "r.n", "r.sketch"),
+        marks.filter("n > 0").groupBy("set_key")
+        .agg(F.min(F.struct("doc_id", "version", "n", "sketch")).alias("r"))
+        .select(F.col("set_key").alias("id"), "r.n", "r.sketch", "r.doc_id", "r.version"),
         "entries",
     )
-    listed = materialise(_listed(reps, percent), "listed")
-    # One row per id: rows that share an id but not a text are told apart by their set.
+    listed = materialise(_listed(reps, percent).join(large(reps.select("id", "doc_id", "version")), "id"), "listed")
+    # Rows may share id and text; their set is one.
     sets = materialise(
-        rows.join(large(listed), F.col("doc_id") == F.col("id"), "left_semi")
-        .mapInArrow(_sets, "id bigint, n bigint, shingles array<bigint>")
-        .dropDuplicates(["id", "n"]),
+        rows.join(large(listed.select("doc_id", "version").distinct()), ["doc_id", "version"], "left_semi").select("text")
+        .mapInArrow(_sets, "id binary, n bigint, shingles array<bigint>")
+        .dropDuplicates(["id"]),
         "sets",
     )
     postings = materialise(_prefix_postings(sets, percent), "postings")
@@ -254,10 +247,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     found = materialise(components(links.unionByName(more)), "components")
     entries = materialise(
         reps.join(large(found), F.col("id") == F.col("node"), "left")
-        .select("set_key", F.coalesce("component", "id").alias("component")),
+        .select("id", "doc_id", "version", F.coalesce("component", "id").alias("component")),
         "entry-components",
     )
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    firsts = materialise(entries.groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("first")), "firsts")
+    return marks, entries.join(large(firsts), "component").select(F.col("id").alias("set_key"), "first")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row.
+
+    Rows are linked if their sets of 5-word shingles have a Jaccard similarity of
+    at least ``percent`` hundredths, confirmed on the full sets; ``component_id``
+    is the least id that links lead to, and ``kept`` tells whether it is the row's
+    own. A text without words is linked with nothing. A row without an id counts
+    as the least id. Rows that share an id are told apart by their texts, and each has
+    its own links; rows repeated in full share a verdict. An empty table gives an empty
+    table; other columns are not read.
+
+    Copies (equal sets) are one entry from the start. Inverted lists of the sketch
+    values find the entries that can have a partner; only for these, full sets are
+    written. Their rarest shingles are matched, first with the most typical entry
+    of each list, so a group of near copies links to a few; then the members of
+    different components. Groups that a hot value would make are not expanded, and
+    nothing is cut off.
+    """
+    marks, entries = _groups(docs, percent)
+    component = F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
     return marks.join(large(entries), "set_key", "left").select(
         real_id("doc_id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
@@ -267,6 +283,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
-    kept = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(large(kept), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of each group of near duplicates, with all its columns, and all rows without words.
+
+    The row of least id stays; of rows that share it, one.
+    """
+    _, entries = _groups(docs, percent)
+    first = entries.select("first.doc_id", "first.version").distinct()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"),
+        F.xxhash64(text).alias("version"),
+        text.rlike(r"[^ \t-\r]").alias("worded"),
+    )
+    kept = rows.filter("worded").join(large(first), ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
+    return kept.select("row").unionByName(rows.filter("NOT worded").select("row")).select("row.*")
