@@ -22,7 +22,8 @@ TITLES = {
     "n": ("Dr", "Prof", "Professor"),
 }
 SECRET_WORDS = "token|secret|password|passwd|api[_-]?key|access[_-]?key"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+# One run of characters that gives back as many as it must; a repeated group would need a stack as deep as the text.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9-])[A-Za-z0-9.-]+(?<=[A-Za-z0-9-]\.[A-Za-z]{2,63})"
 SECRET = rf"(?i:{SECRET_WORDS})\s{{0,3}}[:=]\s{{0,3}}[\"'][^\s\"']{{8,}}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 ADDRESS = rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])"
