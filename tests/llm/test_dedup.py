@@ -1,7 +1,8 @@
 """Line, exact, near and suffix dedup against plain versions."""
 
+import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.llm.components import components
 from marginalia.llm.exact_dedup import exact_duplicates
 from marginalia.llm.line_dedup import deduplicated_lines, line_bitmaps
-from marginalia.llm.near_dedup import near_duplicates, shingle_hashes
+from marginalia.llm.near_dedup import near_duplicates, one_of_each, shingle_hashes
 from marginalia.llm.suffix_dedup import common_prefixes, remove_repeats, suffix_array
 from tests.llm.brute import repeats
 
@@ -103,6 +104,42 @@ def test_near_duplicates(spark):
         assert all(got[i].kept == (want[i] == i) for i in range(len(texts)))
 
 
+def plain_classes(rows, percent=85):
+    """The least id of each row's component, rows told apart by their place; a missing id is the least."""
+    sets = [set(shingle_hashes(t or "").tolist()) for _, t in rows]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(a):
+                both = len(sets[a] & sets[b])
+                if sets[a] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    label[a] = label[b] = min(label[a], label[b])
+    least = lambda i: -1 if i is None else i
+    return [min((rows[j][0] for j in range(len(rows)) if label[j] == label[i]), key=least) for i in range(len(rows))], label
+
+
+def test_near_duplicates_whatever_the_ids(spark):
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(200)) for _ in range(6)]
+    rows = [(6, base[0] + " y"), (7, base[0]), (None, base[1]), (None, base[2] + " a"), (None, base[3]), (None, base[2])]
+    rows += [(1, base[4]), (1, base[5]), (3, base[4] + " z"), (1, base[5] + " x"), (9, base[3] + " q"), (1, base[1] + " r")]
+    rows += [(None, base[0] + " v"), (2, "one"), (2, "one"), (2, "two"), (None, "two"), (None, None), (4, ""), (4, ""), (5, base[5])]
+    want, label = plain_classes(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(docs.repartition(3)).collect()
+    sizes = [len(shingle_hashes(t or "")) for _, t in rows]
+    kept = lambda i: want[i] == rows[i][0]
+    expected = sorted(((r[0], n, want[i] if n else r[0], kept(i) or not n) for i, (r, n) in enumerate(zip(rows, sizes, strict=True))), key=str)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == expected
+    # One row of each group, and those without words.
+    extra = docs.withColumns({"kept": F.lit("own"), "row": F.lit(1)})
+    one = [(r.doc_id, r.text) for r in one_of_each(extra).collect()]
+    assert len(one) == len({label[i] for i, n in enumerate(sizes) if n}) + sizes.count(0)
+    groups = Counter(label[rows.index(r)] for r in one if r[1])
+    assert set(groups.values()) == {1} and all(r[0] == want[rows.index(r)] for r in one if r[1])
+    assert one_of_each(extra).columns == extra.columns
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(50)] + [(5, 5)]
@@ -156,3 +193,7 @@ def test_repeats(spark, sizes):
     got = {r.doc_id: r for r in remove_repeats(frame(spark, texts), length=40, q=8, **sizes).collect()}
     for i, want in enumerate(repeats(texts, 40)):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want
+        if want[1] == 0:
+            assert got[i].text == texts[i]
+        elif texts[i].isascii():
+            assert hashlib.sha256(got[i].text.encode()).hexdigest() == want[3]

@@ -100,3 +100,16 @@ def test_defined_results(odd):
     assert scored[1].n_tokens == 1 and scored[1].score < 0 and not scored[None].held_out
     cut = {r.doc_id: r for r in OPERATORS["suffix"](odd).collect()}
     assert (cut[2].n_bytes, cut[2].n_removed, cut[3].n_removed) == (0, 0, 0)
+    assert (cut[2].text, cut[3].text) == ("", LONG)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["x@" + "a." * 10**6, "x@" + "a-b." * 10**5 + "com", "@" * 10**6, "a@b" * 10**5, "1 " * 10**5, "1" * 10**6, "1.1." * 10**5, "(212) " * 10**5,
+     "password=" * 10**5, "password = '" + "a" * 10**6, "Mr. A" + "b" * 10**6, "Mr. Ab " * 10**5, "+1 212-555-" * 10**5, "." * 10**6],
+    ids=lambda t: t[:12],
+)
+def test_no_text_needs_a_stack(spark, text):
+    rows = spark.createDataFrame([(1, text), (2, "write to joe@corp.example, not to a@b..c")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(rows, "k").collect()}
+    assert len(got) == 2 and "joe@" not in got[2].text and got[2].text.endswith(", not to a@b..c") and got[2].n_entities == 1
