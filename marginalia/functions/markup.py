@@ -1,7 +1,8 @@
 """Field expressions over page HTML.
 
 Elements are found by class or attribute and closed by counting their own open
-and close tags, so nested markup inside a review or a list is kept whole.
+and close tags, so nested markup inside a review or a list is kept whole. The names
+of classes, attributes and links are arguments; their defaults are fixed values.
 """
 
 from __future__ import annotations
@@ -17,37 +18,74 @@ from marginalia import fixed_values as fv
 from marginalia.functions.text import _col, collapse_ws, let, split_on, strip_tags, without_marks
 from marginalia.functions.urls import _group
 
-# One attribute, or a character that is none; quoted values may hold anything but their quote.
+# A page is read as a row of tokens from its start on. Every character belongs to one
+# token and every repeated group is possessive, so a scan takes one pass and no stack,
+# whatever the page holds. What stands in a comment, in a script or in another tag's
+# attributes is no tag. One attribute, or a character that is none; quoted values may
+# hold anything but their quote:
 _ATTRIBUTE = r"""(?:[^\s=>/"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+|[\s/"'=])"""
 _REST = rf"{_ATTRIBUTE}*+>"
+_RAW = "script|style|textarea|title"  # elements whose content is text
+
+
+def _skip(wanted: str) -> str:
+    """All tokens before the next ``wanted`` tag."""
+    return (
+        r"(?:[^<]++"
+        r"|<!--(?:-?+>|(?:[^-]++|-(?!->))*+(?:-->|\z))"
+        rf"|<(?:{_RAW})(?=[\s/>]){_REST}(?:[^<]++|<(?!/(?:{_RAW})\b))*+"
+        rf"""|(?!{wanted})</?[a-z](?:[^>"']*+>|{_ATTRIBUTE}*+(?:>|\z))"""
+        r"|<(?:[!?]|/(?![a-z]))[^>]*+(?:>|\z)"
+        r"|<(?![a-z!?/]))*+"
+    )
+
+
+def _first_tag(wanted: str, capturing: str | None = None) -> str:
+    """The first ``wanted`` tag of the text, and all before it."""
+    return rf"(?is)\A{_skip(wanted)}{capturing or wanted}"
+
+
+def _each_tag(wanted: str, capturing: str | None = None) -> str:
+    """A ``wanted`` tag and all between the one before and it."""
+    return rf"(?is)\G{_skip(wanted)}{capturing or wanted}"
+
+
+def _value(name: str, double: str, single: str, bare: str) -> str:
+    """An attribute whose value, in any quotes, fits; a quote that is never closed is none."""
+    return rf"""(?<=[\s"'/]){name}\s*+=\s*+(?:"(?=[^"]*+"){double}"|'(?=[^']*+'){single}'|(?!["']){bare}(?=[\s>]))"""
+
+
+def _with(attribute: str) -> str:
+    """Lookahead: the open tag has this attribute."""
+    return rf"(?=(?:(?!{attribute}){_ATTRIBUTE})*+{attribute})"
 
 
 def _has_class(name: str) -> str:
     """Lookahead: the open tag carries this class among others."""
     n = re.escape(name)
-    return (
-        rf"""(?={_ATTRIBUTE}*?(?<=[\s"'/])class\s*=\s*"""
-        rf"""(?:"(?:[^"]*\s)?{n}(?:\s[^"]*)?"|'(?:[^']*\s)?{n}(?:\s[^']*)?'|{n}(?=[\s>])))"""
-    )
+    return _with(_value("class", rf'(?:[^"]*\s)?{n}(?:\s[^"]*)?', rf"(?:[^']*\s)?{n}(?:\s[^']*)?", n))
 
 
 def _has_attribute(name: str, value: str) -> str:
     v = re.escape(value)
-    return rf"""(?={_ATTRIBUTE}*?(?<=[\s"'/]){name}\s*=\s*(?:"{v}"|'{v}'|{v}(?=[\s>])))"""
+    return _with(_value(name, v, v, v))
 
 
 def _open_tag(tag: str, condition: str = "") -> str:
-    return rf"(?i)<{tag}\b{condition}{_REST}"
+    return rf"<{tag}\b{condition}{_REST}"
 
 
-def _attribute(tag: str, name: str, condition: str = "", must_hold: str = "") -> str:
-    """Pattern of the whole open tag; its first group is the attribute value with its quotes."""
+def _attribute(tag: str, name: str, condition: str = "", must_hold: str = "") -> tuple[str, str]:
+    """An open tag with the attribute, and the same with the value and its quotes as a group."""
     m = re.escape(must_hold)
     double, single, bare = r'[^"]*', r"[^']*", r"[^\s>]*"
     if must_hold:
         double, single, bare = double + m + double, single + m + single, bare + m + bare
-    value = rf"""("{double}"|'{single}'|(?!["']){bare})"""
-    return rf"""(?i)<{tag}\b{condition}{_ATTRIBUTE}*?(?<=[\s"'/]){name}\s*=\s*{value}{_REST}"""
+    plain = _value(name, double, single, bare)
+    head, tail = plain.split(r"\s*+=\s*+", 1)
+    grouped = rf"{head}\s*+=\s*+({tail})"
+    before = rf"<{tag}\b{condition}(?:(?!{plain}){_ATTRIBUTE})*+"
+    return f"{before}{plain}{_REST}", f"{before}{grouped}{_REST}"
 
 
 def _unquoted(value: Column) -> Column:
@@ -111,27 +149,32 @@ def inner_text(html: Column) -> Column:
     return collapse_ws(decode_entities(strip_tags(html)))
 
 
+def _at_tags(html: Column | str, wanted: str) -> Column:
+    """Text before, between and after the tags; each piece but the first begins with its tag."""
+    return split_on(html, rf"(?is)\G({_skip(wanted)})({wanted})", "$1{}$2")
+
+
 def _balanced_prefix(rest: Column, tag: str) -> Column:
     """``rest`` up to the close tag that matches an already open ``tag``."""
-    def cut(chunks: Column) -> Column:
-        def step(state: Column, chunk: Column) -> Column:
-            opened = F.regexp_count(chunk, F.lit(rf"(?i)<{tag}\b"))
-            depth = state["depth"] + opened - 1
+    def cut(pieces: Column) -> Column:
+        def step(state: Column, piece: Column) -> Column:
+            depth = state["depth"] + F.when(piece.startswith("</"), -1).otherwise(1)
             return F.when(state["depth"] == 0, state).otherwise(
-                F.struct(depth.alias("depth"), (state["taken"] + 1).alias("taken"))
+                F.struct(depth.alias("depth"), (state["taken"] + (depth > 0).cast("int")).alias("taken"))
             )
 
-        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("taken"))
-        taken = F.aggregate(chunks, start, step, lambda s: s["taken"])
-        return F.array_join(F.slice(chunks, 1, taken), f"</{tag}>")
+        start = F.struct(F.lit(1).alias("depth"), F.lit(1).alias("taken"))
+        taken = F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, step, lambda s: s["taken"])
+        return F.array_join(F.slice(pieces, 1, taken), "")
 
-    return let(split_on(rest, rf"(?i)</{tag}\s*>"), cut)
+    return let(_at_tags(rest, rf"</?{tag}\b{_REST}"), cut)
 
 
 def element_inners(html: Column | str, tag: str, condition: str) -> Column:
     """Inner HTML of every ``tag`` element that meets the condition."""
+    wanted = _open_tag(tag, condition)
     return let(
-        split_on(html, _open_tag(tag, condition)),
+        split_on(html, rf"(?is)\G({_skip(wanted)}){wanted}", "$1{}"),
         lambda pieces: F.transform(
             F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
             lambda rest: _balanced_prefix(rest, tag),
@@ -147,109 +190,105 @@ def _joined(items: Column) -> Column:
     return F.array_join(F.filter(items, lambda x: x != ""), fv.LIST_SEPARATOR)
 
 
-def canonical_url(html: Column | str) -> Column:
+def canonical_url(html: Column | str, prop: str = fv.CANONICAL_PROPERTY) -> Column:
     """Content of the canonical meta tag, attributes in any order."""
-    meta = _attribute("meta", "content", _has_attribute("property", fv.CANONICAL_PROPERTY))
-    return F.nullif(_unquoted(_group(_col(html), meta)), F.lit(""))
+    meta = _attribute("meta", "content", _has_attribute("property", prop))
+    return F.nullif(_unquoted(_group(_col(html), _first_tag(*meta))), F.lit(""))
 
 
 def link_hrefs(html: Column | str, css_class: str | None = None) -> Column:
     """Targets of all anchors, or of those with the class, in page order."""
     condition = _has_class(css_class) if css_class else ""
-    return F.transform(
-        F.regexp_extract_all(_col(html), F.lit(_attribute("a", "href", condition)), 1),
-        _unquoted,
-    )
+    anchors = _each_tag(*_attribute("a", "href", condition))
+    return F.transform(F.regexp_extract_all(_col(html), F.lit(anchors), 1), _unquoted)
 
 
-def has_next_page(html: Column | str) -> Column:
-    return F.coalesce(_col(html).rlike(_open_tag("a", _has_class(fv.NEXT_LINK_CLASS))), F.lit(False))
+def has_next_page(html: Column | str, css_class: str = fv.NEXT_LINK_CLASS) -> Column:
+    link = _first_tag(_open_tag("a", _has_class(css_class)))
+    return F.coalesce(_col(html).rlike(link), F.lit(False))
 
 
-def card_htmls(html: Column | str) -> Column:
+def card_htmls(html: Column | str, css_class: str = fv.REVIEW_CARD_CLASS) -> Column:
     """Inner HTML of the review cards of a page, in page order."""
-    return element_inners(html, "article", _has_class(fv.REVIEW_CARD_CLASS))
+    return element_inners(html, "article", _has_class(css_class))
 
 
-_REVIEW_LINK = _attribute("a", "href", must_hold=fv.REVIEW_LINK_MARK)
+def _link_to(mark: str) -> str:
+    """The first link whose target holds ``mark``; its target and its inner HTML are groups."""
+    return _first_tag(*_attribute("a", "href", must_hold=mark)) + r"(.*?)</a\s*+>"
 
 
-def review_id(card: Column | str) -> Column:
+def review_id(card: Column | str, mark: str = fv.REVIEW_LINK_MARK) -> Column:
     """Target of the review link."""
-    return F.nullif(_unquoted(_group(_col(card), _REVIEW_LINK)), F.lit(""))
+    link = _first_tag(*_attribute("a", "href", must_hold=mark))
+    return F.nullif(_unquoted(_group(_col(card), link)), F.lit(""))
 
 
-def review_date(card: Column | str) -> Column:
+def review_date(card: Column | str, mark: str = fv.REVIEW_LINK_MARK) -> Column:
     """Text of the review link."""
-    return inner_text(F.regexp_extract(_col(card), rf"(?s){_REVIEW_LINK}(.*?)</a\s*>", 2))
+    return inner_text(F.regexp_extract(_col(card), _link_to(mark), 2))
 
 
-def review_body(card: Column | str) -> Column:
+def review_body(card: Column | str, css_class: str = fv.REVIEW_BODY_CLASS) -> Column:
     """Inner HTML of the review text; null if the card has none."""
-    return _first(element_inners(card, "span", _has_class(fv.REVIEW_BODY_CLASS)))
+    return _first(element_inners(card, "span", _has_class(css_class)))
 
 
 def stars_from_label(label: Column | str) -> Column:
     return F.coalesce(_group(_col(label), r"(?U)\d+", 0), F.lit(fv.NOT_RATED))
 
 
-def stars(card: Column | str) -> Column:
+def stars(card: Column | str, css_class: str = fv.STARS_CLASS) -> Column:
     """First number of the rating label."""
-    label = _attribute("span", "aria-label", _has_class(fv.STARS_CLASS))
+    label = _first_tag(*_attribute("span", "aria-label", _has_class(css_class)))
     return stars_from_label(_unquoted(F.regexp_extract(_col(card), label, 1)))
 
 
-def authors(html: Column | str) -> Column:
+def authors(html: Column | str, list_class: str = fv.AUTHOR_LIST_CLASS, name_class: str = fv.AUTHOR_NAME_CLASS) -> Column:
     """Non-empty names of all contributor lists."""
-    lists = element_inners(html, "div", _has_class(fv.AUTHOR_LIST_CLASS))
+    lists = element_inners(html, "div", _has_class(list_class))
     names = F.flatten(
-        F.transform(
-            lists,
-            lambda x: F.transform(
-                element_inners(x, "span", _has_class(fv.AUTHOR_NAME_CLASS)), inner_text
-            ),
-        )
+        F.transform(lists, lambda x: F.transform(element_inners(x, "span", _has_class(name_class)), inner_text))
     )
     return F.coalesce(F.nullif(_joined(names), F.lit("")), F.lit(fv.NOT_FOUND))
 
 
-def avg_rating(html: Column | str) -> Column:
-    found = _first(element_inners(html, "div", _has_class(fv.RATING_CLASS)))
+def avg_rating(html: Column | str, css_class: str = fv.RATING_CLASS) -> Column:
+    found = _first(element_inners(html, "div", _has_class(css_class)))
     return F.coalesce(inner_text(found), F.lit(fv.NOT_FOUND))
 
 
-def total_reviews(html: Column | str) -> Column:
+def total_reviews(html: Column | str, mark: str = fv.REVIEWS_LINK_MARK) -> Column:
     """Count in the link to the community reviews, thousands marks removed."""
-    link = _attribute("a", "href", must_hold=fv.REVIEWS_LINK_MARK)
-    text = inner_text(F.regexp_extract(_col(html), rf"(?s){link}(.*?)</a\s*>", 2))
+    text = inner_text(F.regexp_extract(_col(html), _link_to(mark), 2))
     count = F.replace(_group(text, fv.REVIEW_COUNT_PATTERN), F.lit(","), F.lit(""))
     return F.coalesce(count, F.lit(fv.NOT_FOUND))
 
 
-def release_date(html: Column | str) -> Column:
-    test_id = _has_attribute("data-testid", fv.PUBLICATION_TEST_ID)
-    pattern = rf"(?is)<([a-z][\w-]*)\b{test_id}{_REST}(.*?)</\1\s*>"
+def release_date(html: Column | str, test_id: str = fv.PUBLICATION_TEST_ID) -> Column:
+    rest = rf"\b{_has_attribute('data-testid', test_id)}{_REST}"
+    pattern = _first_tag(rf"<[a-z][\w-]*+{rest}", rf"<([a-z][\w-]*+){rest}") + r"(.*?)</\1\s*+>"
     found = _first(F.regexp_extract_all(_col(html), F.lit(pattern), 2))
     text = F.replace(inner_text(found), F.lit(fv.FIRST_PUBLISHED), F.lit(""))
     return F.coalesce(text, F.lit(fv.NOT_FOUND))
 
 
-def genres(html: Column | str) -> Column:
+def genres(
+    html: Column | str,
+    test_id: str = fv.GENRES_TEST_ID,
+    link_class: str = fv.GENRE_LINK_CLASS,
+    label_class: str = fv.GENRE_LABEL_CLASS,
+) -> Column:
     """Labels of the genre tags; no list, or a tag without label, is the sentinel."""
-    listed = _first(
-        element_inners(html, "div", _has_attribute("data-testid", fv.GENRES_TEST_ID))
-    )
+    listed = _first(element_inners(html, "div", _has_attribute("data-testid", test_id)))
     labels = F.transform(
-        element_inners(listed, "a", _has_class(fv.GENRE_LINK_CLASS)),
-        lambda x: inner_text(_first(element_inners(x, "span", _has_class(fv.GENRE_LABEL_CLASS)))),
+        element_inners(listed, "a", _has_class(link_class)),
+        lambda x: inner_text(_first(element_inners(x, "span", _has_class(label_class)))),
     )
     complete = F.forall(labels, lambda x: x.isNotNull())
     return F.coalesce(F.when(complete, _joined(labels)), F.lit(fv.NOT_FOUND))
 
 
-def is_book_page(html: Column | str) -> Column:
+def is_book_page(html: Column | str, css_class: str = fv.BOOK_CONTENT_CLASS) -> Column:
     """The page shows its main content, so its metadata can be trusted."""
-    return F.coalesce(
-        _col(html).rlike(_open_tag("div", _has_class(fv.BOOK_CONTENT_CLASS))), F.lit(False)
-    )
-
+    return F.coalesce(_col(html).rlike(_first_tag(_open_tag("div", _has_class(css_class)))), F.lit(False))

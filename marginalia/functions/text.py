@@ -18,7 +18,8 @@ _BREAK = r"(?i)<br" + fv.WS + r"*/?>"
 # the replacement character first, as in a browser.
 _MARK = "\u0000"
 _REPLACED = "\ufffd"
-_TAG = r"<[^>\n]*>"
+# A tag, or all from a ``<`` that no ``>`` follows on to the end of its line.
+_TAG = r"<[^>\n]*+>|(<[^>\n]*+)"
 
 
 def _col(c: Column | str) -> Column:
@@ -49,13 +50,13 @@ def without_marks(c: Column | str) -> Column:
     return F.replace(_col(c), F.lit(_MARK), F.lit(_REPLACED))
 
 
-def split_on(c: Column | str, pattern: str) -> Column:
-    """Split on a pattern.
+def split_on(c: Column | str, pattern: str, cut: str = "{}") -> Column:
+    """Split on a pattern; ``cut`` is what a match leaves, with the place of the cut.
 
     ``F.split`` compiles its pattern for every row, ``regexp_replace`` once; a
     split on a plain character needs none.
     """
-    return F.split(F.regexp_replace(without_marks(c), pattern, _MARK), _MARK)
+    return F.split(F.regexp_replace(without_marks(c), pattern, cut.format(_MARK)), _MARK)
 
 
 def split_br(html: Column | str) -> Column:
@@ -65,7 +66,7 @@ def split_br(html: Column | str) -> Column:
 
 def strip_tags(c: Column | str) -> Column:
     """Tags within one line are deleted; entities stay encoded."""
-    return F.regexp_replace(_col(c), _TAG, "")
+    return F.regexp_replace(_col(c), _TAG, "$1")
 
 
 def drop_empty(pieces: Column | str) -> Column:
