@@ -28,6 +28,23 @@ def text_of(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
+FAKES = (
+    '<meta property="og:url" content="/book/show/0.no"><a class="next_page listTitle bookTitle" href="/no">no</a>'
+    '<article class="ReviewCard"><a href="/review/show/no">no</a><span class="Formatted">with no</span></article>'
+    '<div class="BookPage__mainContent"></div><div class="RatingStatistics__rating">no</div>'
+)
+
+
+def odd_markup(page_id: str) -> Column:
+    """On one page in fifty: a tag of thousands of attributes that hold tags, and tags in comments and scripts. None counts."""
+    odd = (
+        "<div" + f" data-card='{FAKES}' href=/no class ''" * 3 + ' = " x=y' * 3001 + '" >'
+        + f"</div><!-- {FAKES} -- ><script>var page = '{FAKES}';</script -->"
+        + f"<script>var page = '{FAKES}' < 1;</script><style>{FAKES}</style><a <a <a </a><!DOCTYPE <a>"
+    )
+    return F.when(F.col(page_id) % 50 == 0, F.lit(odd)).otherwise(F.lit(""))
+
+
 # --- review pages: one card per document, ten documents to a page ---
 
 def card_rows(documents: DataFrame, orders: DataFrame) -> DataFrame:
@@ -81,7 +98,7 @@ def review_pages(spark: SparkSession, sf: str) -> DataFrame:
     ).select(
         "page_id",
         F.concat("book", F.lit("/reviews")).alias("url"),
-        F.concat(F.lit("<html><body>"), F.col("cards"), F.lit("</body></html>")).alias("html"),
+        F.concat(F.lit("<html><body>"), odd_markup("page_id"), F.col("cards"), F.lit("</body></html>")).alias("html"),
     )
 
 
@@ -90,7 +107,7 @@ def single_card_pages(documents: DataFrame, orders: DataFrame) -> DataFrame:
     return card_rows(documents, orders).select(
         F.col("doc_id").alias("page_id"),
         F.concat(F.lit(f"{SITE}/doc/"), text_of("doc_id")).alias("url"),
-        F.concat(F.lit("<html><body>"), cards_html(), F.lit("</body></html>")).alias("html"),
+        F.concat(F.lit("<html><body>"), odd_markup("doc_id"), cards_html(), F.lit("</body></html>")).alias("html"),
         "o_orderdate",
     )
 
@@ -125,7 +142,9 @@ def list_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('<a class="next_page" rel="next" href="?page=next">next</a>')
     )
     html = F.concat(
-        F.lit('<html><a class="listTitle" href="/list/1">up</a><a href="/book/show/'),
+        F.lit("<html>"),
+        odd_markup("o_orderkey"),
+        F.lit('<a class="listTitle" href="/list/1">up</a><a href="/book/show/'),
         text_of(F.floor(F.col("o_totalprice") / 100)),
         F.lit('" class="bookTitle wide"><span>t</span></a>'),
         nav,
@@ -169,6 +188,7 @@ def book_pages(spark: SparkSession, sf: str) -> DataFrame:
 
     html = F.concat(
         F.lit("<html><head>"),
+        odd_markup("p_partkey"),
         F.when(kind == "PROMO", F.lit(""))
         .when(kind == "SMALL", F.concat(F.lit('<meta content="'), work, F.lit('" property="og:url">')))
         .otherwise(F.concat(F.lit('<meta property="og:url" content="'), work, F.lit('"/>'))),

@@ -15,13 +15,16 @@ from marginalia.operators import (
     analysis,
     corpus,
     density,
+    descent,
     discriminant,
     embedding,
+    latent,
     layout,
     names,
     neighbours,
     relational,
     reviews,
+    spectral,
 )
 from marginalia.session import materialise, scratch_path
 from marginalia.sources import readers, writers
@@ -763,11 +766,58 @@ def fuzzy_edges(spark, sf):
     return layout.fuzzy_edges(graph).withColumn("weight", F.round("weight", 5))
 
 
+@query("latent_axes", "SELECT count(DISTINCT text) AS texts, 16 AS dims, true AS unit_length, true AS nearly_all_captured FROM documents")
+def latent_axes(spark, sf):
+    """Vectors of all documents; their axes against the exact ones, over few slots."""
+    docs = table(spark, sf, "documents")
+    model = latent.fit_latent(docs, "text", 16, slots=256)
+    near = model.captured >= 0.99 * latent.exact_share(docs, "text", model)
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    return latent.embed_latent(docs, "text", model).agg(
+        F.count(F.lit(1)).alias("texts"), F.max(F.size("embedding")).alias("dims"),
+        F.bool_and((F.abs(length - 1) < 1e-5) | (length == 0)).alias("unit_length"), F.lit(near).alias("nearly_all_captured"),
+    )
+
+
+@query("knn_descent", "SELECT count(*) AS points, 15 * count(*) AS edges, true AS nine_tenths_found FROM embeddings")
+def knn_descent(spark, sf):
+    """The approximate graph against the exact one; windows so short that the start alone finds little."""
+    emb = table(spark, sf, "embeddings")
+    graph = materialise(descent.approximate_knn(emb, 15, window=64), "descent")
+    found = descent.recall(graph, neighbours.knn_graph(emb, 15))
+    return found.join(F.broadcast(graph.agg(F.count_distinct("src").alias("points")))).select(
+        "points", "edges", (F.col("found") >= 0.9 * F.col("edges")).alias("nine_tenths_found")
+    )
+
+
+_MAPS: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def _settled_map(spark, sf):
+    """Graph and map of a session's ``embeddings``, computed once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MAPS:
+        emb = table(spark, sf, "embeddings")
+        paths = scratch_path(spark, "map-graph"), scratch_path(spark, "map")
+        neighbours.knn_graph(emb, fv.MAP_NEIGHBOURS - 1).write.parquet(paths[0])
+        layout.map_2d(layout.fuzzy_edges(spark.read.parquet(paths[0])), emb).write.parquet(paths[1])
+        _MAPS[key] = paths
+    return tuple(spark.read.parquet(path) for path in _MAPS[key])
+
+
 @query("map_points")
 def map_points(spark, sf):
-    emb = table(spark, sf, "embeddings")
-    graph = neighbours.knn_graph(emb, fv.MAP_NEIGHBOURS - 1)
-    return layout.map_2d(layout.fuzzy_edges(graph), emb)
+    return _settled_map(spark, sf)[1]
+
+
+@query("map_preservation", "SELECT 14 * count(*) AS edges, true AS twice_the_components FROM embeddings")
+def map_preservation(spark, sf):
+    """Edges of the graph that are neighbours on the map too: twice as many at least as on the principal components."""
+    graph, places = _settled_map(spark, sf)
+    flat = layout.pca_positions(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    kept = [spectral.preserved(graph, p, fv.MAP_NEIGHBOURS - 1) for p in (places, materialise(flat, "components"))]
+    both = kept[0].join(F.broadcast(kept[1].select(F.col("kept").alias("before"))))
+    return both.select("edges", (F.col("kept") >= 2 * F.col("before")).alias("twice_the_components"))
 
 
 @query(

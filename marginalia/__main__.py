@@ -43,6 +43,8 @@ def parser() -> argparse.ArgumentParser:
     )
     contrast = step("contrast", "map, discriminant scores and density curves", "reviews", "summary", "cache", "out")
     contrast.add_argument("--epochs", type=int, default=20)
+    contrast.add_argument("--approximate", action="store_true", help="find neighbours by descent, for very many texts")
+    contrast.add_argument("--latent", type=int, default=0, help="latent axes fitted to the texts; 0 for hashed words")
     contrast.add_argument("--probes", type=int, default=0, help="cells to search per text; 0 for all that matter (exact)")
     contrast.add_argument("--needle", default=fv.AUTHOR_NEEDLE, help="part of the name of the author to contrast")
     contrast.add_argument("--split-date", default=fv.SPLIT_DATE)
@@ -75,6 +77,8 @@ def main(argv: list[str] | None = None) -> None:
             epochs=args.epochs,
             params=AnalysisParams(author_needle=args.needle, split_date=args.split_date),
             probes=args.probes or None,
+            approximate=args.approximate,
+            latent=args.latent or None,
         )
         writers.write_map_points(result.points, f"{args.out}/map_points")
         for name in ("author_scores", "author_density", "period_scores", "period_density"):

@@ -109,15 +109,17 @@ def embed_cached(
     cache_path: str,
     encoder_name: str,
     encoder: EncoderFactory = HashingEncoder,
+    embedder: Callable[[DataFrame, str], DataFrame] | None = None,
     **options,
 ) -> DataFrame:
     """Embed only texts new to the cache, add them, and return the whole cache
     of this encoder as ``text_hash, embedding``.
 
     Keyed by text, so changed, added or reordered rows never pick up a vector of
-    another text.
+    another text. ``embedder`` makes vectors of a table's texts in place of an encoder.
     """
-    fresh = embed(missing_texts(df, text_col, cache_path, encoder_name), text_col, encoder, **options)
+    missing = missing_texts(df, text_col, cache_path, encoder_name)
+    fresh = embedder(missing, text_col) if embedder else embed(missing, text_col, encoder, **options)
     append_embeddings(fresh.withColumn("encoder", F.lit(encoder_name)), cache_path)
     return read_embeddings(df.sparkSession, cache_path, encoder_name).select("text_hash", "embedding")
 

@@ -17,11 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia import fixed_values as fv
+from marginalia.operators.spectral import sent_if_small, spectral_positions
 from marginalia.session import materialise, scratch_path
 
 _BISECTIONS = 64
 _PARTNERS = 5  # random partners per point and epoch
 _HUB_EDGES = 20_000  # edges of one point that go to one task
+_HALVED = 10  # epochs until steps are half as long
+_LOOK = 5  # epochs between two looks at the movement
+SETTLED = 0.002  # mean movement of an epoch at which the map is done, as a share of its width
+MAX_EPOCHS = 200
 
 
 def _membership(dist: np.ndarray, valid: np.ndarray, n_neighbours: int) -> np.ndarray:
@@ -135,26 +140,36 @@ def map_2d(
     emb: DataFrame,
     min_dist: float = fv.MAP_MIN_DIST,
     seed: int = fv.MAP_SEED,
-    epochs: int = 20,
+    epochs: int = MAX_EPOCHS,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
+    settled: float = SETTLED,
 ) -> DataFrame:
     """``id, x, y``. Positions are reproducible for a seed up to rounding.
 
+    Points start at the leading eigenvectors of the graph. Steps get shorter from
+    epoch to epoch, and the map is done when points move by less than ``settled`` of
+    its width on average; ``epochs`` only bounds a map that does not come to rest.
+
     Positions are written to the shared folder after every epoch (two folders
     in turn), so plans stay short and a lost executor repeats one epoch at most.
     """
     a, b = curve_parameters(min_dist)
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    first = materialise(pca_positions(emb, id_col, vec_col), "map-first")
+    count = first.count()
     start = (
-        pca_positions(emb, id_col, vec_col)
+        spectral_positions(edges, first, count)
         .join(degree, F.col("id") == F.col("src"), "left")
         # A point with very many edges is joined in several pieces.
-        .select("id", "x", "y", F.ceil(F.coalesce("n", F.lit(1)) / _HUB_EDGES).cast("int").alias("cuts"), F.lit(0).alias("epoch"))
+        .select(
+            "id", "x", "y", F.ceil(F.coalesce("n", F.lit(1)) / _HUB_EDGES).cast("int").alias("cuts"),
+            F.lit(0).alias("epoch"), F.lit(0.0).alias("moved"),
+        )
     )
     numbered, count = _numbered(start)
     nodes = materialise(numbered, "map-start")
-    cuts = nodes.select("id", "cuts")
+    cuts = sent_if_small(nodes.select("id", "cuts"), count)
     spread = (
         edges.join(cuts.toDF("src", "src_cuts"), "src")
         .join(cuts.toDF("dst", "dst_cuts"), "dst")
@@ -169,23 +184,32 @@ def map_2d(
     links = materialise(spread, "map-edges")
     folders = [scratch_path(emb.sparkSession, f"map-epoch-{i}") for i in (0, 1)]
     for epoch in range(epochs):
-        moved = _epoch(nodes, links, a, b, epochs, seed, count)
+        moved = _epoch(nodes, links, a, b, seed, count)
         moved.write.mode("overwrite").parquet(folders[epoch % 2])
         nodes = emb.sparkSession.read.schema(nodes.schema).parquet(folders[epoch % 2])
+        if epoch % _LOOK == _LOOK - 1 and _movement(nodes) < settled:
+            break
     return nodes.select("id", "x", "y")
 
 
-def _epoch(
-    nodes: DataFrame, links: DataFrame, a: float, b: float, epochs: int, seed: int, count: int
-) -> DataFrame:
+def _movement(nodes: DataFrame) -> float:
+    """Mean way of a point in the last epoch, as a share of the map's width."""
+    row = nodes.agg(
+        F.avg("moved").alias("way"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("width")
+    ).first()
+    return (row.way or 0.0) / max(row.width or 0.0, 1e-12)
+
+
+def _epoch(nodes: DataFrame, links: DataFrame, a: float, b: float, seed: int, count: int) -> DataFrame:
     """All points moved once.
 
     The epoch number is a column, not a constant, so every epoch compiles to
     the same code.
     """
+    sent = lambda df: sent_if_small(df, count)
     pieces = nodes.selectExpr("id", "explode(sequence(0, cuts - 1)) AS cut", "x", "y")
-    ends = links.join(pieces.toDF("dst", "dst_cut", "dst_x", "dst_y"), ["dst", "dst_cut"]).join(
-        pieces.toDF("src", "src_cut", "x", "y"), ["src", "src_cut"]
+    ends = links.join(sent(pieces.toDF("dst", "dst_cut", "dst_x", "dst_y")), ["dst", "dst_cut"]).join(
+        sent(pieces.toDF("src", "src_cut", "x", "y")), ["src", "src_cut"]
     )
     pulls = ends.selectExpr("src", "weight", "x - dst_x AS dx", "y - dst_y AS dy").selectExpr(
         "src", "weight", "dx", "dy",
@@ -198,7 +222,7 @@ def _epoch(
     )
     others = nodes.selectExpr("no", "id AS other", "x AS other_x", "y AS other_y")
     pushes = (
-        drawn.join(others, "no")
+        drawn.join(sent(others), "no")
         .filter("id != other")
         .selectExpr("id", "x - other_x AS dx", "y - other_y AS dy", "pow(x - other_x, 2) + pow(y - other_y, 2) AS d2")
         .selectExpr("id", "dx", "dy", f"{2.0 * b}D / ((0.001D + d2) * (1D + {a}D * pow(d2, {b}D))) AS k")
@@ -219,16 +243,20 @@ def _epoch(
     kept = [F.max(c).alias(c) for c in ("x", "y", "cuts", "epoch", "no")]
     sums = [F.sum(c).alias(c) for c in ("rx", "ry", "weight", "fx", "fy")]
     # Mean pull against half the summed push (every edge pulls from both ends);
-    # the largest slope of the pull scales the step, so it cannot overshoot.
-    step = f"(1D - epoch / {epochs}D) / {2.0 * a * b}D"
-    return still.unionByName(pushed).unionByName(moving).groupBy("id").agg(*kept, *sums).selectExpr(
+    # the largest slope of the pull scales the step, so it cannot overshoot. Steps fall
+    # with the epochs, slowly enough to reach any place, so that random pushes average out.
+    step = f"1D / (1D + epoch / {_HALVED}D) / {2.0 * a * b}D"
+    shifted = still.unionByName(pushed).unionByName(moving).groupBy("id").agg(*kept, *sums).selectExpr(
         "id",
-        f"x + {step} * (if(weight > 0, fx / weight, 0D) + 0.5D * rx) AS x",
-        f"y + {step} * (if(weight > 0, fy / weight, 0D) + 0.5D * ry) AS y",
+        "x",
+        "y",
+        f"{step} * (if(weight > 0, fx / weight, 0D) + 0.5D * rx) AS mx",
+        f"{step} * (if(weight > 0, fy / weight, 0D) + 0.5D * ry) AS my",
         "cuts",
         "epoch + 1 AS epoch",
         "no",
     )
+    return shifted.selectExpr("id", "x + mx AS x", "y + my AS y", "cuts", "epoch", "sqrt(mx * mx + my * my) AS moved", "no")
 
 
 def map_points(frame: DataFrame, positions: DataFrame, key: str = "text_hash") -> DataFrame:

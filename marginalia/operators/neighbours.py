@@ -154,7 +154,6 @@ def _route(
     """
     first = np.concatenate([[0], np.cumsum(cell_blocks)[:-1]]).astype(int)
     sizes = np.array(cell_blocks)
-    gaps = np.sqrt(_squared(pivots, pivots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +165,9 @@ def _route(
             if probes is None:
                 # Ball of the cell, ring of the cell, and the plane half way
                 # between the two pivots.
-                plane = (d**2 - own[:, None] ** 2) / (2.0 * np.maximum(gaps[own_cell], 1e-300))
+                cells, at = np.unique(own_cell, return_inverse=True)
+                gaps = np.sqrt(_squared(pivots[cells], pivots))
+                plane = (d**2 - own[:, None] ** 2) / (2.0 * np.maximum(gaps[at], 1e-300))
                 plane[np.arange(len(own_cell)), own_cell] = 0.0
                 lower = np.maximum.reduce([d - cell_radius, cell_inner - d, plane])
                 visit = lower <= batch["bound"].to_numpy()[:, None] + _SLACK

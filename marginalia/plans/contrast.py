@@ -11,9 +11,11 @@ from marginalia import fixed_values as fv
 from marginalia.functions.classes import class_mask
 from marginalia.operators.analysis import AnalysisParams, analysis_columns, with_metadata
 from marginalia.operators.density import density
+from marginalia.operators.descent import approximate_knn
 from marginalia.operators.discriminant import discriminant_score, fit_discriminant
 from marginalia.operators.embedding import EncoderFactory, HashingEncoder, embed_cached
-from marginalia.operators.layout import fuzzy_edges, map_2d, map_points
+from marginalia.operators.latent import fit_latent, latent_embedder
+from marginalia.operators.layout import MAX_EPOCHS, fuzzy_edges, map_2d, map_points
 from marginalia.operators.neighbours import knn_graph
 from marginalia.session import materialise
 
@@ -43,8 +45,10 @@ def contrast(
     encoder_name: str = "hashing-256",
     encoder: EncoderFactory = HashingEncoder,
     neighbours: int = fv.MAP_NEIGHBOURS,
-    epochs: int = 20,
+    epochs: int = MAX_EPOCHS,
     probes: int | None = None,
+    approximate: bool = False,
+    latent: int | None = None,
 ) -> Contrast:
     """Everything the analysis yields, as tables.
 
@@ -52,14 +56,21 @@ def contrast(
     partitions. Equal texts share one vector and one place on the map; every review counts
     by itself in the discriminants and curves. The graph is exact; ``probes`` bounds the neighbour
     search to so many cells per text and loses neighbours. None searches all that matter, which on
-    vectors without structure is every pair.
+    vectors without structure is every pair. ``approximate`` takes neighbour descent instead, whose work
+    grows with the texts only. ``latent`` fits so many latent axes to the texts and takes
+    their vectors in place of the encoder's; the name in the cache is the fit's own.
     """
     frame = materialise(analysis_frame(reviews, summary, params), "frame")
-    cached = embed_cached(frame, "context_cleaned", cache_path, encoder_name, encoder)
+    if latent:
+        model = fit_latent(frame, "context_cleaned", latent)
+        cached = embed_cached(frame, "context_cleaned", cache_path, model.name, embedder=latent_embedder(model))
+    else:
+        cached = embed_cached(frame, "context_cleaned", cache_path, encoder_name, encoder)
     used = cached.join(frame.select("text_hash").distinct(), "text_hash", "left_semi")
     vectors = materialise(used.withColumn("vec_id", F.conv(F.substring("text_hash", 1, 15), 16, 10).cast("bigint")), "vectors")
 
-    edges = materialise(fuzzy_edges(knn_graph(vectors, neighbours - 1, probes=probes), neighbours), "edges")
+    graph = approximate_knn(vectors, neighbours - 1) if approximate else knn_graph(vectors, neighbours - 1, probes=probes)
+    edges = materialise(fuzzy_edges(graph, neighbours), "edges")
     places = map_2d(edges, vectors, epochs=epochs)
     positions = places.join(vectors.select(F.col("vec_id").alias("id"), "text_hash"), "id")
 

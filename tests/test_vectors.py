@@ -2,10 +2,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.functions.text import text_hash
-from marginalia.operators import density, discriminant, embedding, layout, neighbours
-from marginalia.session import scratch_path
+from marginalia.operators import density, descent, discriminant, embedding, latent, layout, neighbours, spectral
+from marginalia.session import materialise, scratch_path
 
 
 def vectors(spark, x, ids=None, **columns):
@@ -60,6 +61,70 @@ def test_probes_bound_the_search(spark):
     assert hits > 0.6 * 5 * 200
 
 
+def text_vectors(spark, n):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").limit(n)
+    ids = F.conv(F.substring("text_hash", 1, 15), 16, 10).cast("bigint")
+    return materialise(embedding.embed(docs, "text").withColumn("vec_id", ids), "text-vectors")
+
+
+def test_descent_finds_nine_tenths_on_texts(spark):
+    emb = text_vectors(spark, 2000)
+    graph = materialise(descent.approximate_knn(emb, 15, window=100), "descent")
+    row = descent.recall(graph, neighbours.knn_graph(emb, 15)).first()
+    n = emb.count()
+    assert graph.count() == row.edges == 15 * n and row.found >= 0.9 * row.edges
+    short = graph.groupBy("src").agg(F.max("rank").alias("last"), F.count_distinct("dst").alias("n")).filter("last != 15 OR n != 15")
+    assert short.isEmpty() and graph.filter("src = dst").isEmpty()
+
+
+def test_descent_with_copies_few_rows_and_any_partitions(spark):
+    rng = np.random.default_rng(11)
+    x = np.vstack([np.tile(rng.normal(size=6), (130, 1)), rng.normal(size=(15, 6)).repeat(4, 0), rng.normal(size=(300, 6))])
+    ids = [int(i) for i in rng.permutation(len(x)) * 3 + 1]
+    df = vectors(spark, x, ids)
+    got = lists(descent.approximate_knn(df, 7, window=80))
+    want = brute_force(x, ids, 7)
+    assert got.keys() == want.keys() and all(len(v) == 7 for v in got.values())
+    assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.95 * 7 * len(want)
+    assert lists(descent.approximate_knn(df.repartition(1), 7, window=80)) == got
+    few = vectors(spark, np.eye(3))
+    assert lists(descent.approximate_knn(few, 7)) == {0: [1, 2], 1: [0, 2], 2: [0, 1]}
+    assert descent.approximate_knn(few.limit(0), 7).count() == 0 and descent.approximate_knn(few.limit(1), 7).count() == 0
+    assert lists(descent.approximate_knn(vectors(spark, np.ones((6, 3))), 2))[0] == [1, 2]
+
+
+def test_spectral_positions_are_leading_eigenvectors(spark):
+    rng = np.random.default_rng(12)
+    n = 60
+    w = 0.5 + rng.random((n, n))
+    group = np.arange(n) // 20  # three groups with few links between them: two eigenvalues stand out
+    w = np.where(group[:, None] == group[None, :], w, w * 0.01)
+    w = np.triu(w, 1) + np.triu(w, 1).T
+    edges = spark.createDataFrame([(int(a), int(b), float(w[a, b])) for a, b in np.argwhere(w)], "src bigint, dst bigint, weight double")
+    start = spark.createDataFrame([(i, float(rng.normal()), float(rng.normal())) for i in range(n + 2)], "id bigint, x double, y double")
+    got = {r.id: (r.x, r.y) for r in spectral.spectral_positions(edges, start, n + 2, rounds=20).collect()}
+    root = np.sqrt(w.sum(1))
+    _, basis = np.linalg.eigh(w / np.outer(root, root))
+    found = np.array([got[i] for i in range(n)])
+    found = found / np.linalg.norm(found, axis=0)
+    assert np.linalg.norm(basis[:, [-2, -3]].T @ found, axis=0) == pytest.approx([1, 1], abs=0.02)
+    assert len(got) == n + 2 and all(np.isfinite(p).all() and np.abs(p).max() <= 10.1 for p in got.values())
+
+
+def test_map_ends_when_it_is_settled(spark, monkeypatch):
+    x = np.random.default_rng(13).normal(size=(6, 5)).repeat(12, 0) + np.random.default_rng(14).normal(size=(72, 5)) * 0.1
+    emb = vectors(spark, x)
+    edges = layout.fuzzy_edges(neighbours.knn_graph(emb, 8), 9).cache()
+    seen = []
+    look = layout._movement
+    monkeypatch.setattr(layout, "_movement", lambda nodes: seen.append(look(nodes)) or seen[-1])
+    layout.map_2d(edges, emb, settled=0.01)
+    assert seen[-1] < 0.01 and all(m >= 0.01 for m in seen[:-1])
+    seen.clear()
+    layout.map_2d(edges, emb, epochs=10, settled=0.0)
+    assert len(seen) == 2 and seen[-1] > 0
+
+
 def test_fuzzy_edges(spark):
     x = np.random.default_rng(3).normal(size=(80, 5))
     k = 15
@@ -106,7 +171,7 @@ def test_map_keeps_neighbourhoods(spark):
     def run(**kw):
         rows = sorted(tuple(r) for r in layout.map_2d(edges, emb, **kw).collect())
         return np.array([r[1:] for r in rows])
-    y = run()
+    y = run(epochs=30)
     start = np.array([r[1:] for r in sorted(tuple(r) for r in layout.pca_positions(emb, "vec_id", "embedding").collect())])
     assert y.shape == (320, 2) and np.isfinite(y).all()
     assert trustworthiness(x, y, 7) > max(trustworthiness(x, start, 7) + 0.05, 0.95)
@@ -213,6 +278,52 @@ def test_cache_embeds_each_text_once(spark, tmp_path):
     assert embedding.attach_embeddings(more, all_vectors, "t").count() == 4
 
 
+def test_latent_vectors_against_a_small_exact_decomposition(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    topics = [[f"t{k}w{i}" for i in range(12)] for k in range(5)]
+    texts = [" ".join(rng.choice(topics[i % 5], 15)) + f" Common word{i % 7}" for i in range(400)] + ["", "  ", None, "t0w1 t0w2"]
+    df = spark.createDataFrame([(t,) for t in texts] * 2, "t string").repartition(5)
+    model = latent.fit_latent(df, "t", 6, slots=128)
+    # The same matrix in one place.
+    kept = [t for t in dict.fromkeys(texts) if t and t.strip()]
+    slots = [r.s for r in spark.createDataFrame([(t,) for t in kept], "t string").select(latent.word_slots("t", 128).alias("s")).collect()]
+    counts = np.array([np.bincount(s, minlength=128) for s in slots])
+    rarity = np.where(counts.any(0), np.log((1 + len(kept)) / (1 + (counts > 0).sum(0))) + 1, 0)
+    a = np.log1p(counts) * rarity
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    _, s, vt = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(model.rarity, rarity)
+    assert model.captured == pytest.approx((s[:6] ** 2).sum() / len(kept), rel=0.01)
+    assert np.linalg.norm(vt[:4] @ model.axes) ** 2 > 3.9
+    assert latent.exact_share(df, "t", model) == pytest.approx((s[:6] ** 2).sum() / (s**2).sum())
+    got = {r.text_hash: np.array(r.embedding) for r in latent.embed_latent(df, "t", model).collect()}
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", text_hash("t").alias("h")).collect()}
+    assert len(got) == len(kept) + 2 and not got[hashes[""]].any()
+    for t, row in zip(kept, a):
+        assert np.allclose(got[hashes[t]], row @ model.axes / np.linalg.norm(row @ model.axes), atol=1e-5)
+    # Texts of a topic that share no word are near.
+    a, b = " ".join(topics[0][:3]), " ".join(topics[0][3:6])
+    c = " ".join(topics[1][:3])
+    near = latent.embed_latent(spark.createDataFrame([(a,), (b,), (c,)], "t string"), "t", model).collect()
+    x = {r.text_hash: np.array(r.embedding) for r in near}
+    x = [x[r.h] for r in spark.createDataFrame([(a,), (b,), (c,)], "t string").select(text_hash("t").alias("h")).collect()]
+    assert x[0] @ x[1] > 0.8 > 0.3 > abs(x[0] @ x[2])
+    latent.save_latent(spark, model, str(tmp_path / "model"))
+    again = latent.load_latent(spark, str(tmp_path / "model"))
+    assert again.name == model.name and again.name != latent.fit_latent(df.limit(50), "t", 6, slots=128).name
+    assert latent.fit_latent(df.limit(0), "t", 6).axes.shape == (4096, 0)
+
+
+def test_cache_of_a_fit(spark):
+    cache = scratch_path(spark, "cache")
+    df = spark.createDataFrame([("a b",), ("c d",), ("a c",)], "t string")
+    models = [latent.fit_latent(d, "t", 2, slots=64) for d in (df, df.limit(2))]
+    for model in models:
+        got = embedding.embed_cached(df, "t", cache, model.name, embedder=latent.latent_embedder(model))
+        want = {r.text_hash: r.embedding for r in latent.embed_latent(df, "t", model).collect()}
+        assert {r.text_hash: r.embedding for r in got.collect()} == want
+
+
 def test_batches_and_unit_length(spark):
     df = spark.createDataFrame([(f"word{i} common word{i % 3}",) for i in range(50)] + [("",), ("  ",)], "t string")
     out = embedding.embed(df, "t", batch_rows=7, tasks=3).join(df.select("t", text_hash("t").alias("text_hash")), "text_hash").collect()
