@@ -26,6 +26,8 @@ from marginalia.operators import (
     reviews,
     spectral,
 )
+from marginalia.plans import corpus as corpus_plans
+from marginalia.plans import extraction
 from marginalia.session import materialise, scratch_path
 from marginalia.sources import readers, writers
 from marginalia.streaming import jobs
@@ -563,6 +565,68 @@ def repair_counts(spark, sf):
     return names.repair_counts(fx.name_rows(spark, sf))
 
 
+# --- the steps end to end, through their files ---
+
+@query(
+    "plan_discover",
+    f"""WITH {fx.LIST_PAGES_SQL}
+    SELECT DISTINCT '{fx.SITE}/book/show/' || floor(o_totalprice / 100)::BIGINT AS url FROM list_pages""",
+)
+def plan_discover(spark, sf):
+    path = scratch_path(spark, "discovered")
+    corpus_plans.discover(fx.list_pages(spark, sf), path)
+    return readers.read_url_list(spark, path)
+
+
+@query("plan_deduplicate", f"WITH {fx.ATTEMPTS_SQL} SELECT canonical_url AS url FROM works")
+def plan_deduplicate(spark, sf):
+    path = scratch_path(spark, "unique")
+    corpus_plans.deduplicate(fx.attempt_log(spark, sf), fx.fallback_log(spark, sf), path)
+    return readers.read_url_list(spark, path)
+
+
+@query(
+    "plan_verify",
+    f"""WITH {fx.CARDS_SQL}, {MATCH_SQL}
+    SELECT replace(url, '/reviews', '') AS url, status, CASE WHEN status = 'FAILURE' THEN 'MissingPage' END AS error_type FROM match""",
+)
+def plan_verify(spark, sf):
+    """Two batches from one list into one ledger; the second takes what the first has left."""
+    listed, ledger = scratch_path(spark, "to-verify"), scratch_path(spark, "verified")
+    pages = materialise(checked_pages(spark, sf).drop("error_type"), "pages")
+    writers.write_sorted_lines(pages.select(urls.book_url("url").alias("url")), "url", listed)
+    for n in (25, 10**9):
+        corpus_plans.verify_batch(spark, listed, pages, ledger, n, keyword=WITH)
+    return readers.read_ledger(spark, ledger).select("url", "status", "error_type")
+
+
+@query(
+    "plan_extract",
+    f"""WITH {fx.CARDS_SQL}, {KEPT_SQL}, {fx.BOOKS_SQL}
+    SELECT b.book_name, b.author, b.avg_rating, b.total_reviews, count(*)::VARCHAR AS keyword_review_count, b.release_date,
+           nullif(b.genres, '') AS genres
+    FROM books b JOIN accepted a ON a.url = b.url || '/reviews' GROUP BY ALL""",
+)
+def plan_extract(spark, sf):
+    """Listed books and one table of all pages to the two CSV tables; the summary, read again."""
+    books = fx.book_pages(spark, sf)
+    pages = fx.review_pages(spark, sf).select("page_id", "url", "html").unionByName(books)
+    found, summary = scratch_path(spark, "reviews-csv"), scratch_path(spark, "summary-csv")
+    extraction.extract_to_csv(books.select("url"), pages, found, summary, keyword=WITH)
+    read = readers.read_summary_csv(spark, summary)
+    return read.withColumn("keyword_review_count", F.col("keyword_review_count").cast("string"))
+
+
+@query("plan_repair", f"WITH {fx.NAMES_SQL} SELECT fixed AS book_name, p_partkey::VARCHAR AS context FROM names")
+def plan_repair(spark, sf):
+    path, out = scratch_path(spark, "broken-csv"), scratch_path(spark, "repaired-csv")
+    key = F.col("p_partkey").cast("string").alias("context")
+    rows = fx.name_rows(spark, sf).select("book_name", F.lit("5").alias("stars"), F.lit("May 1, 2020").alias("date"), key)
+    writers.write_csv(rows, path)
+    extraction.repair_csv(spark, path, out, "reviews")
+    return readers.read_reviews_csv(spark, out).select("book_name", "context")
+
+
 # --- analysis ---
 
 def analysis_input(spark, sf):
@@ -933,7 +997,7 @@ def stream_counts(spark, sf):
     path = scratch_path(spark, "stream-counts")
     counts = jobs.running_counts(reviews.match_status(streamed_pages(spark, sf), WITH))
     finish(jobs.counts_to_parquet(counts, path, scratch_path(spark, "stream-cp")))
-    return spark.read.parquet(path)
+    return jobs.latest_counts(spark, path)
 
 
 @query(

@@ -23,18 +23,25 @@ class Discriminant:
     centre: np.ndarray
 
 
-def _moments(rows: DataFrame) -> dict[bool, np.ndarray]:
-    """Per class the Gram matrix of the vectors with a one appended.
+def _middle(rows: DataFrame) -> np.ndarray:
+    """The mean of all vectors, by one sum per task."""
+    mean = rows.select(array_to_vector(F.col("vec")).alias("v")).agg(Summarizer.mean(F.col("v")).alias("m")).first().m
+    return np.zeros(0) if mean is None else mean.toArray()
+
+
+def _moments(rows: DataFrame, middle: np.ndarray) -> dict[bool, np.ndarray]:
+    """Per class the Gram matrix of the vectors, seen from ``middle``, with a one appended.
 
     Each task adds up its own matrices; Spark sums them row by row. The driver
-    gets two matrices, whatever the number of rows.
+    gets two matrices, whatever the number of rows. Products of vectors far from
+    zero would lose the digits that tell them apart; from the middle they are small.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[bool, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = as_matrix(batch["vec"])
+            x = as_matrix(batch["vec"]) - middle
             x = np.hstack([x, np.ones((len(x), 1))])
             mask = batch["mask"].to_numpy(zero_copy_only=False).astype(bool)
             for cls in (False, True):
@@ -72,9 +79,9 @@ def fit_discriminant(emb: DataFrame, mask_col: str, vec_col: str = "embedding")
     Scaled so that the pooled within-class variance of the score is one. A
     singular covariance is handled by its pseudo-inverse.
     """
-    grams = _moments(
-        emb.select(F.col(mask_col).cast("boolean").alias("mask"), F.col(vec_col).alias("vec")).dropna()
-    )
+    rows = emb.select(F.col(mask_col).cast("boolean").alias("mask"), F.col(vec_col).alias("vec")).dropna()
+    middle = _middle(rows)
+    grams = _moments(rows, middle)
     if len(grams) < 2:
         raise ValueError("a discriminant needs rows in both classes")
     n = {c: g[-1, -1] for c, g in grams.items()}
@@ -89,7 +96,7 @@ def fit_discriminant(emb: DataFrame, mask_col: str, vec_col: str = "embedding")
     variance = float(w @ within @ w)
     if variance > 0:
         w = w / np.sqrt(variance)
-    centre = (n[True] * mean[True] + n[False] * mean[False]) / total
+    centre = middle + (n[True] * mean[True] + n[False] * mean[False]) / total
     return Discriminant(weights=w, centre=centre)
 
 
@@ -102,13 +109,12 @@ def discriminant_score(
 ) -> DataFrame:
     """``id, score`` by one narrow pass; only id and vector leave the JVM."""
     rows = emb.select(id_col, vec_col)
-    shift = float(model.centre @ model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            score = as_matrix(batch[vec_col]) @ model.weights - shift
+            score = (as_matrix(batch[vec_col]) - model.centre) @ model.weights
             yield pa.RecordBatch.from_arrays([batch[id_col], pa.array(score)], names=[id_col, name])
 
     id_type = rows.schema[id_col].dataType.simpleString()

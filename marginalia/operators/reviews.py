@@ -154,7 +154,7 @@ def match_status(pages: DataFrame, keyword: str = fv.KEYWORD) -> DataFrame:
     with a review that holds the keyword matches; any other does not.
     """
     error = F.col("error_type") if "error_type" in pages.columns else F.lit(None).cast("string")
-    bodies = F.transform(markup.card_htmls("html"), markup.review_body)
+    bodies = F.transform(markup.card_htmls("html"), lambda card: markup.review_body(card))
     found = F.exists(bodies, lambda b: keyword_paragraph(b, keyword).isNotNull())
     failed = error.isNotNull() | F.col("html").isNull()
     return pages.select(

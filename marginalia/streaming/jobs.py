@@ -99,10 +99,21 @@ def to_parquet(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+KEPT_VERSIONS = 3  # tables of running counts that readers may still be using
+
+
 def counts_to_parquet(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest complete table of running counts at ``path``."""
+    """Keep complete tables of running counts, a folder per micro-batch: ``version=<number>`` below ``path``.
+
+    A folder that a reader may be using is never written to: a version counts from its
+    commit mark on, which Spark writes last, and the last few stay. A batch that is
+    run again after a failure replaces its own folder.
+    """
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
+        for old in _versions(batch.sparkSession, path)[:-KEPT_VERSIONS]:
+            folder, system = _path(batch.sparkSession, f"{path}/version={old}")
+            system.delete(folder, True)
 
     return (
         counts.writeStream.outputMode("complete")
@@ -111,3 +122,23 @@ def counts_to_parquet(counts: DataFrame, path: str, checkpoint: str) -> Streamin
         .trigger(availableNow=True)
         .start()
     )
+
+
+def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The last committed table of running counts; a reader keeps its version while later ones are written."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no committed counts below {path}")
+    return spark.read.parquet(f"{path}/version={versions[-1]}")
+
+
+def _path(spark: SparkSession, name: str):
+    """A path and its file system, local or not."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the committed versions, in order."""
+    marks, system = _path(spark, f"{path}/version=*/_SUCCESS")
+    return sorted(int(found.getPath().getParent().getName().split("=")[1]) for found in system.globStatus(marks) or [])

@@ -63,7 +63,32 @@ def test_counts(spark, folder):
     counts = jobs.running_counts(reviews.match_status(jobs.page_stream(spark, folder, max_files=1), "key"))
     finish(jobs.counts_to_parquet(counts, out, scratch_path(spark, "cp")))
     batch = corpus.status_counts(reviews.match_status(readers.read_pages(spark, folder), "key"))
-    assert rows(spark.read.parquet(out)) == rows(batch)
+    assert rows(jobs.latest_counts(spark, out)) == rows(batch)
+
+
+def test_readers_of_counts_see_one_version(spark):
+    """A table read before a batch stays as it was; a batch cut off before its commit does not count."""
+    path, out, checkpoint = scratch_path(spark, "arrivals"), scratch_path(spark, "counts"), scratch_path(spark, "cp")
+
+    def arrive(number):
+        write_pages(spark, path, [(f"u{number}", card(number, "key"))])
+        finish(jobs.counts_to_parquet(jobs.running_counts(reviews.match_status(jobs.page_stream(spark, path), "key")), out, checkpoint))
+
+    with pytest.raises(FileNotFoundError):
+        jobs.latest_counts(spark, out)
+    arrive(0)
+    first = jobs.latest_counts(spark, out)
+    arrive(1)
+    assert [r.n for r in first.collect()] == [1] and [r.n for r in jobs.latest_counts(spark, out).collect()] == [2]
+    # Written in part: no commit mark.
+    spark.createDataFrame([("VALID_MATCH", 99)], "status string, n long").write.option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false"
+    ).parquet(f"{out}/version=77")
+    assert [r.n for r in jobs.latest_counts(spark, out).collect()] == [2]
+    for number in (2, 3, 4):
+        arrive(number)
+    assert [r.n for r in jobs.latest_counts(spark, out).collect()] == [5]
+    assert len(jobs._versions(spark, out)) == jobs.KEPT_VERSIONS
 
 
 def test_keep_first_over_batches(spark):

@@ -215,6 +215,21 @@ def test_discriminant_full_dimension(spark):
     assert abs(pooled - 1) < 1e-9 and score[m].mean() > score[~m].mean() and abs(score.mean()) < 1e-9
 
 
+def test_discriminant_far_from_zero(spark):
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(200, 8)) @ rng.normal(size=(8, 8))
+    mask = [bool(i % 4 == 0) for i in range(200)]
+    x[mask] += 0.5
+
+    def scores(offset):
+        rows = [(i, [float(v) + offset for v in r], m) for i, (r, m) in enumerate(zip(x, mask))]
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, mask boolean")
+        model = discriminant.fit_discriminant(df, "mask")
+        return np.array([s for _, s in sorted(tuple(r) for r in discriminant.discriminant_score(df, model).collect())])
+
+    assert np.allclose(scores(1e6), scores(0.0), atol=1e-5)
+
+
 def test_discriminant_edge_cases(spark):
     x = np.random.default_rng(7).normal(size=(40, 3))
     mask = [bool(i % 2) for i in range(40)]
