@@ -595,7 +595,7 @@ def plan_verify(spark, sf):
     listed, ledger = scratch_path(spark, "to-verify"), scratch_path(spark, "verified")
     pages = materialise(checked_pages(spark, sf).drop("error_type"), "pages")
     writers.write_sorted_lines(pages.select(urls.book_url("url").alias("url")), "url", listed)
-    for n in (25, 10**9):
+    for n in (25, 100_000):
         corpus_plans.verify_batch(spark, listed, pages, ledger, n, keyword=WITH)
     return readers.read_ledger(spark, ledger).select("url", "status", "error_type")
 
