@@ -23,7 +23,7 @@ from marginalia.session import materialise, scratch_path
 _BISECTIONS = 64
 _PARTNERS = 5  # random partners per point and epoch
 _HUB_EDGES = 20_000  # edges of one point that go to one task
-_HALVED = 10  # epochs until steps are half as long
+_HALVED = 5  # epochs until steps are half as long
 _LOOK = 5  # epochs between two looks at the movement
 SETTLED = 0.002  # mean movement of an epoch at which the map is done, as a share of its width
 MAX_EPOCHS = 200
