@@ -24,7 +24,7 @@ from marginalia.session import materialise
 
 PLANES = 48  # signs of an order
 WINDOW = 1024  # vectors that are compared at the start
-ORDERS = 4  # rounds of the start
+ORDERS = 8  # rounds of the start
 SPARE = 15  # entries of a list beyond those asked for
 UPDATE_RATE = 0.002  # of all edges; below it, the rounds end
 _EDGES = "src bigint, dst bigint, dist double"

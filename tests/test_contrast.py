@@ -41,7 +41,23 @@ def test_contrast(spark):
     assert spark.read.parquet(path).columns == ["x", "y", "author_class", "book_name", "author", "stars", "period", "context_short"]
 
 
+def test_contrast_with_latent_vectors_and_descent(spark):
+    rng = random.Random(10)
+    topics = "dread law court maze night door".split(), "sun sea light hope bird song".split()
+    rows = [(f"Book {i % 8}", "4", f"May {1 + i % 28}, {2018 + i % 6}", " ".join(rng.choice(topics[i % 2]) for _ in range(9))) for i in range(60)]
+    r = spark.createDataFrame(rows, "book_name string, stars string, date string, context string")
+    books = [(f"Book {i}", "Kafka" if i % 2 else "X", i) for i in range(8)]
+    s = spark.createDataFrame(books, "book_name string, author string, ordinal int")
+    cache = scratch_path(spark, "cache")
+    out = contrast(r, s, cache, epochs=1, approximate=True, latent=4)
+    assert out.points.count() == 60
+    mean = {x.author_class: x.m for x in out.author_scores.groupBy("author_class").agg({"score": "avg"}).toDF("author_class", "m").collect()}
+    assert mean["Franz Kafka"] > mean["Other"] + 1
+    assert [x.encoder[:9] for x in spark.read.parquet(cache).select("encoder").distinct().collect()] == ["latent-4-"]
+
+
 def test_the_graph_is_exact_unless_asked_otherwise():
     args = parser().parse_args("contrast --reviews r --summary s --cache c --out o".split())
-    assert (args.probes or None) is None
-    assert inspect.signature(contrast).parameters["probes"].default is None
+    assert (args.probes or None) is None and not args.approximate and not args.latent
+    defaults = inspect.signature(contrast).parameters
+    assert defaults["probes"].default is None and not defaults["approximate"].default and not defaults["latent"].default
