@@ -942,9 +942,10 @@ def density_curves(spark, sf):
 # --- streams ---
 
 def stream_of(spark, sf, name):
-    """A given table as a file stream."""
+    """A given table, one file or a folder of them, as a file stream."""
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # A path by pattern: a plain one to a file is no stream, and a filter on file names leaves a folder's files out.
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
     return rows.repartition(spark.sparkContext.defaultParallelism, fx.WIDE[name]) if name in fx.WIDE else rows
 
 

@@ -1,8 +1,11 @@
 """Streams give what the batch operators give."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+from checks import registry
 from marginalia.operators import corpus, reviews
 from marginalia.session import scratch_path
 from marginalia.sources import readers, writers
@@ -110,3 +113,30 @@ def test_batch_append_next_to_stream(spark, folder):
         spark.createDataFrame([("z", "FAILURE", "Timeout")], "url string, status string, error_type string"), ledger
     )
     assert readers.read_ledger(spark, ledger).count() == 5
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_table_in_one_file_or_a_folder(spark, files):
+    """The given tables come in both forms; a stream over a folder read none of its files."""
+    sf = scratch_path(spark, "tables")
+    given_tables(spark, sf, files)
+    got = registry.stream_context(spark, sf)
+    assert sorted(r.review_id for r in got.collect()) == [f"/review/show/{n}" for n in (0, 2, 3, 4, 5)]
+    assert {r.url: r.status for r in registry.stream_status(spark, sf).collect()}[f"{registry.fx.SITE}/doc/1"] == "NO_MATCH"
+
+
+def given_tables(spark, sf, files):
+    """Six documents, all but one with the keyword, and their orders; ``files`` files in a folder, or one file itself."""
+    docs = spark.range(6).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") == 1, "nothing").otherwise("found with it").alias("text"), F.lit("en").alias("lang")
+    )
+    orders = spark.range(6).select(
+        F.col("id").alias("o_orderkey"), F.lit("O").alias("o_orderstatus"), F.lit("1-URGENT").alias("o_orderpriority"),
+        F.to_date(F.lit("1997-05-01")).alias("o_orderdate"),
+    )
+    for df, name in ((docs, "documents"), (orders, "orders")):
+        if files == 1:
+            Path(sf).mkdir(exist_ok=True)
+            df.toPandas().to_parquet(f"{sf}/{name}.parquet")
+        else:
+            df.repartition(files).write.parquet(f"{sf}/{name}.parquet")
