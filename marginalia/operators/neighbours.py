@@ -3,9 +3,10 @@
 Exact by default. Vectors are assigned to the nearest of a few pivots; cells are
 cut into blocks of bounded size. A first pass inside each block bounds the
 distance to the k-th neighbour; the triangle inequality then tells which other
-blocks can still hold a nearer one, and a vector is sent to those only. With
-``probes`` it is sent to the nearest cells instead, which bounds the work and
-makes the graph approximate.
+blocks can still hold a nearer one, and a vector is compared with those only. Blocks
+stand on a few shelves of bounded size, and a vector travels once to a shelf, with a
+mark for each of its blocks to look into. With ``probes`` it looks into the nearest
+cells instead, which bounds the work and makes the graph approximate.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from marginalia.session import materialise
 # Pivots grow with the square root of the vectors beyond this many.
 FEW_PIVOTS = 1024
 MAX_VISIT_TASKS = 20_000
+SHELVES = 8  # while they are below the size that follows; beyond, there are more
+SHELF_BYTES = 128 << 20  # of vectors that a task holds
 _SLACK = 1e-6  # rounding allowance of the pruning bounds
 
 
@@ -139,129 +142,194 @@ def _block_arrays(parts: list[pa.RecordBatch]):
     return ids, np.concatenate([as_matrix(p["vec"]) for p in parts])
 
 
+def _near_order(pivots: np.ndarray) -> np.ndarray:
+    """Pivots in an order that keeps near ones together: halved again and again across the widest dimension."""
+    def halved(at: np.ndarray) -> Iterator[np.ndarray]:
+        if len(at) < 2:
+            yield at
+            return
+        part = pivots[at]
+        by = at[np.argsort(part[:, (part.max(0) - part.min(0)).argmax()], kind="stable")]
+        yield from halved(by[: len(by) // 2])
+        yield from halved(by[len(by) // 2 :])
+
+    return np.concatenate([*halved(np.arange(len(pivots)))])
+
+
+def _shelved(pivots: np.ndarray, cell_blocks: list[int], cell_rows: list[int], shelf_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shelf of each block, and its slot there; near cells share a shelf of about ``shelf_rows``."""
+    blocks = np.array(cell_blocks)
+    first = np.concatenate([[0], np.cumsum(blocks)[:-1]]).astype(int)
+    shelf, slot = np.zeros(blocks.sum(), int), np.zeros(blocks.sum(), int)
+    at, filled, placed = 0, 0.0, 0
+    for cell in _near_order(pivots):
+        for block in range(first[cell], first[cell] + blocks[cell]):
+            rows = cell_rows[cell] / blocks[cell]
+            if placed and filled + rows > shelf_rows:
+                at, filled, placed = at + 1, 0.0, 0
+            shelf[block], slot[block] = at, placed
+            filled, placed = filled + rows, placed + 1
+    return shelf, slot
+
+
 def _route(
     points: DataFrame,
     pivots: np.ndarray,
     cell_blocks: list[int],
     cell_radius: np.ndarray,
     cell_inner: np.ndarray,
+    shelf: np.ndarray,
+    slot: np.ndarray,
     probes: int | None,
 ) -> DataFrame:
-    """Where each vector still has to look: ``block, rep, vec, bound``.
+    """Where each vector still has to look: ``shelf, rep, vec, bound, marks``, a bit per slot of the shelf.
 
     ``points`` carries ``bound``, the distance to its k-th neighbour so far
     (infinite if it has fewer).
     """
-    first = np.concatenate([[0], np.cumsum(cell_blocks)[:-1]]).astype(int)
     sizes = np.array(cell_blocks)
+    shelves, width = int(shelf.max()) + 1, int(slot.max()) // 8 + 1
+    place = shelf * (8 * width) + slot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            own_cell, own_block = batch["cell"].to_numpy(), batch["block"].to_numpy()
-            d = np.sqrt(_squared(as_matrix(batch["vec"]), pivots))
-            own = d[np.arange(len(own_cell)), own_cell]
-            if probes is None:
-                # Ball of the cell, ring of the cell, and the plane half way
-                # between the two pivots.
-                cells, at = np.unique(own_cell, return_inverse=True)
-                gaps = np.sqrt(_squared(pivots[cells], pivots))
-                plane = (d**2 - own[:, None] ** 2) / (2.0 * np.maximum(gaps[at], 1e-300))
-                plane[np.arange(len(own_cell)), own_cell] = 0.0
-                lower = np.maximum.reduce([d - cell_radius, cell_inner - d, plane])
-                visit = lower <= batch["bound"].to_numpy()[:, None] + _SLACK
-            else:
-                order = np.argsort(d, axis=1)[:, :probes]
-                visit = np.zeros(d.shape, dtype=bool)
-                np.put_along_axis(visit, order, True, axis=1)
-            visit &= sizes > 0
-            rows, cells = np.nonzero(visit)
-            n = sizes[cells]
-            rows, block = np.repeat(rows, n), np.repeat(first[cells], n)
-            block = block + (np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n))
-            other = block != own_block[rows]
-            rows, block = rows[other], block[other]
-            for at in range(0, len(rows), 8192):
-                take = pa.array(rows[at : at + 8192])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                own_cell, own_block = batch["cell"].to_numpy(), batch["block"].to_numpy()
+                d = np.sqrt(_squared(as_matrix(batch["vec"]), pivots))
+                every = np.arange(len(own_cell))
+                own = d[every, own_cell]
+                if probes is None:
+                    # Ball of the cell, ring of the cell, and the plane half way
+                    # between the two pivots.
+                    cells, cell_at = np.unique(own_cell, return_inverse=True)
+                    gaps = np.sqrt(_squared(pivots[cells], pivots))
+                    plane = (d**2 - own[:, None] ** 2) / (2.0 * np.maximum(gaps[cell_at], 1e-300))
+                    plane[every, own_cell] = 0.0
+                    lower = np.maximum.reduce([d - cell_radius, cell_inner - d, plane])
+                    visit = lower <= batch["bound"].to_numpy()[:, None] + _SLACK
+                else:
+                    order = np.argsort(d, axis=1)[:, :probes]
+                    visit = np.zeros(d.shape, dtype=bool)
+                    np.put_along_axis(visit, order, True, axis=1)
+                blocks = np.repeat(visit, sizes, axis=1)
+                blocks[every, own_block] = False
+                marks = np.zeros((len(every), shelves * 8 * width), dtype=bool)
+                marks[:, place] = blocks
+                packed = np.packbits(marks.reshape(len(every), shelves, 8 * width), axis=2)
+                rows, to = np.nonzero(packed.any(axis=2))
+                take = pa.array(rows)
+                ends = np.arange(len(rows) + 1, dtype=np.int32) * width
+                bits = pa.Array.from_buffers(
+                    pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(packed[rows, to].tobytes())]
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(block[at : at + 8192].astype(np.int32)),
-                        batch["rep"].take(take),
-                        batch["vec"].take(take),
-                        batch["bound"].take(take),
-                    ],
-                    names=["block", "rep", "vec", "bound"],
+                    [pa.array(to.astype(np.int32)), batch["rep"].take(take), batch["vec"].take(take), batch["bound"].take(take), bits],
+                    names=["shelf", "rep", "vec", "bound", "marks"],
                 )
 
     return points.select("cell", "block", "rep", "vec", "bound").mapInArrow(
-        run, "block int, rep bigint, vec array<float>, bound double"
+        run, "shelf int, rep bigint, vec array<float>, bound double, marks binary"
     )
 
 
-def _visit_pass(points: DataFrame, visits: DataFrame, k: int, chunk_rows: int, tasks: int) -> DataFrame:
-    """Neighbours in the visited blocks: ``src, dst, dist``.
+def _on_shelf(guests: np.ndarray, bound: np.ndarray, wanted: np.ndarray, matrix: np.ndarray, ids: np.ndarray, slots: np.ndarray, k: int):
+    """The ``k`` nearest rows of each guest in the slots it wants, as ``(guest index, id, distance)`` arrays.
 
-    Each block's vectors come first, then the visitors stream past them, so a
-    task holds one block and one batch. The visitors of a block are cut into
-    chunks of about ``chunk_rows``, and the block is sent to each; a block that
+    What is found in one slot narrows the search in the next.
+    """
+    best, who = np.full((len(guests), k), np.inf), np.full((len(guests), k), np.iinfo(np.int64).max)
+    bound = bound.copy()
+    cuts = np.flatnonzero(np.diff(slots, prepend=-1, append=-1))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        rows = np.flatnonzero(wanted[:, slots[lo]])
+        if not len(rows):
+            continue
+        base = matrix[lo:hi]
+        d = _squared(guests[rows], base)
+        # Room for what the product form loses, far more than its rounding.
+        most = (bound[rows] + _SLACK) ** 2 + 1e-9 * ((guests[rows] ** 2).sum(1) + (base**2).sum(1).max())
+        hit = d.min(axis=1) <= most
+        rows, d = rows[hit], d[hit]
+        if not len(rows):
+            continue
+        few = min(k, hi - lo)
+        near = np.argpartition(d, few - 1, axis=1)[:, :few] if few < hi - lo else np.tile(np.arange(few), (len(rows), 1))
+        exact = np.sqrt(((guests[rows][:, None, :] - base[near]) ** 2).sum(2))
+        dist, dst = np.concatenate([best[rows], exact], axis=1), np.concatenate([who[rows], ids[lo:hi][near]], axis=1)
+        by = np.lexsort((dst, dist), axis=1)[:, :k]
+        best[rows], who[rows] = np.take_along_axis(dist, by, axis=1), np.take_along_axis(dst, by, axis=1)
+        bound[rows] = np.minimum(bound[rows], best[rows, -1])
+    at, column = np.nonzero(best <= bound[:, None] + _SLACK)
+    found = np.isfinite(best[at, column])
+    at, column = at[found], column[found]
+    return at, who[at, column], best[at, column]
+
+
+def _visit_pass(points: DataFrame, visits: DataFrame, shelf: np.ndarray, slot: np.ndarray, k: int, chunk_rows: int, tasks: int) -> DataFrame:
+    """Neighbours on the visited shelves: ``src, dst, dist``.
+
+    Each shelf's vectors come first, then the visitors stream past them, so a
+    task holds one shelf and one batch. The visitors of a shelf are cut into
+    chunks of about ``chunk_rows``, and the shelf is sent to each; a shelf that
     nobody visits is not sent at all.
     """
     visits = materialise(visits, "knn-visits")
     chunked = materialise(
-        visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks")), "knn-chunks"
+        visits.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks")), "knn-chunks"
     )
     total = chunked.agg(F.sum("chunks")).first()[0] or 0
     tasks = max(tasks, min(total, MAX_VISIT_TASKS))
-    base = points.join(chunked, "block").select(
-        "block",
+    visitor = int(slot.max()) + 1  # a slot after all of the shelf
+    of_block = lambda numbers: F.element_at(F.array(*[F.lit(int(n)) for n in numbers]), F.col("block") + 1)
+    base = points.withColumns({"shelf": of_block(shelf), "slot": of_block(slot)}).join(F.broadcast(chunked), "shelf").select(
+        "shelf",
         F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-        F.lit(0).alias("visitor"),
+        "slot",
         "rep",
         "vec",
         F.lit(None).cast("double").alias("bound"),
+        F.lit(None).cast("binary").alias("marks"),
     )
-    guests = visits.join(chunked, "block").select(
-        "block",
+    guests = visits.join(F.broadcast(chunked), "shelf").select(
+        "shelf",
         F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"),
-        F.lit(1).alias("visitor"),
+        F.lit(visitor).alias("slot"),
         "rep",
         "vec",
         "bound",
+        "marks",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, parts, matrix = None, [], [], None
+        key, held, matrix = None, [], None
         for batch in batches:
-            marks = np.stack(
-                [batch[c].to_numpy() for c in ("block", "chunk", "visitor")], axis=1
-            )
+            marks = np.stack([batch["shelf"].to_numpy(), batch["chunk"].to_numpy(), batch["slot"].to_numpy() == visitor], axis=1)
             cuts = np.flatnonzero((np.diff(marks, axis=0) != 0).any(axis=1)) + 1
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(marks)]):
                 if hi <= lo:
                     continue
-                block, chunk, visitor = marks[lo]
                 part = batch.slice(lo, hi - lo)
-                if (block, chunk) != key:
-                    key, ids, parts, matrix = (block, chunk), [], [], None
-                if not visitor:
-                    ids.append(part["rep"].to_numpy())
-                    parts.append(as_matrix(part["vec"]))
+                if tuple(marks[lo, :2]) != key:
+                    key, held, matrix = tuple(marks[lo, :2]), [], None
+                if not marks[lo, 2]:
+                    held.append((part["rep"].to_numpy(), part["slot"].to_numpy(), as_matrix(part["vec"])))
                     continue
                 if matrix is None:
-                    matrix, base_ids = np.concatenate(parts), np.concatenate(ids)
-                guests_m, guest_ids = as_matrix(part["vec"]), part["rep"].to_numpy()
-                bound = part["bound"].to_numpy()
+                    base_ids, slots, matrix = (np.concatenate(x) for x in zip(*held))
+                    held = []
+                guests_m, guest_ids, bound = as_matrix(part["vec"]), part["rep"].to_numpy(), part["bound"].to_numpy()
+                bits = np.frombuffer(b"".join(part["marks"].to_pylist()), np.uint8).reshape(len(guest_ids), -1)
                 for at in range(0, len(guest_ids), 1024):
-                    rows, dst, dist = _nearest(
-                        guests_m[at : at + 1024], matrix, base_ids, k, bound[at : at + 1024]
-                    )
-                    yield _candidates(guest_ids[at : at + 1024][rows], dst, dist)
+                    some = slice(at, at + 1024)
+                    wanted = np.unpackbits(bits[some], axis=1).astype(bool)
+                    rows, dst, dist = _on_shelf(guests_m[some], bound[some], wanted, matrix, base_ids, slots, k)
+                    yield _candidates(guest_ids[some][rows], dst, dist)
 
     return (
         base.unionByName(guests)
-        .repartition(tasks, "block", "chunk")
-        .sortWithinPartitions("block", "chunk", "visitor")
+        .repartition(tasks, "shelf", "chunk")
+        .sortWithinPartitions("shelf", "chunk", "slot")
         .mapInArrow(run, "src bigint, dst bigint, dist double")
     )
 
@@ -336,15 +404,18 @@ def knn_graph(
         bounded = points.join(bound, points["rep"] == bound["src"], "left").withColumn(
             "bound", F.coalesce("bound", F.lit(float("inf")))
         )
-        visits = _route(bounded, pivots, cell_blocks, radius, inner, probes)
-        far = _visit_pass(points, visits, k, 16 * block_rows, tasks)
+        most_rows = max(SHELF_BYTES // (8 * pivots.shape[1]), 1)
+        shelf_rows = min(max(block_rows, -(-n // SHELVES)), most_rows)
+        shelf, slot = _shelved(pivots, cell_blocks, [stats[c].n if c in stats else 0 for c in cells], shelf_rows)
+        visits = _route(bounded, pivots, cell_blocks, radius, inner, shelf, slot, probes)
+        far = _visit_pass(points, visits, shelf, slot, k, shelf_rows, tasks)
         near = _nearest_k(near.drop("rank").unionByName(far), k)
         if probes is not None:
             near = materialise(near, "knn-probed")
             full = near.filter(F.col("rank") == min(k, n - 1)).select(F.col("src").alias("rep"))
             short = bounded.join(full, "rep", "left_anti")
-            visits = _route(short, pivots, cell_blocks, radius, inner, None)
-            far = _visit_pass(points, visits, k, 16 * block_rows, tasks)
+            visits = _route(short, pivots, cell_blocks, radius, inner, shelf, slot, None)
+            far = _visit_pass(points, visits, shelf, slot, k, shelf_rows, tasks)
             near = _nearest_k(near.drop("rank").unionByName(far).distinct(), k)
     near = near.select("src", "dst", "rank", "dist")
     if merged.filter(F.size("members") > 1).isEmpty():

@@ -125,6 +125,22 @@ def test_map_ends_when_it_is_settled(spark, monkeypatch):
     assert len(seen) == 2 and seen[-1] > 0
 
 
+def test_vectors_travel_once_to_a_shelf(spark, monkeypatch):
+    """Without structure nothing can be left out; what moves must not grow with the number of cells."""
+    x = np.random.default_rng(5).normal(size=(1200, 24))
+    moved = {}
+
+    def kept(df, name):
+        moved[name] = materialise(df, name)
+        return moved[name]
+
+    monkeypatch.setattr(neighbours, "materialise", kept)
+    ids = np.arange(1200) * 3
+    got = lists(neighbours.knn_graph(vectors(spark, x, ids), 7, cell_rows=12, block_rows=40))
+    assert got == brute_force(x, ids, 7)
+    assert moved["knn-visits"].count() <= 1200 * (neighbours.SHELVES + 2)
+
+
 def test_fuzzy_edges(spark):
     x = np.random.default_rng(3).normal(size=(80, 5))
     k = 15
