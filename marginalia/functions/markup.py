@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marginalia import fixed_values as fv
-from marginalia.functions.text import _col, collapse_ws, let, split_on, strip_tags, without_marks
+from marginalia.functions.text import _col, collapse_ws, let, non_empty, split_on, strip_tags, without_marks
 from marginalia.functions.urls import _group
 
 # A page is read as a row of tokens from its start on. Every character belongs to one
@@ -90,8 +90,9 @@ def _attribute(tag: str, name: str, condition: str = "", must_hold: str = "") ->
 
 def _unquoted(value: Column) -> Column:
     """An attribute value as text; the empty match stays empty."""
-    return decode_entities(
-        F.when(value.rlike("^[\"']"), F.substring(value, 2, F.length(value) - 2)).otherwise(value)
+    return let(
+        value,
+        lambda v: decode_entities(F.when(v.rlike("^[\"']"), F.substring(v, 2, F.length(v) - 2)).otherwise(v)),
     )
 
 
@@ -193,7 +194,7 @@ def _joined(items: Column) -> Column:
 def canonical_url(html: Column | str, prop: str = fv.CANONICAL_PROPERTY) -> Column:
     """Content of the canonical meta tag, attributes in any order."""
     meta = _attribute("meta", "content", _has_attribute("property", prop))
-    return F.nullif(_unquoted(_group(_col(html), _first_tag(*meta))), F.lit(""))
+    return non_empty(_unquoted(_group(_col(html), _first_tag(*meta))))
 
 
 def link_hrefs(html: Column | str, css_class: str | None = None) -> Column:
@@ -221,7 +222,7 @@ def _link_to(mark: str) -> str:
 def review_id(card: Column | str, mark: str = fv.REVIEW_LINK_MARK) -> Column:
     """Target of the review link."""
     link = _first_tag(*_attribute("a", "href", must_hold=mark))
-    return F.nullif(_unquoted(_group(_col(card), link)), F.lit(""))
+    return non_empty(_unquoted(_group(_col(card), link)))
 
 
 def review_date(card: Column | str, mark: str = fv.REVIEW_LINK_MARK) -> Column:
@@ -250,7 +251,7 @@ def authors(html: Column | str, list_class: str = fv.AUTHOR_LIST_CLASS, name_cla
     names = F.flatten(
         F.transform(lists, lambda x: F.transform(element_inners(x, "span", _has_class(name_class)), inner_text))
     )
-    return F.coalesce(F.nullif(_joined(names), F.lit("")), F.lit(fv.NOT_FOUND))
+    return F.coalesce(non_empty(_joined(names)), F.lit(fv.NOT_FOUND))
 
 
 def avg_rating(html: Column | str, css_class: str = fv.RATING_CLASS) -> Column:

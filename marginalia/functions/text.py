@@ -31,6 +31,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def non_empty(value: Column) -> Column:
+    """Null for an empty text; unlike ``nullif``, with ``value`` computed once per row."""
+    return F.get(F.filter(F.array(value), lambda v: v != ""), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Both ends, all Unicode white space (``trim`` knows the blank only)."""
     return F.btrim(_col(c), F.lit(fv.WS_CHARS))

@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marginalia import fixed_values as fv
-from marginalia.functions.text import _col
+from marginalia.functions.text import _col, non_empty
 
 
 def _group(c: Column, pattern: str, index: int = 1) -> Column:
     """A regex group, null (not empty) without a match."""
-    return F.nullif(F.regexp_extract(c, pattern, index), F.lit(""))
+    return non_empty(F.regexp_extract(c, pattern, index))
 
 
 def _spaced(slug: Column) -> Column:

@@ -148,9 +148,14 @@ def unique_works(
 
 def canonical_works(found: DataFrame) -> DataFrame:
     """``work_id, canonical_url`` from rows of ``attempt, canonical_url``."""
+    # Dropped inside the array: a filter on the rows would be pushed below a join
+    # and read the page again for every mention of the URL.
+    with_id = F.filter(
+        F.transform(F.array("canonical_url"), lambda url: F.struct(work_id(url).alias("work_id"), url.alias("canonical_url"))),
+        lambda work: work["work_id"].isNotNull(),
+    )
     return (
-        found.select(work_id("canonical_url").alias("work_id"), "attempt", "canonical_url")
-        .filter(F.col("work_id").isNotNull())
+        found.select("attempt", F.inline(with_id))
         .groupBy("work_id")
         .agg(F.min(F.struct("attempt", "canonical_url")).alias("first"))
         .select("work_id", "first.canonical_url")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.functions import markup
 from marginalia.operators import analysis, corpus, density, names, relational, reviews
 from marginalia.session import scratch_path
 from marginalia.sources import readers
@@ -111,3 +112,27 @@ def test_encoder_is_a_partition(spark):
 
     append_embeddings(rows, path)
     assert "PartitionFilters: [isnotnull(encoder" in plan(readers.read_embeddings(spark, path, "e"))
+
+
+def mentions(df, tag):
+    """How often a plan looks for a tag; one expression names it twice, to skip all others and to take it."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(rf"<{tag}\b") / 2
+
+
+def test_a_page_is_read_once_for_its_canonical_url(spark):
+    """Its work id once filtered the rows, and the filter read the page again, many times, below the join."""
+    pages = spark.createDataFrame(
+        [(1, '<meta property="og:url" content="/book/show/7.x">'), (2, '<meta property="og:url" content="/list/3">'), (3, "")],
+        "page_id int, html string",
+    )
+    marked = pages.join(spark.range(1, 4).withColumnRenamed("id", "page_id"), "page_id").select(F.concat(F.lit("<p>"), "html").alias("html"))
+    works = corpus.canonical_works(marked.select(F.lit(1).alias("attempt"), markup.canonical_url("html").alias("canonical_url")))
+    assert mentions(works, "meta") == 1
+    assert [tuple(r) for r in works.collect()] == [("7", "/book/show/7.x")]
+
+
+def test_a_card_is_read_once_for_its_review_link_and_its_stars(spark):
+    card = spark.createDataFrame([('<a href="/review/show/5&amp;6">May</a><span class="RatingStars" aria-label="4 of 5">',)], "card string")
+    link, stars = card.select(markup.review_id("card").alias("x")), card.select(markup.stars("card").alias("x"))
+    assert mentions(link, "a") == 1 and mentions(stars, "span") == 1
+    assert link.first()[0] == "/review/show/5&6" and stars.first()[0] == "4"
