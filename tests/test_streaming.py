@@ -140,3 +140,9 @@ def given_tables(spark, sf, files):
             df.toPandas().to_parquet(f"{sf}/{name}.parquet")
         else:
             df.repartition(files).write.parquet(f"{sf}/{name}.parquet")
+
+
+def test_counts_of_a_table_in_a_folder(spark):
+    sf = scratch_path(spark, "tables")
+    given_tables(spark, sf, 3)
+    assert rows(registry.stream_counts(spark, sf)) == [("NO_MATCH", 1), ("VALID_MATCH", 5)]
