@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from marginalia.session import materialise
 
-SMALL_NODES = 500_000  # rows of a few numbers each: some 20 MB
+SMALL_NODES = 1_500_000  # two values each, as arrays of floats: 12 MB
+BLOCK = 4096  # nodes whose values travel as one row
+HUB_EDGES = 20_000  # edges of one task; a point with more goes to several
 STEADY = 1e-3  # change of the eigenvalues below which the iteration ends: a start need not be exact
 MAX_ROUNDS = 20
 _PAIRS = [(a, b) for a in "uxy" for b in "uxy"]
@@ -19,11 +21,58 @@ def sent_if_small(nodes: DataFrame, count: int) -> DataFrame:
     return F.broadcast(nodes) if count <= SMALL_NODES else nodes
 
 
-def _normalised(edges: DataFrame, roots: DataFrame, count: int) -> DataFrame:
-    """``src, dst, share``: weights over the roots of both ends' degrees."""
-    ends = [sent_if_small(roots.select(F.col("id").alias(e), F.col("root").alias(f"{e}_root")), count) for e in ("src", "dst")]
-    joined = edges.join(ends[0], "src").join(ends[1], "dst")
-    return materialise(joined.select("src", "dst", (F.col("weight") / (F.col("src_root") * F.col("dst_root"))).alias("share")), "shares")
+def numbered(df: DataFrame) -> tuple[DataFrame, int]:
+    """Rows in the order of ``id`` with dense numbers ``no`` from 0, and how many there are.
+
+    The driver gets one count per partition of the written table.
+    """
+    df = df.orderBy("id")
+    df = materialise(df.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "numbered")
+    counts = df.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("low")).orderBy("part").collect()
+    starts, at = [], 0
+    for row in counts:
+        starts.append((row.part, at - row.low))
+        at += row.n
+    shift = df.sparkSession.createDataFrame(starts or [(0, 0)], "part int, shift bigint")
+    return df.join(F.broadcast(shift), "part").withColumn("no", F.col("place") + F.col("shift")).drop("part", "place", "shift"), at
+
+
+def with_values(rows: DataFrame, number: str, nodes: DataFrame, values: dict[str, str], count: int) -> DataFrame:
+    """``rows`` with values of the node that the column ``number`` names; ``values`` has their new names and their columns.
+
+    Nodes travel as arrays of floats, a row per block of numbers, so a value takes four
+    bytes and no key. Lookups of the same values in one plan share one sending.
+    """
+    held = nodes.groupBy(F.expr(f"no div {BLOCK}").alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("no", *[F.col(c).cast("float").alias(c) for c in values.values()]))).alias("held")
+    )
+    arrays = held.select(F.col("block").alias(f"{number}_block"), *[F.col("held")[c].alias(new) for new, c in values.items()])
+    placed = rows.withColumn(f"{number}_block", F.expr(f"{number} div {BLOCK}"))
+    found = placed.join(sent_if_small(arrays, count), f"{number}_block")
+    return found.withColumns({new: F.get(new, F.expr(f"int({number} % {BLOCK})")).cast("double") for new in values}).drop(f"{number}_block")
+
+
+def by_number(edges: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
+    """Edges with the numbers of both ends; what a node has in ``nodes`` beside ``id`` and ``no`` is added for each end."""
+    for end in ("src", "dst"):
+        own = nodes.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in nodes.columns if c != "id"])
+        edges = edges.join(sent_if_small(own, count), end)
+    return edges.drop("src", "dst")
+
+
+def _normalised(edges: DataFrame, roots: DataFrame, count: int, total: int) -> DataFrame:
+    """``src_no, dst_no, share``: weights over the roots of both ends' degrees."""
+    share = F.col("weight") / (F.col("src_root") * F.col("dst_root"))
+    return grouped(by_number(edges, roots, count).select("src_no", "dst_no", share.alias("share")), total, "shares")
+
+
+def grouped(links: DataFrame, total: int, name: str, most: int = HUB_EDGES) -> DataFrame:
+    """Written with the edges of a node together, so that sums are nearly done before a shuffle.
+
+    A node with very many edges is cut over several tasks.
+    """
+    tasks = max(-(-total // most), 1)
+    return materialise(links.repartitionByRange(tasks, "src_no", "dst_no").sortWithinPartitions("src_no"), name)
 
 
 def _orthonormal(gram: np.ndarray) -> np.ndarray:
@@ -42,7 +91,7 @@ def _products(nodes: DataFrame, pairs: list[tuple[str, str]]) -> list[float]:
     return [v or 0.0 for v in nodes.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs]).first()]
 
 
-def spectral_positions(edges: DataFrame, start: DataFrame, count: int, rounds: int = MAX_ROUNDS, side: float = 20.0) -> DataFrame:
+def spectral_positions(edges: DataFrame, start: DataFrame, count: int | None = None, rounds: int = MAX_ROUNDS, side: float = 20.0) -> DataFrame:
     """``id, x, y`` of every row of ``start`` (``id, x, y``), scaled into a square.
 
     The second and third eigenvectors of the symmetric edge weights over the roots of
@@ -51,29 +100,28 @@ def spectral_positions(edges: DataFrame, start: DataFrame, count: int, rounds: i
     when the eigenvalues are steady. Points without edges keep their place in ``start``,
     scaled alike. Points that coincide are parted by a little keyed noise.
     """
-    degrees = edges.groupBy("src").agg(F.sqrt(F.sum("weight")).alias("root"))
-    roots = materialise(degrees.select(F.col("src").alias("id"), "root"), "roots")
-    shares = _normalised(edges, roots, count)
-    total = roots.agg(F.sum(F.col("root") * F.col("root"))).first()[0] or 1.0
+    degrees = edges.groupBy("src").agg(F.sqrt(F.sum("weight")).alias("root"), F.count(F.lit(1)).alias("n"))
     place = start.select("id", "x", "y")
-    linked = place.join(roots, "id")
-    nodes = materialise(linked.select("id", (F.col("root") / F.lit(total**0.5)).alias("u"), "x", "y"), "spectral")
+    linked, count = numbered(degrees.withColumnRenamed("src", "id").join(place, "id"))
+    linked = materialise(linked, "roots")
+    sums = linked.agg(F.sum(F.col("root") * F.col("root")).alias("weight"), F.sum("n").alias("edges")).first()
+    shares = _normalised(edges, linked.select("id", "no", "root"), count, sums.edges or 0)
+    nodes = materialise(linked.select("id", "no", (F.col("root") / F.lit((sums.weight or 1.0) ** 0.5)).alias("u"), "x", "y"), "spectral")
     found = _products(nodes, _PAIRS)
     values = np.zeros(2)
     for _ in range(rounds):
         basis = _orthonormal(np.array(found).reshape(3, 3))
         mixed = [" + ".join(f"({float(c)!r}D * {n})" for c, n in zip(row, "uxy")) for row in basis]
-        clean = nodes.selectExpr("id", "u", f"{mixed[0]} AS x", f"{mixed[1]} AS y")
-        sent = sent_if_small(clean.selectExpr("id AS dst", "x AS dx", "y AS dy"), count)
-        pulled = shares.join(sent, "dst").selectExpr(
-            "src AS id", "NULL AS u", "NULL AS x", "NULL AS y", "share * dx AS px", "share * dy AS py"
+        clean = nodes.selectExpr("id", "no", "u", f"{mixed[0]} AS x", f"{mixed[1]} AS y")
+        pulled = with_values(shares, "dst_no", clean, {"dx": "x", "dy": "y"}, count).selectExpr(
+            "NULL AS id", "src_no AS no", "NULL AS u", "NULL AS x", "NULL AS y", "share * dx AS px", "share * dy AS py"
         )
-        own = clean.selectExpr("id", "u", "x", "y", "0D AS px", "0D AS py")
-        summed = own.unionByName(pulled).groupBy("id").agg(
-            F.max("u").alias("u"), F.max("x").alias("x0"), F.max("y").alias("y0"), F.sum("px").alias("px"), F.sum("py").alias("py")
+        own = clean.selectExpr("id", "no", "u", "x", "y", "0D AS px", "0D AS py")
+        summed = own.unionByName(pulled).groupBy("no").agg(
+            *[F.max(c).alias(c) for c in ("id", "u")], F.max("x").alias("x0"), F.max("y").alias("y0"), F.sum("px").alias("px"), F.sum("py").alias("py")
         )
         # Half the step keeps negative eigenvalues from winning.
-        nodes = materialise(summed.selectExpr("id", "u", "x0", "y0", "(x0 + px) / 2 AS x", "(y0 + py) / 2 AS y"), "spectral")
+        nodes = materialise(summed.selectExpr("id", "no", "u", "x0", "y0", "(x0 + px) / 2 AS x", "(y0 + py) / 2 AS y"), "spectral")
         *found, x_value, y_value = _products(nodes, [*_PAIRS, ("x0", "x"), ("y0", "y")])
         steady = np.abs(np.array([x_value, y_value]) - values).max() < STEADY
         values = np.array([x_value, y_value])

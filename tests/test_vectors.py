@@ -194,6 +194,27 @@ def test_map_keeps_neighbourhoods(spark):
     assert np.allclose(run(epochs=2), run(epochs=2), atol=1e-6)
 
 
+def test_map_is_the_same_for_any_partitions_and_sends_blocks(spark, monkeypatch):
+    """Random partners go by numbers in the order of ids, and a task gets positions as a row per block of points."""
+    rng = np.random.default_rng(15)
+    emb = vectors(spark, rng.normal(size=(10, 6)).repeat(9, 0) + rng.normal(size=(90, 6)) * 0.2, [int(i) for i in rng.permutation(90) * 5])
+    edges = layout.fuzzy_edges(neighbours.knn_graph(emb, 8), 9).cache()
+    sent = []
+
+    def run(df):
+        return np.array(sorted(tuple(r) for r in layout.map_2d(edges, df, epochs=2).collect()))
+
+    whole = run(emb)
+    assert np.allclose(whole, run(emb.repartition(1)), atol=1e-4) and np.allclose(whole, run(emb.repartition(7)), atol=1e-4)
+    monkeypatch.setattr(spectral, "BLOCK", 25)
+    monkeypatch.setattr(spectral, "sent_if_small", lambda df, count: sent.append(df) or F.broadcast(df))
+    assert np.allclose(whole, run(emb), atol=1e-4)
+    assert max(df.count() for df in sent if any(c.endswith("_block") for c in df.columns)) == 4
+    assert sum("id" not in df.columns and len(df.columns) == 3 and any(c.endswith("_block") for c in df.columns) for df in sent) >= 6
+    monkeypatch.setattr(spectral, "sent_if_small", lambda df, count: df)
+    assert np.allclose(whole, run(emb), atol=1e-4)
+
+
 def test_hub_edges_are_cut(spark, monkeypatch):
     rng = np.random.default_rng(5)
     emb = vectors(spark, rng.normal(size=(60, 3)))
