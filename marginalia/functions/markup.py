@@ -210,8 +210,14 @@ def has_next_page(html: Column | str, css_class: str = fv.NEXT_LINK_CLASS) -> Co
 
 
 def card_htmls(html: Column | str, css_class: str = fv.REVIEW_CARD_CLASS) -> Column:
-    """Inner HTML of the review cards of a page, in page order."""
-    return element_inners(html, "article", _has_class(css_class))
+    """Inner HTML of the review cards of a page, in page order.
+
+    A page where the name of the class stands nowhere is not read as tokens.
+    """
+    page = _col(html)
+    cards = element_inners(page, "article", _has_class(css_class))
+    named = page.rlike(f"(?i){re.escape(css_class)}")
+    return F.when(named, cards).when(page.isNotNull(), F.array().cast("array<string>"))
 
 
 def _link_to(mark: str) -> str:

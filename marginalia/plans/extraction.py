@@ -39,25 +39,26 @@ def extract(
     ).distinct()
     few = fits_broadcast(wanted)
 
-    def of_books(rows: DataFrame, column: str) -> DataFrame:
-        """Rows of the wanted pages, under the URL of the book."""
-        keys = wanted.select("book", F.col(column).alias("url"))
-        keyed = rows.join(F.broadcast(keys) if few else keys, "url")
+    def of_books(rows: DataFrame, column: str, books: DataFrame, sent: bool) -> DataFrame:
+        """Rows of the pages of these books, under the URL of the book."""
+        keys = books.select("book", F.col(column).alias("url"))
+        keyed = rows.join(F.broadcast(keys) if sent else keys, "url")
         return keyed.withColumn("url", F.col("book")).drop("book")
 
     # HTML is never shuffled: few URLs are looked up at the scan; for very many,
     # all pages are parsed and the short results are joined.
     if few:
-        reviews = accepted_reviews(of_books(pages, "reviews"), keyword, max_words)
+        reviews = accepted_reviews(of_books(pages, "reviews", wanted, few), keyword, max_words)
     else:
-        reviews = of_books(accepted_reviews(pages, keyword, max_words), "reviews")
+        reviews = of_books(accepted_reviews(pages, keyword, max_words), "reviews", wanted, few)
     reviews = materialise(reviews, "reviews")
-    if few:
-        metadata = relevant_metadata(of_books(pages, "main"), reviews)
+    # Of a long list, few books may have accepted reviews; only their pages are parsed.
+    reviewed = reviews.select(F.col("url").alias("book")).distinct()
+    found = materialise(wanted.join(reviewed, "book", "left_semi"), "reviewed")
+    if fits_broadcast(found):
+        metadata = relevant_metadata(of_books(pages, "main", found, True), reviews)
     else:
-        metadata = of_books(book_metadata(pages), "main").join(
-            reviews.select("url").distinct(), "url", "left_semi"
-        )
+        metadata = of_books(book_metadata(pages), "main", found, False)
     # The name goes by the listed URL on either path. Copies of a page give one row.
     named = metadata.withColumn("book_name", book_name_any(book_url("url")))
     return relevant_books(reviews, materialise(one_per_book(named), "metadata"))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import relational, reviews
+from marginalia.plans import extraction
 from marginalia.plans.corpus import deduplicate, discover, verify_batch
 from marginalia.plans.extraction import extract, extract_to_csv, repair_csv
 from marginalia.session import scratch_path
@@ -52,6 +53,25 @@ def test_match_status(spark):
     }
 
 
+def test_long_list_parses_pages_of_reviewed_books_only(spark, monkeypatch):
+    """Five listed books are too many to send, the one with a review is not."""
+    monkeypatch.setattr(relational, "BROADCAST_ROWS", 2)
+    parsed = []
+    whole = reviews.book_metadata
+    for module in (reviews, extraction):
+        monkeypatch.setattr(module, "book_metadata", lambda df: parsed.append(df.count()) or whole(df))
+    urls = spark.createDataFrame([(SHOW + f"{i}.B",) for i in range(5)], "url string")
+    df = pages(spark, [(SHOW + f"{i}.B", book()) for i in range(5)] + [(SHOW + "3.B/reviews", card(1, "key"))])
+    found, summary = extract(urls, df, "key")
+    assert [r.url for r in summary.collect()] == [SHOW + "3.B"] == [r.url for r in found.collect()]
+    assert parsed == [1]
+
+
+def test_page_without_the_name_of_the_class_has_no_cards(spark):
+    df = pages(spark, [("a", "<div><b>none</b></div>"), ("b", None), ("c", card(1, "x").replace("ReviewCard", "reviewcard"))])
+    assert [r.url for r in reviews.review_cards(df).collect()] == ["c"]
+
+
 @pytest.mark.parametrize("limit", [500_000, 1])
 def test_extract_keeps_books_with_both(spark, monkeypatch, limit):
     monkeypatch.setattr(relational, "BROADCAST_ROWS", limit)  # 1: the way for very many books
