@@ -833,11 +833,11 @@ def fuzzy_edges(spark, sf):
 @query("latent_axes", "SELECT count(DISTINCT text) AS texts, 16 AS dims, true AS unit_length, true AS nearly_all_captured FROM documents")
 def latent_axes(spark, sf):
     """Vectors of all documents; their axes against the exact ones, over few slots."""
-    docs = table(spark, sf, "documents")
-    model = latent.fit_latent(docs, "text", 16, slots=256)
-    near = model.captured >= 0.99 * latent.exact_share(docs, "text", model)
+    texts = materialise(latent.text_slots(table(spark, sf, "documents"), "text", 256), "latent-slots")
+    model = latent.fit_latent(texts, None, 16, slots=256)
+    near = model.captured >= 0.99 * latent.exact_share(texts, None, model)
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    return latent.embed_latent(docs, "text", model).agg(
+    return latent.embed_latent(texts, None, model).agg(
         F.count(F.lit(1)).alias("texts"), F.max(F.size("embedding")).alias("dims"),
         F.bool_and((F.abs(length - 1) < 1e-5) | (length == 0)).alias("unit_length"), F.lit(near).alias("nearly_all_captured"),
     )

@@ -51,6 +51,18 @@ def word_slots(text: Column | str, slots: int = SLOTS) -> Column:
     return F.transform(words(lower), lambda w: F.pmod(F.xxhash64(w), F.lit(slots)).cast("int"))
 
 
+def text_slots(df: DataFrame, text_col: str | None, slots: int = SLOTS) -> DataFrame:
+    """``text_hash, slots`` of the distinct texts.
+
+    Texts move once, for this table alone: written, it serves a fit, its check and the
+    vectors in place of the texts. Those take such a table where no text column is named.
+    """
+    if text_col is None:
+        return df.select("text_hash", "slots")
+    texts = df.select(F.col(text_col).alias("text")).dropna().withColumn("text_hash", text_hash("text")).dropDuplicates(["text_hash"])
+    return texts.select("text_hash", word_slots("text", slots).alias("slots"))
+
+
 def _counts(column: pa.Array, slots: int) -> np.ndarray:
     """Texts by slots: how often each slot occurs."""
     sizes = np.diff(column.offsets.to_numpy())
@@ -90,14 +102,15 @@ def _round_trip(texts: DataFrame, rarity: np.ndarray, thin: np.ndarray) -> np.nd
     return out
 
 
-def fit_latent(df: DataFrame, text_col: str, dim: int = 128, slots: int = SLOTS, seed: int = 42) -> LatentModel:
-    """Axes along which the distinct texts of ``df`` vary most.
+def fit_latent(df: DataFrame, text_col: str | None, dim: int = 128, slots: int = SLOTS, seed: int = 42) -> LatentModel:
+    """Axes along which the distinct texts of ``df`` vary most; ``df`` may be a written table of ``text_slots``.
 
     Passes end when the captured weight is steady. A corpus of fewer texts or slots
     than ``dim`` has fewer axes; one without words has none.
     """
-    distinct = df.select(F.col(text_col).alias("text")).dropna().withColumn("text_hash", text_hash("text")).dropDuplicates(["text_hash"])
-    texts = materialise(distinct.select(word_slots("text", slots).alias("slots")).filter(F.size("slots") > 0), "latent-texts")
+    found = text_slots(df, text_col, slots).select("slots")
+    # Filtered as it is read: a filter before would be pushed below the projection and take all words apart twice.
+    texts = (materialise(found, "latent-texts") if text_col is not None else found).filter(F.size("slots") > 0)
     n = texts.count()
     seen = texts.select(F.explode(F.array_distinct("slots")).alias("slot")).groupBy("slot").count().collect()  # a row per slot
     rarity = np.zeros(slots)
@@ -123,10 +136,12 @@ def fit_latent(df: DataFrame, text_col: str, dim: int = 128, slots: int = SLOTS,
     return LatentModel(rarity, axes, captured / n)  # every text has length one
 
 
-def embed_latent(df: DataFrame, text_col: str, model: LatentModel) -> DataFrame:
-    """One vector of unit length per distinct text: ``text_hash, embedding``. A text without known words is zero."""
+def embed_latent(df: DataFrame, text_col: str | None, model: LatentModel) -> DataFrame:
+    """One vector of unit length per distinct text: ``text_hash, embedding``. A text without known words is zero.
+
+    ``df`` may be a table of ``text_slots`` for as many slots as the model has.
+    """
     rarity, axes = model.rarity, model.axes
-    texts = df.select(F.col(text_col).alias("text")).dropna().withColumn("text_hash", text_hash("text")).dropDuplicates(["text_hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, x in _parts(batches, rarity):
@@ -135,8 +150,7 @@ def embed_latent(df: DataFrame, text_col: str, model: LatentModel) -> DataFrame:
             y = (y / np.where(length < 1e-12, 1.0, length)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([part["text_hash"], as_lists(y)], ["text_hash", "embedding"])
 
-    slots = texts.select("text_hash", word_slots("text", len(rarity)).alias("slots"))
-    return slots.mapInArrow(run, "text_hash string, embedding array<float>")
+    return text_slots(df, text_col, len(rarity)).mapInArrow(run, "text_hash string, embedding array<float>")
 
 
 def latent_embedder(model: LatentModel) -> Callable[[DataFrame, str], DataFrame]:
@@ -154,10 +168,9 @@ def load_latent(spark: SparkSession, path: str) -> LatentModel:
     return LatentModel(np.array([r.rarity for r in rows]), np.array([r.axis for r in rows]), rows[0].captured)
 
 
-def exact_share(df: DataFrame, text_col: str, model: LatentModel) -> float:
+def exact_share(df: DataFrame, text_col: str | None, model: LatentModel) -> float:
     """What the best axes of the same number would capture; for few slots, as the whole matrix of their products is used."""
-    texts = df.select(F.col(text_col).alias("text")).dropna().dropDuplicates(["text"])
-    slots = texts.select(word_slots("text", len(model.rarity)).alias("slots")).filter(F.size("slots") > 0)
-    whole = _round_trip(slots, model.rarity, np.eye(len(model.rarity)))
+    # Texts without words are rows of zeros and add nothing.
+    whole = _round_trip(text_slots(df, text_col, len(model.rarity)), model.rarity, np.eye(len(model.rarity)))
     values = np.linalg.eigvalsh(whole)[::-1]
     return float(values[: model.axes.shape[1]].sum() / max(np.trace(whole), 1e-300))

@@ -366,6 +366,23 @@ def test_latent_vectors_against_a_small_exact_decomposition(spark, tmp_path):
     assert latent.fit_latent(df.limit(0), "t", 6).axes.shape == (4096, 0)
 
 
+def test_a_table_of_word_slots_serves_fit_share_and_vectors(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(30)], 8)) for _ in range(60)] + ["", " ", None]
+    df = spark.createDataFrame([(t,) for t in texts] * 2, "t string").repartition(3)
+    table = materialise(latent.text_slots(df, "t", 32), "slots")
+    assert table.count() == len(set(texts)) - 1
+    model, again = latent.fit_latent(df, "t", 4, slots=32), latent.fit_latent(table, None, 4, slots=32)
+    assert np.allclose(model.axes, again.axes) and np.allclose(model.rarity, again.rarity)
+    assert model.captured == pytest.approx(again.captured)
+    assert latent.exact_share(table, None, model) == pytest.approx(latent.exact_share(df, "t", model))
+    got, want = ({r.text_hash: r.embedding for r in latent.embed_latent(*x, model).collect()} for x in ((table, None), (df, "t")))
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in got)
+    # Words are taken apart in one place of the plan.
+    plan = latent.text_slots(df, "t", 32)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") == 1
+
+
 def test_cache_of_a_fit(spark):
     cache = scratch_path(spark, "cache")
     df = spark.createDataFrame([("a b",), ("c d",), ("a c",)], "t string")
