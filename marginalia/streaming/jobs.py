@@ -99,6 +99,7 @@ def to_parquet(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+_COMMITTED = "_COMMITTED"
 KEPT_VERSIONS = 3  # tables of running counts that readers may still be using
 
 
@@ -106,11 +107,13 @@ def counts_to_parquet(counts: DataFrame, path: str, checkpoint: str) -> Streamin
     """Keep complete tables of running counts, a folder per micro-batch: ``version=<number>`` below ``path``.
 
     A folder that a reader may be using is never written to: a version counts from its
-    commit mark on, which Spark writes last, and the last few stay. A batch that is
-    run again after a failure replaces its own folder.
+    own mark on, which is written last whether or not jobs of this session are marked, and the
+    last few stay. A batch that is run again after a failure replaces its own folder.
     """
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/version={number}")
+        mark, system = _path(batch.sparkSession, f"{path}/version={number}/{_COMMITTED}")
+        system.create(mark, True).close()
         for old in _versions(batch.sparkSession, path)[:-KEPT_VERSIONS]:
             folder, system = _path(batch.sparkSession, f"{path}/version={old}")
             system.delete(folder, True)
@@ -139,6 +142,6 @@ def _path(spark: SparkSession, name: str):
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the committed versions, in order."""
-    marks, system = _path(spark, f"{path}/version=*/_SUCCESS")
-    return sorted(int(found.getPath().getParent().getName().split("=")[1]) for found in system.globStatus(marks) or [])
+    """Numbers of the committed versions, in order; earlier ones may have Spark's mark only."""
+    marks, system = _path(spark, f"{path}/version=*/{{{_COMMITTED},_SUCCESS}}")
+    return sorted({int(found.getPath().getParent().getName().split("=")[1]) for found in system.globStatus(marks) or []})

@@ -94,6 +94,18 @@ def test_readers_of_counts_see_one_version(spark):
     assert len(jobs._versions(spark, out)) == jobs.KEPT_VERSIONS
 
 
+def test_counts_where_jobs_leave_no_marks(spark, folder):
+    out, setting = scratch_path(spark, "counts"), "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+    spark.conf.set(setting, "false")
+    try:
+        counts = jobs.running_counts(reviews.match_status(jobs.page_stream(spark, folder, max_files=1), "key"))
+        finish(jobs.counts_to_parquet(counts, out, scratch_path(spark, "cp")))
+    finally:
+        spark.conf.unset(setting)
+    batch = corpus.status_counts(reviews.match_status(readers.read_pages(spark, folder), "key"))
+    assert rows(jobs.latest_counts(spark, out)) == rows(batch)
+
+
 def test_keep_first_over_batches(spark):
     path, out = scratch_path(spark, "seen"), scratch_path(spark, "first")
     schema = "url string, review_id string, seen_at timestamp_ntz, body string"
