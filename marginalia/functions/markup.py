@@ -155,6 +155,15 @@ def _at_tags(html: Column | str, wanted: str) -> Column:
     return split_on(html, rf"(?is)\G({_skip(wanted)})({wanted})", "$1{}$2")
 
 
+def _plain_inner(tag: str) -> str:
+    """All up to the close tag of an already open ``tag``, as a group, where no other such tag is opened before."""
+    return rf"({_skip(_any_tag(tag))})(?=</{tag}\b{_REST})"
+
+
+def _any_tag(tag: str) -> str:
+    return rf"</?{tag}\b{_REST}"
+
+
 def _balanced_prefix(rest: Column, tag: str) -> Column:
     """``rest`` up to the close tag that matches an already open ``tag``."""
     def cut(pieces: Column) -> Column:
@@ -168,12 +177,11 @@ def _balanced_prefix(rest: Column, tag: str) -> Column:
         taken = F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, step, lambda s: s["taken"])
         return F.array_join(F.slice(pieces, 1, taken), "")
 
-    return let(_at_tags(rest, rf"</?{tag}\b{_REST}"), cut)
+    return let(_at_tags(rest, _any_tag(tag)), cut)
 
 
-def element_inners(html: Column | str, tag: str, condition: str) -> Column:
-    """Inner HTML of every ``tag`` element that meets the condition."""
-    wanted = _open_tag(tag, condition)
+def _counted_inners(html: Column | str, tag: str, wanted: str) -> Column:
+    """Inner HTML of every ``wanted`` element, by counting tags."""
     return let(
         split_on(html, rf"(?is)\G({_skip(wanted)}){wanted}", "$1{}"),
         lambda pieces: F.transform(
@@ -183,6 +191,30 @@ def element_inners(html: Column | str, tag: str, condition: str) -> Column:
     )
 
 
+def element_inners(html: Column | str, tag: str, condition: str) -> Column:
+    """Inner HTML of every ``tag`` element that meets the condition.
+
+    Where none holds another ``tag`` element, the page is read once; else, or where one is
+    empty or left open, tags are counted.
+    """
+    wanted = _open_tag(tag, condition)
+    plain = F.regexp_extract_all(_col(html), F.lit(_each_tag(wanted) + f"(?:{_plain_inner(tag)})?+"), F.lit(1))
+    return let(
+        plain,
+        lambda found: F.when(F.forall(found, lambda x: x != ""), F.transform(found, without_marks)).otherwise(
+            _counted_inners(html, tag, wanted)
+        ),
+    )
+
+
+def first_inner(html: Column | str, tag: str, condition: str) -> Column:
+    """The first of ``element_inners``; read in one pass, no further than its end, if it holds no ``tag`` element."""
+    plain = F.regexp_extract(_col(html), _first_tag(_open_tag(tag, condition)) + _plain_inner(tag), 1)
+    return let(
+        plain, lambda p: F.when(p != "", without_marks(p)).otherwise(_first(element_inners(html, tag, condition)))
+    )
+
+
 def _first(items: Column) -> Column:
     return F.try_element_at(items, F.lit(1))
 
@@ -238,7 +270,7 @@ def review_date(card: Column | str, mark: str = fv.REVIEW_LINK_MARK) -> Column:
 
 def review_body(card: Column | str, css_class: str = fv.REVIEW_BODY_CLASS) -> Column:
     """Inner HTML of the review text; null if the card has none."""
-    return _first(element_inners(card, "span", _has_class(css_class)))
+    return first_inner(card, "span", _has_class(css_class))
 
 
 def stars_from_label(label: Column | str) -> Column:
@@ -261,7 +293,7 @@ def authors(html: Column | str, list_class: str = fv.AUTHOR_LIST_CLASS, name_cla
 
 
 def avg_rating(html: Column | str, css_class: str = fv.RATING_CLASS) -> Column:
-    found = _first(element_inners(html, "div", _has_class(css_class)))
+    found = first_inner(html, "div", _has_class(css_class))
     return F.coalesce(inner_text(found), F.lit(fv.NOT_FOUND))
 
 
@@ -287,10 +319,10 @@ def genres(
     label_class: str = fv.GENRE_LABEL_CLASS,
 ) -> Column:
     """Labels of the genre tags; no list, or a tag without label, is the sentinel."""
-    listed = _first(element_inners(html, "div", _has_attribute("data-testid", test_id)))
+    listed = first_inner(html, "div", _has_attribute("data-testid", test_id))
     labels = F.transform(
         element_inners(listed, "a", _has_class(link_class)),
-        lambda x: inner_text(_first(element_inners(x, "span", _has_class(label_class)))),
+        lambda x: inner_text(first_inner(x, "span", _has_class(label_class))),
     )
     complete = F.forall(labels, lambda x: x.isNotNull())
     return F.coalesce(F.when(complete, _joined(labels)), F.lit(fv.NOT_FOUND))

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from marginalia.functions import markup
@@ -68,3 +70,16 @@ def test_metadata_fields(one):
         markup.genres("x"),
         [box(tag("Classics") + tag("") + tag("Fiction")) + outside, box(""), outside, box(tag("A") + '<a class="Button--tag">bare</a>')],
     ) == ["Classics | Fiction", "", "Not Found", "Not Found"]
+
+
+def test_elements_read_in_one_pass_are_those_of_counted_tags(one):
+    parts = ["<p class=a>", "<p class='b a'>", "<p>", "</p>", "</p >", "<P CLASS=a>", "x", "\0", "<!-- </p> -->", "<!-- <p class=a>", "<b title='</p>'>", "<script></p></script>", "<", "<p class=a"]
+    draw = random.Random(8)
+    html = ["".join(draw.choices(parts, [4, 2, 1, 6, 1, 1, 9, 1, 1, 0.2, 1, 1, 0.3, 0.2], k=draw.randrange(12))) for _ in range(1500)] + [None]
+    condition = markup._has_class("a")
+    want = one(markup._counted_inners("x", "p", markup._open_tag("p", condition)), html)
+    assert one(markup.element_inners("x", "p", condition), html) == want
+    assert one(markup.first_inner("x", "p", condition), html) == [x[0] if x else None for x in want]
+    assert sum(len(x) > 1 for x in want[:-1]) > 200
+    cases = ["<p class=a>1<p>2</p>3</p>4", "<p class=a></p><p class=a>x\0</p>", "<p class=a>x<!-- </p>"]
+    assert one(markup.element_inners("x", "p", condition), cases) == [["1<p>2</p>3"], ["", "x\ufffd"], ["x<!-- </p>"]]
