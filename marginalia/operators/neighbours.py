@@ -27,6 +27,7 @@ FEW_PIVOTS = 1024
 MAX_VISIT_TASKS = 20_000
 SHELVES = 8  # while they are below the size that follows; beyond, there are more
 SHELF_BYTES = 128 << 20  # of vectors that a task holds
+MOST_HITS = 8192  # pairs of a first look, before they are measured
 _SLACK = 1e-6  # rounding allowance of the pruning bounds
 
 
@@ -233,33 +234,83 @@ def _route(
     )
 
 
-def _on_shelf(guests: np.ndarray, bound: np.ndarray, wanted: np.ndarray, matrix: np.ndarray, ids: np.ndarray, slots: np.ndarray, k: int):
+def _scaled(vec: np.ndarray) -> tuple[np.ndarray, float, float, np.ndarray]:
+    """In single precision for a first look: vectors below 1 about their mean, their scale, what may be lost of a squared distance, the mean."""
+    sound = vec[np.isfinite(vec).all(1)].astype(np.float64)
+    mid = sound.mean(0) if len(sound) else np.zeros(vec.shape[1])
+    flat = sound - mid
+    scale = max(float(np.abs(flat).max(initial=0.0)), 1e-300)
+    flat /= scale
+    slack = 4 * np.finfo(np.float32).eps * (vec.shape[1] + 4) * float((flat * flat).sum(1).max(initial=0.0))
+    return ((vec - mid) / scale).astype(np.float32), scale, slack, mid
+
+
+def _halves(flat: np.ndarray) -> np.ndarray:
+    """With half the squares as one more column: a product with ``(x, 1)`` is below half the square of x by half the squared distance."""
+    return np.concatenate([flat, -0.5 * (flat * flat).sum(1, keepdims=True)], axis=1)
+
+
+def _measured(a: np.ndarray, left: np.ndarray, b: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Distances of pairs of rows, in double precision."""
+    out = np.empty(len(left))
+    for at in range(0, len(left), 8192):
+        some = slice(at, at + 8192)
+        out[some] = np.sqrt(((a[left[some]].astype(np.float64) - b[right[some]]) ** 2).sum(1))
+    return out
+
+
+def _on_shelf(guests: np.ndarray, bound: np.ndarray, wanted: np.ndarray, matrix: np.ndarray, halves: tuple, ids: np.ndarray, slots: np.ndarray, k: int):
     """The ``k`` nearest rows of each guest in the slots it wants, as ``(guest index, id, distance)`` arrays.
 
-    What is found in one slot narrows the search in the next.
+    A look in single precision, with room for what that loses, leaves a few rows to measure.
+    What is found in some slots narrows the search in the next.
     """
-    best, who = np.full((len(guests), k), np.inf), np.full((len(guests), k), np.iinfo(np.int64).max)
+    base, scale, slack, mid = halves
+    n = len(guests)
+    best, who = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
     bound = bound.copy()
+    flat = ((guests - mid) / scale).astype(np.float32)
+    squares = (flat.astype(np.float64) ** 2).sum(1)
+    flat = np.concatenate([flat, np.ones((n, 1), np.float32)], axis=1)
+    room = slack + 4 * np.finfo(np.float32).eps * (flat.shape[1] + 3) * squares
+    held, size = [], 0
+
+    def narrow() -> None:
+        rows, columns = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        dist = _measured(guests, rows, matrix, columns)
+        near = dist <= bound[rows] + _SLACK
+        rows, dst, dist = rows[near], ids[columns[near]], dist[near]
+        hit = np.unique(rows)
+        rows = np.concatenate([rows, np.repeat(hit, k)])
+        dst, dist = np.concatenate([dst, who[hit].reshape(-1)]), np.concatenate([dist, best[hit].reshape(-1)])
+        by = np.lexsort((dst, dist, rows))
+        at = np.arange(len(by))
+        rows = rows[by]
+        place = at - np.maximum.accumulate(np.where(np.diff(rows, prepend=-1) != 0, at, 0))
+        some = place < k
+        best[rows[some], place[some]], who[rows[some], place[some]] = dist[by[some]], dst[by[some]]
+        bound[hit] = np.minimum(bound[hit], best[hit, -1])
+
     cuts = np.flatnonzero(np.diff(slots, prepend=-1, append=-1))
+    least = None
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         rows = np.flatnonzero(wanted[:, slots[lo]])
         if not len(rows):
             continue
-        base = matrix[lo:hi]
-        d = _squared(guests[rows], base)
-        # Room for what the product form loses, far more than its rounding.
-        most = (bound[rows] + _SLACK) ** 2 + 1e-9 * ((guests[rows] ** 2).sum(1) + (base**2).sum(1).max())
-        hit = d.min(axis=1) <= most
-        rows, d = rows[hit], d[hit]
-        if not len(rows):
-            continue
-        few = min(k, hi - lo)
-        near = np.argpartition(d, few - 1, axis=1)[:, :few] if few < hi - lo else np.tile(np.arange(few), (len(rows), 1))
-        exact = np.sqrt(((guests[rows][:, None, :] - base[near]) ** 2).sum(2))
-        dist, dst = np.concatenate([best[rows], exact], axis=1), np.concatenate([who[rows], ids[lo:hi][near]], axis=1)
-        by = np.lexsort((dst, dist), axis=1)[:, :k]
-        best[rows], who[rows] = np.take_along_axis(dist, by, axis=1), np.take_along_axis(dst, by, axis=1)
-        bound[rows] = np.minimum(bound[rows], best[rows, -1])
+        if least is None:
+            least = ((squares - ((bound + _SLACK) / scale) ** 2 * (1 + 1e-6) - room) / 2).astype(np.float32)
+        every = len(rows) == n
+        product = (flat if every else flat[rows]) @ base[lo:hi].T
+        at, column = np.divmod(np.flatnonzero(product >= (least if every else least[rows])[:, None]), hi - lo)
+        if len(at):
+            held.append((rows[at], column + lo))
+            size += len(at)
+        if size > MOST_HITS:
+            narrow()
+            size, least = 0, None
+    if held:
+        narrow()
     at, column = np.nonzero(best <= bound[:, None] + _SLACK)
     found = np.isfinite(best[at, column])
     at, column = at[found], column[found]
@@ -313,17 +364,19 @@ def _visit_pass(points: DataFrame, visits: DataFrame, shelf: np.ndarray, slot: n
                 if tuple(marks[lo, :2]) != key:
                     key, held, matrix = tuple(marks[lo, :2]), [], None
                 if not marks[lo, 2]:
-                    held.append((part["rep"].to_numpy(), part["slot"].to_numpy(), as_matrix(part["vec"])))
+                    held.append((part["rep"].to_numpy(), part["slot"].to_numpy(), as_matrix(part["vec"], np.float32)))
                     continue
                 if matrix is None:
                     base_ids, slots, matrix = (np.concatenate(x) for x in zip(*held))
                     held = []
-                guests_m, guest_ids, bound = as_matrix(part["vec"]), part["rep"].to_numpy(), part["bound"].to_numpy()
+                    flat, *scale = _scaled(matrix)
+                    halves = _halves(flat), *scale
+                guests_m, guest_ids, bound = as_matrix(part["vec"], np.float32), part["rep"].to_numpy(), part["bound"].to_numpy()
                 bits = np.frombuffer(b"".join(part["marks"].to_pylist()), np.uint8).reshape(len(guest_ids), -1)
                 for at in range(0, len(guest_ids), 1024):
                     some = slice(at, at + 1024)
                     wanted = np.unpackbits(bits[some], axis=1).astype(bool)
-                    rows, dst, dist = _on_shelf(guests_m[some], bound[some], wanted, matrix, base_ids, slots, k)
+                    rows, dst, dist = _on_shelf(guests_m[some], bound[some], wanted, matrix, halves, base_ids, slots, k)
                     yield _candidates(guest_ids[some][rows], dst, dist)
 
     return (

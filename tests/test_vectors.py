@@ -93,6 +93,56 @@ def test_descent_with_copies_few_rows_and_any_partitions(spark):
     assert lists(descent.approximate_knn(vectors(spark, np.ones((6, 3))), 2))[0] == [1, 2]
 
 
+def test_descent_makes_lists_longer_until_a_sample_is_found(spark):
+    # Noise of many dimensions: lists of 8 lead to three quarters of the neighbours.
+    x = np.random.default_rng(21).normal(size=(3000, 24)).astype(np.float32)
+    graph = materialise(descent.approximate_knn(vectors(spark, x), 8, spare=0, window=16, orders=2), "descent")
+    row = descent.recall(graph, neighbours.knn_graph(vectors(spark, x), 8)).first()
+    assert graph.count() == row.edges == 8 * 3000 and row.found >= 0.9 * row.edges
+    assert graph.groupBy("src").agg(F.count_distinct("dst").alias("n")).filter("n != 8").isEmpty()
+
+
+def test_descent_moves_messages_of_shards_and_no_row_for_each_edge(spark, monkeypatch):
+    rows = {}
+
+    def watched(df, name):
+        rows.setdefault(name, []).append((out := materialise(df, name)).count())
+        return out
+
+    monkeypatch.setattr(descent, "materialise", watched)
+    monkeypatch.setattr(descent, "LEAST_ROWS", 100)
+    x = np.random.default_rng(22).normal(size=(2000, 5))
+    assert descent.approximate_knn(vectors(spark, x), 6, window=40).count() == 6 * 2000
+    shards = 20
+    assert max(rows["descent-lists"]) <= shards * (shards + 3) and max(rows["descent-members"]) <= shards * (shards + 1)
+
+
+def test_neighbours_are_exact_far_from_zero_and_next_to_outliers(spark):
+    # Single precision tells none of these apart.
+    rng = np.random.default_rng(23)
+    near = 4096 + rng.integers(0, 1 << 9, size=(300, 5)) / 1024
+    for x in (near, np.vstack([near, np.full((1, 5), 1e12), np.full((1, 5), -1e25)])):
+        ids = [int(i) for i in rng.permutation(len(x))]
+        got = neighbours.knn_graph(vectors(spark, x, ids), 4, cell_rows=20, block_rows=30).filter(F.col("dist") < 10)
+        want = brute_force(near, ids, 4)
+        assert {a: b for a, b in lists(got).items() if a in want} == want
+
+
+def test_a_shelf_narrows_and_keeps_the_nearest(monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_HITS", 50)
+    rng = np.random.default_rng(24)
+    base, guests = rng.normal(size=(600, 7)).astype(np.float32), rng.normal(size=(90, 7)).astype(np.float32)
+    slots, ids = np.repeat(np.arange(6), 100), rng.permutation(600).astype(np.int64)
+    wanted = rng.random((90, 6)) < 0.7
+    flat, *scale = neighbours._scaled(base)
+    at, dst, dist = neighbours._on_shelf(guests, np.full(90, np.inf), wanted, base, (neighbours._halves(flat), *scale), ids, slots, 5)
+    d = np.sqrt(((guests[:, None].astype(float) - base[None]) ** 2).sum(2))
+    for i in range(90):
+        far = np.where(wanted[i][slots], d[i], np.inf)
+        want = [int(j) for j in np.lexsort((ids, far))[:5] if np.isfinite(far[j])]
+        own = at == i
+        assert dst[own].tolist() == ids[want].tolist() and dist[own] == pytest.approx(far[want])
+
 def test_spectral_positions_are_leading_eigenvectors(spark):
     rng = np.random.default_rng(12)
     n = 60
