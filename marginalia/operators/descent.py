@@ -36,15 +36,15 @@ SPARE = 15  # entries of a list beyond those asked for
 UPDATE_RATE = 0.002  # of all edges; below it, the rounds end
 FOUND = 0.92  # of a sample's neighbours; below it, lists are made longer
 SAMPLE = 1000
-EARLY_RATE, EARLY_LACK = 0.1, 0.1  # below that rate a first look at the sample; lists that lack more are made longer at once
-SHARD_BYTES = 96 << 20  # of vectors that the groups of a shard compare, about
+EARLY_LOOKS = ((0.3, 0.25), (0.1, 0.1))  # below that rate, a look at the sample; lists that lack more are made longer at once
+SHARD_BYTES = 192 << 20  # of vectors that the groups of a shard compare, about
 LEAST_ROWS = 256  # of a shard
 PIECE = 4096  # vectors of a message
 MOST_EDGES = 1 << 21  # that a task holds before it cuts them
 MESSAGE_BYTES = 16 << 20  # that a task holds before it passes them on
 
 # Messages to a shard; of a shard, they arrive in the order of their kinds.
-LISTS, POINTS, BOUNDS, MEMBERS, BACK, ASK, GIVE, EDGES, REACH, FRESH = range(10)
+LISTS, POINTS, BOUNDS, MEMBERS, BACK, ASK, GIVE, EDGES, FRESH = range(9)
 _KINDS = {
     LISTS: (np.int32, np.float64, np.bool_),  # at: first number; neighbours, distances, fresh
     POINTS: (np.float32, np.int64),  # at: first number; vectors, ids
@@ -54,7 +54,6 @@ _KINDS = {
     ASK: (np.int32,),  # at: the shard that asks; numbers
     GIVE: (np.int32, np.float32, np.float64),  # numbers, vectors, last distances
     EDGES: (np.int32, np.int32, np.float64),  # from, to, distance
-    REACH: (np.float64,),  # at: first number; what may be worth a look
     FRESH: (),  # at: how many
 }
 _MESSAGES = "shard int, kind int, at bigint, a binary, b binary, c binary"
@@ -94,7 +93,7 @@ def _each(messages: DataFrame, run: Callable, tasks: int | None = None) -> DataF
         yield from _sent(m for shard, rows in groupby(_received(batches), lambda m: m[0]) for m in run(shard, rows))
 
     if tasks:
-        messages = messages.repartition(tasks, "shard").sortWithinPartitions("shard", "kind")
+        messages = messages.repartitionById(tasks, F.col("shard")).sortWithinPartitions("shard", "kind")
     return messages.mapInArrow(each, _MESSAGES)
 
 
@@ -156,6 +155,15 @@ def _numbered(vectors: DataFrame) -> DataFrame:
     return _each(placed, lambda part, rows: ((0, POINTS, first[part] + m[2], *m[3:]) for m in rows))
 
 
+def _shard_rows(n: int, most: float, members: int, least_shards: int) -> int:
+    """Rows of a shard whose groups of so many ``members`` have about ``most`` different ones of ``n`` together, and whose lists a task can sort."""
+    rows = max(LEAST_ROWS, -(-n // least_shards))
+    if most < n:
+        # Of n, as many draws as leave out all but so many.
+        rows = min(rows, int(-n * np.log1p(-most / n) / members))
+    return max(1, min(rows, 2 * MOST_EDGES // members))
+
+
 def _in_shards(points: DataFrame, rows: int) -> DataFrame:
     """``POINTS``, cut where a shard of ``rows`` vectors ends; no row moves yet."""
     def run(_, messages):
@@ -276,18 +284,16 @@ def _some(hub: np.ndarray, member: np.ndarray, fresh: np.ndarray, limit: int) ->
     return by[_rank(hub[by].astype(np.int64) * 2 + fresh[by]) < limit]
 
 
-def _lists(points_or_lists: DataFrame, edges: DataFrame, length: int, rows: int, tasks: int, landmarks=None) -> DataFrame:
+def _lists(points_or_lists: DataFrame, edges: DataFrame, length: int, rows: int, tasks: int, landmarks=None, half_full: bool = False) -> DataFrame:
     """The shortest of all edges: ``LISTS`` and their ``BOUNDS``, ``BACK`` edges to the shards of neighbours, and a ``FRESH`` count.
 
     With ``landmarks``, vectors and their numbers, each vector has edges to these, the same for all: every
-    list is full and the graph in one piece from the start.
+    list is full and the graph in one piece from the start. Of lists that are ``half_full``, a bound is what the first
+    half lets expect, with some room: all that beats landmarks is not worth a message yet.
     """
     def run(shard, messages):
-        first, held, size, reach = shard * rows, [], 0, {}
+        first, held, size = shard * rows, [], 0
         for _, kind, at, *cells in messages:
-            if kind == REACH:
-                reach[at] = cells[0]
-                continue
             if kind == LISTS:
                 src = np.repeat(np.arange(at, at + len(cells[0]) // length, dtype=np.int32), length)
                 held.append((src, cells[0], cells[1], np.zeros(len(src), bool)))
@@ -307,9 +313,11 @@ def _lists(points_or_lists: DataFrame, edges: DataFrame, length: int, rows: int,
         src, dst, dist, fresh = _shortest(_joined(held), length)
         yield shard, LISTS, first, dst, dist, fresh
         bound = dist[length - 1 :: length].copy()
-        for at, most in reach.items():
-            own = slice(at - first, at - first + len(most))
-            bound[own] = np.fmin(bound[own], most)
+        if half_full and length > 3:
+            quarter, half = dist[length // 4 - 1 :: length], dist[length // 2 - 1 :: length]
+            wider = np.full(len(bound), np.inf)
+            np.divide(half, quarter, out=wider, where=quarter > 0)
+            bound = np.fmin(bound, half * wider**2)
         yield shard, BOUNDS, first, bound
         yield shard, FRESH, int(fresh.sum())
         # A vector that very many have as neighbour: as many of them as a list is long, cut in each shard first.
@@ -320,20 +328,11 @@ def _lists(points_or_lists: DataFrame, edges: DataFrame, length: int, rows: int,
 
 
 def _as_edges(lists: DataFrame, length: int, rows: int) -> DataFrame:
-    """Lists as edges, for shards of ``rows`` vectors, and how far lists twice as long may ``REACH``.
-
-    Twice the neighbours are about as much farther than these as these are than the nearer half of them.
-    """
+    """Lists as edges, for shards of ``rows`` vectors."""
     def run(_, messages):
         for _, _, at, dst, dist, _ in messages:
-            n = len(dst) // length
-            src = np.repeat(np.arange(at, at + n, dtype=np.int32), length)
+            src = np.repeat(np.arange(at, at + len(dst) // length, dtype=np.int32), length)
             yield from ((to, EDGES, 0, *cells) for to, *cells in _dealt(src // rows, src, dst, dist))
-            half, last = dist[max(length // 2, 1) - 1 :: length][:n], dist[length - 1 :: length]
-            reach = np.full(n, np.inf)
-            np.divide(last, half, out=reach, where=half > 0)
-            reach = last * reach**2
-            yield from (((at + lo) // rows, REACH, at + lo, reach[lo:hi]) for lo, hi in _spans(at, n, rows))
 
     return _each(_kind(lists, LISTS), run)
 
@@ -536,29 +535,33 @@ def approximate_knn(
     drawn = np.sort(np.random.default_rng(seed + 1).permutation(n)[:SAMPLE])
     sample = _sample(points, few, drawn)
     cores = emb.sparkSession.sparkContext.defaultParallelism
-    length, lists = min(k + spare, n - 1), None
+    length, shorter = min(k + spare, n - 1), None
     while True:
-        most = SHARD_BYTES // (4 * len(mean) * 2 * length)
-        shard_rows = max(1, min(most, max(LEAST_ROWS, -(-n // (4 * cores)))))
+        shard_rows = _shard_rows(n, SHARD_BYTES / (4 * len(mean)), 2 * length, 2 * cores)
         tasks = -(-n // shard_rows)
         placed = _in_shards(points, shard_rows)
-        if lists is None:
+        if shorter is None:
             edges = _first_edges(points, mean, n, length, max(window, 2 * length), orders, seed, shard_rows)
         else:
             edges = _as_edges(lists, shorter, shard_rows)
         marks = np.sort(np.random.default_rng(seed).permutation(n)[: length + 1])
-        lists = _lists(placed, edges, length, shard_rows, tasks, (_few(points, marks), marks))
-        rate, share = 1.0, None
+        lists = _lists(placed, edges, length, shard_rows, tasks, (_few(points, marks), marks), shorter is not None)
+        looks = [look for look in EARLY_LOOKS if length < n - 1]
+        turn, rate = 0, 1.0
         while rate > update_rate:
+            # Longer lists fill for two rounds.
+            turn, filling = turn + 1, shorter is not None and turn < 2
             members = _members(lists, length, shard_rows, tasks)
             given = _given(placed, _kind(lists, BOUNDS), _kind(members, ASK), tasks)
             better = _compared(_kind(members, MEMBERS), given, length, shard_rows, tasks)
-            lists = _lists(_kind(lists, LISTS), better, length, shard_rows, tasks)
+            lists = _lists(_kind(lists, LISTS), better, length, shard_rows, tasks, half_full=filling)
             rate = _kind(lists, FRESH).agg(F.sum("at")).first()[0] / (n * length)
-            if share is None and update_rate < rate < EARLY_RATE and length < n - 1:
+            if shorter is not None and turn < 3:
+                rate = max(rate, 2 * update_rate)
+            if looks and update_rate < rate < looks[0][0]:
                 # Lists far too short are not brought to rest first.
                 share = _share(lists, length, few, drawn, sample)
-                if share < found - EARLY_LACK:
+                if share < found - looks.pop(0)[1]:
                     break
         if length == n - 1 or rate <= update_rate and _share(lists, length, few, drawn, sample) >= found:
             break

@@ -236,13 +236,18 @@ def _route(
 
 def _scaled(vec: np.ndarray) -> tuple[np.ndarray, float, float, np.ndarray]:
     """In single precision for a first look: vectors below 1 about their mean, their scale, what may be lost of a squared distance, the mean."""
-    sound = vec[np.isfinite(vec).all(1)].astype(np.float64)
-    mid = sound.mean(0) if len(sound) else np.zeros(vec.shape[1])
-    flat = sound - mid
-    scale = max(float(np.abs(flat).max(initial=0.0)), 1e-300)
-    flat /= scale
-    slack = 4 * np.finfo(np.float32).eps * (vec.shape[1] + 4) * float((flat * flat).sum(1).max(initial=0.0))
-    return ((vec - mid) / scale).astype(np.float32), scale, slack, mid
+    sound = np.isfinite(vec).all(1)
+    sound = vec if sound.all() else vec[sound]
+    if not len(sound):
+        return np.zeros(vec.shape, np.float32), 1.0, 0.0, np.zeros(vec.shape[1])
+    mid = sound.mean(0, dtype=np.float64)
+    scale = max(float((sound.max(0) - mid).max()), float((mid - sound.min(0)).max()), 1e-300)
+    flat = np.empty(vec.shape, np.float32)
+    for at in range(0, len(vec), 4096):
+        flat[at : at + 4096] = (vec[at : at + 4096] - mid) / scale
+    squares = (flat * flat).sum(1)
+    slack = 4 * np.finfo(np.float32).eps * (vec.shape[1] + 4) * float(squares[np.isfinite(squares)].max(initial=0.0))
+    return flat, scale, slack, mid
 
 
 def _halves(flat: np.ndarray) -> np.ndarray:
